@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["columns", "joins"]
+FAMILIES = ["sources", "columns", "joins", "ordered", "windows", "sets", "reports"]
 
 
 def load_all() -> None:

@@ -80,8 +80,8 @@ y AS (SELECT *, CAST(round_even(o / 10.0::DOUBLE, 0) AS BIGINT) AS idx FROM x)
 SELECT recording_id, vehicle_id, frame, idx AS window_idx, CASE WHEN o % 10 <> 0 THEN f0 + idx * 10 END AS snapped FROM y"""))
 def join_frame_to_window(spark, d):
     tracks = plan.kinematic(spark, d).select(*FK)
-    grid = tracks.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("T"), F.min("frame").alias("f0")).where("T >= 50")
-    n = (1 + F.floor((F.col("T") - 50) / 10)).cast("bigint")
+    grid = tracks.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_rows"), F.min("frame").alias("f0")).where("n_rows >= 50")
+    n = (1 + F.floor((F.col("n_rows") - 50) / 10)).cast("bigint")
     df = tracks.join(grid, KEYS).withColumn("n", n).where(F.col("frame") <= F.col("f0") + (F.col("n") - 1) * 10)
     idx = context.frame_to_window(F.col("frame"), F.col("f0"), F.col("n"), 10)
     df = df.withColumn("window_idx", idx)

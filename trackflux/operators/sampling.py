@@ -72,3 +72,9 @@ def evenly_spaced(keys: DataFrame, n: int, order: Column) -> DataFrame:
         i = F.ceil(F.col("rk") * F.lit(n - 1) / F.greatest(N - 1, F.lit(1)))
         keep = (N <= n) | (F.floor(i * (N - 1) / F.lit(float(n - 1))) == F.col("rk"))
     return ranked.where(keep).drop("rk", "n")
+
+
+def finite_rows(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Rows with every column present; if there are none, all rows with gaps as zero."""
+    whole = df.dropna(subset=cols)
+    return whole if not whole.isEmpty() else df.fillna(0.0, subset=cols)

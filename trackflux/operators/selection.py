@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schema import ACTION_NAMES, KEYS, N_ACTIONS, STYLE_NAMES
 
@@ -86,3 +86,17 @@ def interesting_vehicles(
     if following:
         want = want | (steady & (spread <= accel_threshold))
     return meta.where(want & (F.col("numFrames") >= min_frames)).dropDuplicates(KEYS)
+
+
+def top_k(p: Column, k: int) -> Column:
+    """The ``k`` largest entries as (prob, z) structs, ties to the lower index."""
+    pairs = F.transform(p, lambda v, i: F.struct(v.alias("prob"), (-i).alias("neg")))
+    ranked = F.slice(F.sort_array(pairs, asc=False), 1, max(1, k))
+    return F.transform(ranked, lambda r: F.struct(r["prob"].alias("prob"), (-r["neg"]).cast("int").alias("z")))
+
+
+def label_counts(df: DataFrame, label: str) -> DataFrame:
+    """Label counts per trajectory with their descending rank."""
+    n = df.groupBy(*KEYS, label).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*KEYS).orderBy(F.desc("n"), label)  # one row per distinct label
+    return n.withColumn("rank", F.row_number().over(w).cast("bigint"))

@@ -145,9 +145,9 @@ def windowize(
 
 def window_counts(frames: DataFrame, W: int = WINDOW_LEN, stride: int = WINDOW_STRIDE) -> DataFrame:
     """Per trajectory: length, number of windows, too short or not."""
-    n = frames.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("T"))
-    count = F.when(F.col("T") >= W, 1 + F.floor((F.col("T") - W) / stride)).otherwise(0).cast("bigint")
-    return n.withColumn("n_windows", count).withColumn("skipped", F.col("T") < W)
+    n = frames.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_rows"))
+    count = F.when(F.col("n_rows") >= W, 1 + F.floor((F.col("n_rows") - W) / stride)).otherwise(0).cast("bigint")
+    return n.withColumn("n_windows", count).withColumn("skipped", F.col("n_rows") < W)
 
 
 def window_starts(frames: DataFrame, W: int = WINDOW_LEN, stride: int = WINDOW_STRIDE) -> DataFrame:
