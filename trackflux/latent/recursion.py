@@ -272,15 +272,19 @@ def _flat_rows(part: pd.DataFrame, n: np.ndarray, block: int, **cols: np.ndarray
 # jobs ---------------------------------------------------------------------------
 
 def forward_filter(rows: DataFrame, start: np.ndarray, kernel: np.ndarray, longest: int | None = None,
-                   block: int = BLOCK, fan: int = BLOCK, norm_prior: bool = True, emit: Emit | None = None) -> DataFrame:
+                   block: int = BLOCK, fan: int = BLOCK, norm_prior: bool = True, emit: Emit | None = None,
+                   keep_logb: bool = False) -> DataFrame:
     """Per window: log prior, log posterior belief and log p(o_t | past)."""
     k = Kernel(start, kernel, norm_prior=norm_prior)
+    more = ", logb array<double>" if keep_logb else ""
 
     def fn(part, logb, n, entry, _exit):
         prior, post, inc = k.forward(logb, n, entry)
-        return _flat_rows(part, n, block, prior=prior, post=post, ll=inc)
+        kept = {"logb": logb} if keep_logb else {}
+        return _flat_rows(part, n, block, prior=prior, post=post, ll=inc, **kept)
 
-    return run_blocks(rows, k, fn, f"{_KEY_SCHEMA}, t bigint, prior array<double>, post array<double>, ll double", longest, block, fan, emit)
+    schema = f"{_KEY_SCHEMA}, t bigint, prior array<double>, post array<double>, ll double{more}"
+    return run_blocks(rows, k, fn, schema, longest, block, fan, emit)
 
 
 def smooth(rows: DataFrame, start: np.ndarray, kernel: np.ndarray, longest: int | None = None,

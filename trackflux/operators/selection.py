@@ -100,3 +100,11 @@ def label_counts(df: DataFrame, label: str) -> DataFrame:
     n = df.groupBy(*KEYS, label).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(*KEYS).orderBy(F.desc("n"), label)  # one row per distinct label
     return n.withColumn("rank", F.row_number().over(w).cast("bigint"))
+
+
+def literal_name(s: Column, names: dict) -> Column:
+    """Style name, numbered when unnamed."""
+    out = None
+    for k, v in names.items():
+        out = F.when(s == k, v) if out is None else out.when(s == k, v)
+    return out.otherwise(F.concat(F.lit("style_"), s.cast("string")))

@@ -44,11 +44,13 @@ def feature_rows(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
     return observations(spark, sf_dir).select(*KEYS, "t", emission.feature_array(p.continuous, p.binary).alias("x"))
 
 
-def filtered(spark: SparkSession, sf_dir: str, smoothing: str = "clamp", p: Params | None = None) -> DataFrame:
+def filtered(spark: SparkSession, sf_dir: str, smoothing: str = "clamp", p: Params | None = None,
+             keep_logb: bool = False) -> DataFrame:
     """Online beliefs: prior, posterior and log-likelihood term per window."""
     p = p or patterned()
     rows = feature_rows(spark, sf_dir, p)
-    return recursion.forward_filter(rows, p.start(smoothing), p.kernel(smoothing), emit=emission.emitter(p))
+    return recursion.forward_filter(rows, p.start(smoothing), p.kernel(smoothing), emit=emission.emitter(p),
+                                    keep_logb=keep_logb)
 
 
 def posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
