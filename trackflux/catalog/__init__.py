@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["sources", "columns", "joins", "ordered", "windows", "sets", "reports", "model", "evaluation"]
+FAMILIES = ["sources", "columns", "joins", "ordered", "windows", "sets", "reports", "model", "evaluation", "streams", "functions"]
 
 
 def load_all() -> None:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rounded
-from ..latent import emission, evaluation as ev
+from ..latent import evaluation as ev
 from ..operators import labels as lab, selection as sel
 from ..plans import frames as plan, model
 from ..schema import ACTION_NAMES, FEATURE_GROUPS, KEYS, SEMANTIC_FEATURES, STYLE_NAMES
@@ -172,9 +172,9 @@ def evl_semantics_report(spark, d):
 
 
 @query("evl_style_consistency", S.with_(_JOINT + """,
-sc AS (SELECT feature, greatest(sum(mass * coalesce(std, 0)) / sum(mass), 1e-6) AS scale FROM stats GROUP BY 1),
+spread AS (SELECT feature, greatest(sum(mass * coalesce(std, 0)) / sum(mass), 1e-6) AS scale FROM stats GROUP BY 1),
 d AS (SELECT a.z AS a, a.feature, a.mean - b.mean AS dif, scale FROM stats a JOIN stats b ON b.z = a.z + 4 AND b.feature = a.feature
-  JOIN sc ON sc.feature = a.feature WHERE a.z < 4)""", f"""
+  JOIN spread ON spread.feature = a.feature WHERE a.z < 4)""", f"""
 SELECT 'zscore' AS mode, CAST(a AS INTEGER) AS a, {S.r('sqrt(avg((dif / scale) * (dif / scale)))', 4)} AS rmse FROM d GROUP BY a
 UNION ALL SELECT 'raw', CAST(a AS INTEGER), {S.r('sqrt(avg(dif * dif))', 4)} FROM d GROUP BY a""", recursive=True))
 def evl_style_consistency(spark, d):
@@ -230,13 +230,13 @@ _NAME = "CASE z " + " ".join(f"WHEN {s * 4 + a} THEN '{STYLE_NAMES[s]}/{n}'" for
 
 
 @query("lbl_debug_values", S.with_(_OBSW, f"""
-SELECT recording_id, vehicle_id, window_idx, z, {_SA}, {_NAME} AS name, {S.rounded_list(lab.RULE_INPUTS, d=3)}
+SELECT recording_id, vehicle_id, window_idx, z, {_SA}, {_NAME} AS name, {S.rounded_list(lab.RULE_INPUTS, d=4)}
 FROM (SELECT *, CAST({label_sql_no_lane()} AS INTEGER) AS z FROM windows)"""))
 def lbl_debug_values(spark, d):
     df = labelled(spark, d, NO_LANE_RULE)
     s, a = sel.z_to_sa(F.col("z"))
     return df.select(*KEYS, "window_idx", "z", s.alias("s"), a.alias("a"), sel.state_name(F.col("z")).alias("name"),
-                     *[rounded(F.col(c), 3).alias(c) for c in lab.RULE_INPUTS])
+                     *[rounded(F.col(c), 4).alias(c) for c in lab.RULE_INPUTS])
 
 
 
@@ -369,7 +369,5 @@ SELECT {KTS}, CAST(z AS INTEGER) AS z, grp AS feature_group, {S.r('coalesce(scor
 def xpl_group_contrib(spark, d):
     z = sel.argmax(F.col("post"))
     win = model.filtered(spark, d).select(*KT, z.alias("z"))
-    df = model.observations(spark, d).join(win, KT)
-    scores = emission.feature_group_score(P, FEATURE_GROUPS, F.col("z"))
-    out = df.select(*KT, "z", *[c.alias(g) for g, c in scores.items()])
-    return out.unpivot([*KT, "z"], list(scores), "feature_group", "score").withColumn("score", rounded(F.col("score"), 5))
+    rows = model.feature_rows(spark, d, P).join(win, KT)
+    return ev.group_contributions(rows, P, FEATURE_GROUPS).withColumn("score", rounded(F.col("score"), 5))

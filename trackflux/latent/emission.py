@@ -143,22 +143,17 @@ def log_emission_product(style: dict, action: dict, continuous: list[str], binar
     return F.array(*[ls[s] + la[a] - log_norm(s, a) for s in range(S) for a in range(A)])
 
 
-def feature_group_score(p: Params, groups: dict[str, list[str]], z: Column) -> dict[str, Column]:
-    """Log-likelihood of state ``z`` summed per feature group.
+def group_scores(p: Params, groups: dict[str, list[str]], x: np.ndarray, z: np.ndarray) -> dict[str, np.ndarray]:
+    """Log-likelihood of each row's state ``z`` summed per feature group, over ``feature_array`` rows.
 
     Here the variance is only floored at 1e-6.
     """
-    out = {}
-    for g, names in groups.items():
-        per_state = []
-        for k in range(p.K):
-            terms = []
-            for n in names:
-                if n in p.continuous:
-                    d = p.continuous.index(n)
-                    terms.append(_gauss(F.col(scaled(n)), p.mean[k, d], max(p.var[k, d], EPS)))
-                elif n in p.binary:
-                    terms.append(_bern(F.col(n), p.bern[k, p.binary.index(n)], p.bern_weight))
-            per_state.append(_sum(terms) if terms else F.lit(0.0))
-        out[g] = F.element_at(F.array(*per_state), z + 1)
-    return out
+    D = len(p.continuous)
+    var = np.maximum(p.var, EPS)[z]
+    c, f = x[:, :D], x[:, D : D + len(p.binary)]
+    g = -0.5 * (LOG_2PI + np.log(var) + (c - p.mean[z]) ** 2 / var)
+    q = np.clip(p.bern, EPS, 1 - EPS)[z]
+    b = p.bern_weight * np.where(f > 0.5, np.log(q), np.log(1 - q))
+    terms = np.concatenate([np.where(np.isfinite(c), g, 0.0), np.where(np.isfinite(f), b, 0.0)], axis=1)
+    at = {n: i for i, n in enumerate([*p.continuous, *p.binary])}
+    return {name: terms[:, [at[n] for n in names if n in at]].sum(axis=1) for name, names in groups.items()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.ordering import in_segments
 from ..functions.quantiles import exact_quantiles
-from ..operators.selection import argmax, belief_prob, total
+from ..operators.selection import argmax, belief_prob, let, normalised, total
 from ..schema import FPS, KEYS, LEGACY_MANEUVER_GROUPS, MANEUVER_GROUPS
+from .emission import group_scores
 from .params import Params
 
 PCT = {"p10": 0.1, "median": 0.5, "p90": 0.9}
@@ -34,11 +36,12 @@ def online_nll(filtered: DataFrame) -> DataFrame:
 def step_columns(belief: Column, kernel: np.ndarray) -> Column:
     """One kernel step of a probability array, normalised; the kernel is a literal."""
     K = len(kernel)
-    raw = F.array(*[
-        sum((belief[i] * F.lit(float(kernel[i, j])) for i in range(1, K)), belief[0] * F.lit(float(kernel[0, j])))
-        for j in range(K)
-    ])
-    return F.transform(raw, lambda x: x / total(raw))
+
+    def step(b: Column) -> Column:
+        cell = lambda j: reduce(lambda x, y: x + y, [b[i] * F.lit(float(kernel[i, j])) for i in range(K)])
+        return F.array(*[cell(j) for j in range(K)])
+
+    return normalised(let(belief, step))
 
 
 def rollout(beliefs: DataFrame, p: Params, H: int, smoothing: str = "add", post: str = "post") -> DataFrame:
@@ -54,7 +57,7 @@ def rollout(beliefs: DataFrame, p: Params, H: int, smoothing: str = "add", post:
     rows = beliefs.select(*KEYS, "t", prob.alias("_b"), F.posexplode(table).alias("_h", "_cols"))
     dot = lambda c: F.aggregate(F.zip_with("_b", c, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
     raw = rows.select(*KEYS, "t", (F.col("_h") + 1).alias("h"), F.transform("_cols", dot).alias("_r"))
-    return raw.select(*KEYS, "t", "h", F.transform("_r", lambda x: x / total(F.col("_r"))).alias("belief"))
+    return raw.select(*KEYS, "t", "h", normalised(F.col("_r")).alias("belief"))
 
 
 def anticipatory(filtered_logb: DataFrame, p: Params, H: int, warmup: int, longest: int | None = None) -> DataFrame:
@@ -137,7 +140,7 @@ def occupancy(posteriors: DataFrame, S: int, A: int) -> DataFrame:
         F.struct(F.lit("joint").alias("level"), F.col("joint").alias("p")),
         F.struct(F.lit("style").alias("level"), style.alias("p")),
         F.struct(F.lit("action").alias("level"), action.alias("p")),
-    )).alias("r")).select("r.level", F.transform("r.p", lambda x: x / total(F.col("r.p"))).alias("p"))
+    )).alias("r")).select("r.level", normalised(F.col("r.p")).alias("p"))
     return rows.select("level", "p", F.array_max("p").alias("max_occupancy"), F.exp(entropy(F.col("p"))).alias("k_eff"))
 
 
@@ -373,3 +376,19 @@ def state_mass(posteriors: DataFrame, S: int, A: int) -> DataFrame:
         df = sums.select(F.lit(level).alias("level"), F.posexplode(arr).alias("state", "mass"), total(joint).alias("_n"))
         out = df if out is None else out.unionByName(df)
     return out.select("level", "state", "mass", (F.col("mass") / F.col("_n")).alias("frac"))
+
+
+def group_contributions(rows: DataFrame, p: Params, groups: dict[str, list[str]]) -> DataFrame:
+    """Long (keys, t, z, feature_group, score) for rows with ``z`` and a feature array ``x``."""
+    schema = ", ".join(f"{k} bigint" for k in KEYS) + ", t bigint, z int, feature_group string, score double"
+
+    def score(it):
+        for pdf in it:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["x"].to_list()).astype(float)
+            parts = group_scores(p, groups, x, pdf["z"].to_numpy())
+            base = pdf[[*KEYS, "t", "z"]]
+            yield pd.concat([base.assign(feature_group=g, score=v) for g, v in parts.items()], ignore_index=True)
+
+    return rows.select(*KEYS, "t", "z", "x").mapInPandas(score, schema)

@@ -19,20 +19,28 @@ def z_to_sa(z: Column, A: int = N_ACTIONS) -> tuple[Column, Column]:
     )
 
 
-def belief_prob(logp: Column) -> Column:
-    """Log-belief array to probabilities, shifted by its maximum."""
-    weights = F.transform(logp, lambda x: F.exp(x - F.array_max(logp)))
-    total = F.aggregate(weights, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(weights, lambda x: x / total)
+def let(value: Column, body) -> Column:
+    """``body(v)`` with ``value`` evaluated once, however often ``v`` occurs."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def total(p: Column) -> Column:
     return F.aggregate(p, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def normalised(weights: Column) -> Column:
+    """Array divided by its sum."""
+    return let(weights, lambda w: let(total(w), lambda n: F.transform(w, lambda x: x / n)))
+
+
+def belief_prob(logp: Column) -> Column:
+    """Log-belief array to probabilities, shifted by its maximum."""
+    return normalised(let(F.array_max(logp), lambda m: F.transform(logp, lambda x: F.exp(x - m))))
+
+
 def argmax(p: Column) -> Column:
     """0-based position of the first maximum."""
-    return (F.array_position(p, F.array_max(p)) - 1).cast("int")
+    return let(p, lambda v: F.array_position(v, F.array_max(v)) - 1).cast("int")
 
 
 def state_name(z: Column, names: dict | None = None, styles: dict | None = None, A: int = N_ACTIONS) -> Column:
