@@ -63,7 +63,8 @@ def run_lengths(df: DataFrame, state: str, longest: int | None = None) -> DataFr
     )
 
 
-def debounce(events: DataFrame, min_gap: int, longest: int | None = None, by: list[str] | None = None) -> DataFrame:
+def debounce(events: DataFrame, min_gap: int, longest: int | None = None, by: list[str] | None = None,
+             rows: int = SEGMENT_ROWS) -> DataFrame:
     """Keep the first event, then each at least ``min_gap`` after the last kept one.
 
     An event that far from the event before it is kept whatever happened
@@ -71,16 +72,16 @@ def debounce(events: DataFrame, min_gap: int, longest: int | None = None, by: li
     runs inside one chain. ``events`` needs ``t`` unique per key.
     """
     keys = [*KEYS, *(by or [])]
-    pos = dense_index(events.select(*keys, "t"), F.col("t"), keys=keys, out="_i", longest=longest)
+    pos = dense_index(events.select(*keys, "t"), F.col("t"), keys=keys, out="_i", longest=longest, rows_per_slice=rows)
     pos = in_segments(
         pos, lambda w: [{"_break": (F.col("t") - F.lag("t").over(w) >= min_gap).cast("int")}],
-        before=1, keys=keys, t="_i", longest=longest,
+        before=1, keys=keys, t="_i", longest=longest, rows=rows,
     )
-    chains = running_sum(pos, F.coalesce("_break", F.lit(0)), "_chain", keys=keys, t="_i", longest=longest)
-    chains = chains.withColumn("_piece", F.floor(F.col("_i") / SEGMENT_ROWS).cast("bigint"))
+    chains = running_sum(pos, F.coalesce("_break", F.lit(0)), "_chain", keys=keys, t="_i", longest=longest, rows=rows)
+    chains = chains.withColumn("_piece", F.floor(F.col("_i") / rows).cast("bigint"))
     pieces = chains.groupBy(*keys, "_chain", "_piece").agg(F.array_sort(F.collect_list("t")).alias("_ts"))
     first = F.element_at("_ts", 1)
-    if longest is not None and longest <= SEGMENT_ROWS:
+    if longest is not None and longest <= rows:
         entry = first - min_gap
     else:
         pieces = pieces.join(_chain_entries(pieces, keys, min_gap), [*keys, "_chain", "_piece"], "left")
