@@ -310,6 +310,6 @@ SELECT {S.r('avg(value)')} AS mean, {S.r('quantile_cont(value, 0.5)')} AS p50, {
 def agg_latency_summary(spark, d):
     ev = view.table(spark, d, "events").select("value")
     q = exact_quantiles(ev, [], "value", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
-    return _rnd(ev.agg(F.avg("value").alias("mean")).crossJoin(q), ["mean", "p50", "p90", "p99"])
+    return _rnd(rep.one_row(ev.agg(F.avg("value").alias("mean")), q), ["mean", "p50", "p90", "p99"])
 
 

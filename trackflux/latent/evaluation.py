@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.ordering import in_segments
 from ..functions.quantiles import exact_quantiles
+from ..operators.reports import one_row
 from ..operators.selection import argmax, belief_prob, let, normalised, total
 from ..schema import FPS, KEYS, LEGACY_MANEUVER_GROUPS, MANEUVER_GROUPS
 from .emission import group_scores
@@ -30,7 +31,7 @@ def online_nll(filtered: DataFrame) -> DataFrame:
     per = trajectory_nll(filtered)
     w = F.sum(F.col("nll") * F.col("n_windows")) / F.sum("n_windows")
     basic = per.agg(F.count(F.lit(1)).alias("n_traj"), F.sum("n_windows").alias("n_windows"), w.alias("nll"), F.avg("nll").alias("nll_mean"))
-    return basic.crossJoin(exact_quantiles(per, [], "nll", {f"nll_{k}": q for k, q in PCT.items()}))
+    return one_row(basic, exact_quantiles(per, [], "nll", {f"nll_{k}": q for k, q in PCT.items()}))
 
 
 def step_columns(belief: Column, kernel: np.ndarray) -> Column:
@@ -107,7 +108,7 @@ def checkpoint_summary(posteriors: DataFrame, p: Params) -> DataFrame:
     tot = per.agg(F.sum("ll").alias("loglik"), F.sum("n").alias("n_rows"))
     q = exact_quantiles(per, [], "per_row", {"p05": 0.05, "p50": 0.5, "p95": 0.95})
     k = p.count()
-    return tot.crossJoin(q).select(
+    return one_row(tot, q).select(
         "loglik", "n_rows", (F.col("loglik") / F.col("n_rows")).alias("loglik_per_row"), "p05", "p50", "p95",
         F.lit(k).alias("n_params"), (F.lit(float(k)) * F.log("n_rows") - 2 * F.col("loglik")).alias("bic"),
     )
@@ -340,13 +341,14 @@ def time_to_event(pred: DataFrame, stride: int, fps: float = FPS) -> DataFrame:
 
 def cumulative_hits(pred: DataFrame, H: int, stride: int, fps: float = FPS) -> DataFrame:
     """Hits per horizon step, cumulative hit rate by time, and totals."""
-    df = scored(pred)
-    per = df.where("hit").groupBy(F.col("tte_steps").alias("step")).agg(F.count(F.lit(1)).alias("_n"))
-    tot = df.agg(F.count(F.lit(1)).alias("num_total"))
-    steps = pred.sparkSession.range(1, H + 1).select(F.col("id").cast("int").alias("step"))
-    out = steps.join(per, "step", "left").select("step", F.coalesce("_n", F.lit(0)).alias("hits")).crossJoin(tot)
-    cum = F.sum("hits").over(Window.partitionBy(F.lit(0)).orderBy("step"))  # at most H rows
-    return out.select("step", (F.col("step") * F.lit(stride / fps)).alias("seconds"), "hits", cum.alias("cumulative_hits"),
+    one = scored(pred).agg(
+        F.count(F.lit(1)).alias("num_total"), F.array(*[F.count_if(F.col("tte_steps") == h) for h in range(1, H + 1)]).alias("_n")
+    )
+    # H cells of one row: the running sum is a slice of the array
+    out = one.select("num_total", "_n", F.posexplode("_n").alias("_i", "hits"))
+    cum = F.aggregate(F.slice("_n", 1, F.col("_i") + 1), F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    step = (F.col("_i") + 1).alias("step")
+    return out.select(step, ((F.col("_i") + 1) * F.lit(stride / fps)).alias("seconds"), "hits", cum.alias("cumulative_hits"),
                       F.try_divide(cum, F.col("num_total")).alias("cumulative_rate"), "num_total")
 
 

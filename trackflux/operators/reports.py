@@ -27,11 +27,19 @@ def grouped_stats(long: DataFrame, by: list[str], probs: dict[str, float], x: st
     kw = {} if row_limit is None else {"row_limit": row_limit}
     q = exact_quantiles(long, by, x, probs, **kw)
     if not by:
-        return basic.crossJoin(q)  # one row each
+        return one_row(basic, q)
     cond = all_of(*[basic[c].eqNullSafe(q[c]) for c in by])  # stays an equi-join
     return basic.join(q, cond, "left").select(*[basic[c] for c in basic.columns], *[q[p] for p in probs])
 
 
+def one_row(*parts: DataFrame) -> DataFrame:
+    """One-row tables with different columns as one row, without a cross join."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in out.columns])
+
+
 def vehicle_std(df: DataFrame, signal: str, min_rows: int) -> DataFrame:
     """Population std per trajectory with enough rows and enough values."""
     agg = df.groupBy(*KEYS).agg(
@@ -211,7 +219,7 @@ def _event_summary(events: DataFrame, W: int, prefix: str) -> DataFrame:
     e = events.withColumn("ok", ok).withColumn("pos", F.when(ok, F.col("t") / F.col("n_rows")))
     tot = e.agg(F.count(F.lit(1)).alias("total"), F.count_if("ok").alias("valid"))
     q = exact_quantiles(e, [], "pos", {"p10": 0.1, "median": 0.5, "p90": 0.9})
-    return tot.crossJoin(q).select(
+    return one_row(tot, q).select(
         F.col("total").alias(f"{prefix}events_total"),
         F.col("valid").alias(f"{prefix}events_valid_centered"),
         (F.col("total") - F.col("valid")).alias(f"{prefix}events_dropped_boundary"),
@@ -232,7 +240,7 @@ def lc_feasibility(df: DataFrame, W: int = 150, stride: int = 10, min_gap: int =
     usable = counts.where(~F.col("skipped")).select(*KEYS, "n_rows")
     events = runs.debounce(runs.lc_events(df).select(*KEYS, "t"), min_gap, longest).join(usable, KEYS)
     lc_windows = _windows_hit(events, W, stride).agg(F.count(F.lit(1)).alias("lc_windows"))
-    out = trajs.crossJoin(lens).crossJoin(_event_summary(events, W, "lc_")).crossJoin(lc_windows)
+    out = one_row(trajs, lens, _event_summary(events, W, "lc_"), lc_windows)
     return out.withColumn("kl_windows", F.col("total_windows") - F.col("lc_windows")).withColumn(
         "lc_window_fraction", F.try_divide(F.col("lc_windows"), F.col("total_windows"))
     )
@@ -254,19 +262,18 @@ def longitudinal_feasibility(
     """One summary row for brake and accel events and windows."""
     min_frames = min_frames if min_frames is not None else -(-W * 5 // 100)
     counts = window_counts(df, W, stride)
-    out = counts.agg(
+    parts = [counts.agg(
         F.count(F.lit(1)).alias("num_total"), F.count_if("skipped").alias("num_short"), F.sum("n_windows").alias("total_windows")
-    )
+    )]
     usable = counts.where(~F.col("skipped")).select(*KEYS, "n_rows")
     masks = {"brake": F.col("ax") < -a_brake, "accel": F.col("ax") > a_accel}
     present = runs.presence(df.join(usable, KEYS, "left_semi"), masks, W, stride)
     for name, mask in masks.items():
         centers = runs.mask_runs(df, mask, min_event, longest).select(*KEYS, F.col("center").alias("t"))
         events = runs.debounce(centers, min_gap, longest).join(usable, KEYS)
-        out = out.crossJoin(_event_summary(events, W, f"{name}_"))
+        parts.append(_event_summary(events, W, f"{name}_"))
     wins = present.agg(*[F.count_if(F.col(n) >= min_frames).alias(f"{n}_windows") for n in masks])
-    out = out.crossJoin(wins)
-    return out.withColumns({f"{n}_window_fraction": F.try_divide(F.col(f"{n}_windows"), F.col("total_windows")) for n in masks})
+    return one_row(*parts, wins).withColumns({f"{n}_window_fraction": F.try_divide(F.col(f"{n}_windows"), F.col("total_windows")) for n in masks})
 
 
 def window_feature_stats(windows: DataFrame, features: list[str]) -> DataFrame:
