@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, functions as F
@@ -14,41 +13,49 @@ from .params import Params
 LOG_2PI = math.log(2.0 * math.pi)
 
 
-def _sum(terms: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, terms)
-
-
 def safe_var(var: np.ndarray) -> np.ndarray:
     return np.maximum(var, MIN_VAR) + VAR_JITTER
 
 
-def _gauss(x: Column, mu: float, var: float) -> Column:
-    """log N(x; mu, var); a missing value adds nothing."""
-    d = x - F.lit(float(mu))
-    return F.coalesce(F.lit(-0.5 * (LOG_2PI + math.log(var))) - d * d * F.lit(0.5 / float(var)), F.lit(0.0))
+def _num(v: float) -> str:
+    return f"({float(v)!r}D)"
+
+
+def _gauss(x: str, mu: float, var: float) -> str:
+    """log N(x; mu, var) as SQL text; a missing value adds nothing.
+
+    Text, because hundreds of terms are parsed in one go instead of being built
+    call by call. The polynomial works on values that are never NULL, so the
+    generated code has no null branches and shares them between states.
+    """
+    c0 = -0.5 * (LOG_2PI + math.log(var) + mu * mu / var)
+    x0 = f"coalesce({x}, 0D)"
+    return f"{_num(c0)} * cast({x} is not null as double) + {x0} * ({_num(mu / var)} - {_num(0.5 / var)} * {x0})"
 
 
-def _bern(x: Column, p: float, weight: float, missing_is_zero: bool = False) -> Column:
+def _bern(x: str, p: float, weight: float, missing_is_zero: bool = False) -> str:
     p = min(max(float(p), EPS), 1 - EPS)
     on, off = weight * math.log(p), weight * math.log(1 - p)
-    term = F.when(x > 0.5, F.lit(on)).when(x.isNotNull(), F.lit(off))
-    return term.otherwise(F.lit(off if missing_is_zero else 0.0))
+    return (f"CASE WHEN {x} > 0.5D THEN {_num(on)} WHEN {x} IS NOT NULL THEN {_num(off)} "
+            f"ELSE {_num(off if missing_is_zero else 0.0)} END")
+
+
+def _array(states: list[list[str]]) -> Column:
+    return F.expr("array(" + ", ".join(" + ".join(terms) for terms in states) + ")")
 
 
 def scaled(name: str) -> str:
     return f"s_{name}"
 
 
-def log_emission(p: Params, prefix: bool = True) -> Column:
-    """Array of K log-likelihoods as plain generated expressions, parameters as literals."""
+def log_emission(p: Params) -> Column:
+    """Array of K log-likelihoods as one generated expression, parameters as literals."""
     var = safe_var(p.var)
-    col = (lambda n: F.col(scaled(n))) if prefix else F.col
-    states = []
-    for z in range(p.K):
-        terms = [_gauss(col(f), p.mean[z, d], var[z, d]) for d, f in enumerate(p.continuous)]
-        terms += [_bern(F.col(f), p.bern[z, b], p.bern_weight) for b, f in enumerate(p.binary)]
-        states.append(_sum(terms))
-    return F.array(*states)
+    return _array([
+        [_gauss(scaled(f), p.mean[z, d], var[z, d]) for d, f in enumerate(p.continuous)]
+        + [_bern(f, p.bern[z, b], p.bern_weight) for b, f in enumerate(p.binary)]
+        for z in range(p.K)
+    ])
 
 
 def log_emission_matrix(p: Params, x: np.ndarray, flags: np.ndarray) -> np.ndarray:
@@ -119,28 +126,25 @@ def log_emission_product(style: dict, action: dict, continuous: list[str], binar
     """
     vs, va = safe_var(style["var"]), safe_var(action["var"])
     S, A = len(vs), len(va)
-    col = lambda n: F.col(scaled(n))
 
-    def expert(e: dict, var: np.ndarray, k: int) -> Column:
-        g = [_gauss(col(f), e["mean"][k, d], var[k, d]) for d, f in enumerate(continuous)]
-        b = [_bern(F.col(f), e["bern"][k, j], bern_weight, True) for j, f in enumerate(binary)]
-        return _sum(g + b)
+    def expert(e: dict, var: np.ndarray, k: int) -> list[str]:
+        g = [_gauss(scaled(f), e["mean"][k, d], var[k, d]) for d, f in enumerate(continuous)]
+        return g + [_bern(f, e["bern"][k, j], bern_weight, True) for j, f in enumerate(binary)]
 
-    def log_norm(s: int, a: int) -> Column:
+    def log_norm(s: int, a: int) -> list[str]:
         terms = []
         for d, f in enumerate(continuous):
             v = vs[s, d] + va[a, d]
             dm = style["mean"][s, d] - action["mean"][a, d]
-            terms.append(F.when(col(f).isNotNull(), F.lit(float(-0.5 * (LOG_2PI + math.log(v) + dm * dm / v)))).otherwise(0.0))
+            c = -0.5 * (LOG_2PI + math.log(v) + dm * dm / v)
+            terms.append(f"{_num(-c)} * cast({scaled(f)} is not null as double)")
         for j, f in enumerate(binary):
             ps, pa = (min(max(float(e["bern"][k, j]), EPS), 1 - EPS) for e, k in ((style, s), (action, a)))
             zj = min(max(ps * pa + (1 - ps) * (1 - pa), EPS), 1.0)
-            terms.append(F.when(F.col(f).isNotNull(), F.lit(math.log(zj))).otherwise(0.0))
-        return _sum(terms)
+            terms.append(f"{_num(-math.log(zj))} * cast({f} is not null as double)")
+        return terms
 
-    ls = [expert(style, vs, s) for s in range(S)]
-    la = [expert(action, va, a) for a in range(A)]
-    return F.array(*[ls[s] + la[a] - log_norm(s, a) for s in range(S) for a in range(A)])
+    return _array([expert(style, vs, s) + expert(action, va, a) + log_norm(s, a) for s in range(S) for a in range(A)])
 
 
 def group_scores(p: Params, groups: dict[str, list[str]], x: np.ndarray, z: np.ndarray) -> dict[str, np.ndarray]:

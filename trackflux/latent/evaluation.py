@@ -307,21 +307,31 @@ def confusion(pred: DataFrame, K: int) -> DataFrame:
 
 def precision_recall_f1(cm: DataFrame) -> DataFrame:
     """Per class, macro and micro scores; classes without rows count as zero."""
-    hits = F.sum(F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0))
-    actual = cm.groupBy(F.col("truth").alias("z")).agg(F.sum("n").alias("actual"), hits.alias("tp"))
-    predicted = cm.groupBy(F.col("pred").alias("z")).agg(F.sum("n").alias("predicted"))
-    c = actual.join(predicted, "z")
+    zero = F.lit(0).cast("bigint")
+    n = F.col("n")
+    both = F.array(
+        F.struct(F.col("truth").alias("z"), n.alias("actual"), zero.alias("predicted"),
+                 F.when(F.col("truth") == F.col("pred"), n).otherwise(zero).alias("tp")),
+        F.struct(F.col("pred").alias("z"), zero.alias("actual"), n.alias("predicted"), zero.alias("tp")),
+    )
+    c = cm.select(F.explode(both).alias("r")).groupBy("r.z").agg(
+        *[F.sum(f"r.{k}").alias(k) for k in ("actual", "predicted", "tp")])
     safe = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    f1 = lambda p, r: safe(2 * p * r, p + r)
     c = c.withColumns({"precision": safe(F.col("tp"), F.col("predicted")), "recall": safe(F.col("tp"), F.col("actual"))})
-    f1 = safe(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
-    c = c.withColumn("f1", f1)
-    per = c.select(F.concat(F.lit("class_"), F.col("z").cast("string")).alias("average"), "precision", "recall", "f1")
-    macro = c.agg(F.lit("macro").alias("average"), *[F.avg(m).alias(m) for m in ("precision", "recall", "f1")])
-    micro = c.agg(
-        F.lit("micro").alias("average"), safe(F.sum("tp"), F.sum("predicted")).alias("precision"),
-        safe(F.sum("tp"), F.sum("actual")).alias("recall"),
-    ).withColumn("f1", f1)
-    return per.unionByName(macro).unionByName(micro)
+    c = c.withColumn("f1", f1(F.col("precision"), F.col("recall")))
+
+    def line(name: Column, p: Column, r: Column, f: Column) -> Column:
+        return F.struct(name.alias("average"), p.alias("precision"), r.alias("recall"), f.alias("f1"))
+
+    # one row per class, so the list is as long as the number of states
+    one = c.agg(
+        F.collect_list(line(F.concat(F.lit("class_"), F.col("z").cast("string")), F.col("precision"), F.col("recall"), F.col("f1"))).alias("per"),
+        line(F.lit("macro"), F.avg("precision"), F.avg("recall"), F.avg("f1")).alias("macro"),
+        safe(F.sum("tp"), F.sum("predicted")).alias("_p"), safe(F.sum("tp"), F.sum("actual")).alias("_r"),
+    )
+    micro = line(F.lit("micro"), F.col("_p"), F.col("_r"), f1(F.col("_p"), F.col("_r")))
+    return one.select(F.explode(F.concat("per", F.array("macro"), F.array(micro))).alias("o")).select("o.*")
 
 
 def hit_rate(pred: DataFrame) -> DataFrame:
@@ -373,11 +383,9 @@ def state_mass(posteriors: DataFrame, S: int, A: int) -> DataFrame:
     joint = F.array(*[F.col(f"g{z}") for z in range(S * A)])
     style, action = marginals(joint, S, A)
     parts = [("joint", joint), ("style", style), ("action", action)]
-    out = None
-    for level, arr in parts:
-        df = sums.select(F.lit(level).alias("level"), F.posexplode(arr).alias("state", "mass"), total(joint).alias("_n"))
-        out = df if out is None else out.unionByName(df)
-    return out.select("level", "state", "mass", (F.col("mass") / F.col("_n")).alias("frac"))
+    levels = F.array(*[F.struct(F.lit(n).alias("level"), arr.alias("m"), total(arr).alias("n")) for n, arr in parts])
+    rows = sums.select(F.explode(levels).alias("r")).select("r.level", "r.n", F.posexplode("r.m").alias("state", "mass"))
+    return rows.select("level", "state", "mass", (F.col("mass") / F.col("n")).alias("frac"))
 
 
 def group_contributions(rows: DataFrame, p: Params, groups: dict[str, list[str]]) -> DataFrame:
