@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackflux.catalog.registry import query
-from trackflux.llm import exact, mixing, quality, urls, warc
+from trackflux.llm import exact, mixing, packing, quality, urls, warc
 from trackflux.llm.frames import table
 
 
@@ -38,3 +38,9 @@ def op6(spark, sf_dir):
 def op7(spark, sf_dir):
     return exact.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+@query("op3_pack_sequences")
+def op3(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens")
