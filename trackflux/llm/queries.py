@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackflux.catalog.registry import query
-from trackflux.llm import exact, mixing, packing, quality, urls, warc
+from trackflux.llm import exact, mixing, neardup, packing, quality, urls, warc
 from trackflux.llm.frames import table
 
 
@@ -44,3 +44,8 @@ def op7(spark, sf_dir):
 def op3(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens")
+
+
+@query("op4_near_dedup")
+def op4(spark, sf_dir):
+    return neardup.groups(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept")
