@@ -101,3 +101,10 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     for n, limit in NGRAM_LIMITS.items():
         fine &= F.col(f"dup_{n}gram_chars") <= limit * F.col("word_chars")
     return measured.withColumn("base_failed", failed).withColumn("kept", ~failed & fine)
+
+
+def keep(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns, whatever they are called."""
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    judged = judge(docs.toDF(*names), names[docs.columns.index(text)])
+    return judged.where("kept").select(*names).toDF(*docs.columns)
