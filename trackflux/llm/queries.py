@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackflux.catalog.registry import query
-from trackflux.llm import exact, mixing, neardup, packing, quality, urls, warc
+from trackflux.llm import exact, mixing, neardup, packing, quality, substrings, suffixes, urls, warc
 from trackflux.llm.frames import table
 
 
@@ -49,3 +49,13 @@ def op3(spark, sf_dir):
 @query("op4_near_dedup")
 def op4(spark, sf_dir):
     return neardup.groups(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op8_substring_dedup", substrings.SQL)
+def op8(spark, sf_dir):
+    return substrings.remove(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept_text")
+
+
+@query("op10_suffix_dedup")
+def op10(spark, sf_dir):
+    return suffixes.remove(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept_bytes")
