@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackflux.catalog.registry import query
-from trackflux.llm import exact, mixing, neardup, packing, quality, substrings, suffixes, urls, warc
+from trackflux.llm import exact, mixing, neardup, packing, quality, scoring, substrings, suffixes, urls, warc
 from trackflux.llm.frames import table
 
 
@@ -59,3 +59,8 @@ def op8(spark, sf_dir):
 @query("op10_suffix_dedup")
 def op10(spark, sf_dir):
     return suffixes.remove(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept_bytes")
+
+
+@query("op9_lm_scores")
+def op9(spark, sf_dir):
+    return scoring.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
