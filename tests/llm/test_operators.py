@@ -193,30 +193,27 @@ def test_signatures_estimate_and_stop_early():
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.05
 
 
-def test_buckets_in_blocks_give_the_same_pairs(spark, monkeypatch):
-    rng = np.random.default_rng(2)
-    base = rng.integers(0, 2**31, neardup.SLOTS).astype(np.uint32)
-    data = []
-    for k in range(40):
-        sig = np.where(rng.random(neardup.SLOTS) < 0.15, rng.integers(0, 2**31, neardup.SLOTS), base).astype(np.uint32)
-        data.append((5, 40, k, k // 2, bytearray(sig.tobytes())))
-    df = spark.createDataFrame(data, "key bigint, n bigint, node bigint, comp bigint, signature binary")
-    whole = rows(neardup._near_pairs(df, None), "u", "v")
+def test_blocks_give_the_same_components(spark, docs, monkeypatch):
+    some = [d for d in docs if d[0] is not None and 1200 <= d[0] <= 1300]
+    df = spark.createDataFrame([(d[0], d[1]) for d in some], "doc_id bigint, text string")
+    want = collections.Counter(plain.near_groups(texts(some)))
     monkeypatch.setattr(neardup, "BLOCK", 7)
-    assert rows(neardup._near_pairs(df, None), "u", "v") == whole and len(whole) > 500
+    # bands that nearly everything shares: all links come from the blocks
+    monkeypatch.setattr(neardup, "_confirmed", lambda pairs, texts: pairs.where("false"))
+    assert rows(neardup.groups(df), "doc_id", "n_shingles", "component_id", "kept") == want
 
 
 def test_components_of_chains_and_hubs(spark):
     rng = random.Random(8)
     edges = [(k, k + 1) for k in range(200)] + [(1000, 1000 + k) for k in range(1, 300)] + [(rng.randrange(5000, 5400), rng.randrange(5000, 5400)) for _ in range(300)]
     rng.shuffle(edges)
-    up = {}
     forest = graph.Forest()
     for a, b in edges:
         forest.join(a, b)
     want = {x: r for x in forest.up if (r := forest.root(x)) != x}
-    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u bigint, v bigint").repartition(6)).collect()}
-    assert got == want and not up
+    table = spark.createDataFrame(edges, "u bigint, v bigint").repartition(6)
+    for few in (0, 100_000):
+        assert {r.node: r.root for r in graph.components(table, few=few).collect()} == want
 
 
 def test_op5(spark, sf_dir, docs):

@@ -12,6 +12,8 @@ from trackflux.llm.frames import staged
 
 #: A task's union-find is written out and begun anew when it holds so many nodes.
 FOREST_NODES = 1_000_000
+#: So few links are finished by one task's union-find; more of them by rounds of joins, with the same result.
+FEW_LINKS = 100_000
 
 
 class Forest:
@@ -56,15 +58,18 @@ def forests(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").mapInArrow(run, "u bigint, v bigint")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, few: int | None = None) -> DataFrame:
     """(node, root) of every node that is not itself the smallest of its component.
 
     Rounds of "every node's neighbours follow its smallest neighbour", up and down, on the
     forests of the tasks. Minima are pre-aggregated and joined back, so a hub's links stay spread.
     """
+    few = FEW_LINKS if few is None else few
     e = staged(forests(edges.where("u <> v")).distinct(), "forest")
     before = None
     for _ in range(rounds):
+        if e.count() <= few:
+            return staged(forests(e.repartition(1)), "components").select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

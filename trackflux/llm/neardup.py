@@ -5,9 +5,9 @@ it offers the value j + (a random fraction) to slot perm(j). A slot keeps its sm
 are below those of place j + 1, a document is done as soon as all its slots are filled: early stopping, here for all
 documents of a slice together, place by place. Slots are banded; documents with an equal band are candidates.
 
-Documents with equal sets are one class first. In a band's bucket, classes are held against one of them; what
-stays unconnected there is compared by signature, nearest neighbours first, then all that is left. Every link is confirmed
-on the full shingle sets of the two texts.
+Documents with equal sets are one class first. In a band's bucket, every class is held against one of them. Where a bucket
+still holds several components, its classes go to blocks that compare the full sets of all of them that are not connected yet; of the links
+found, a block gives back a spanning forest. Every link is confirmed on the full shingle sets of the two texts.
 """
 
 from __future__ import annotations
@@ -21,13 +21,12 @@ from pyspark.sql import functions as F
 
 from trackflux.llm import columns as col
 from trackflux.llm.frames import small, staged
-from trackflux.llm.graph import components
+from trackflux.llm.graph import Forest, components
 
 WORDS, PERCENT = 5, 75
 SLOTS, ROWS = 128, 4
-#: Signatures that agree in a smaller share are not looked at: over five standard errors below PERCENT.
-LEAST_AGREEMENT = 0.55
-BLOCK = 4096
+#: Two blocks of so many classes, or shingles, are compared by a task.
+BLOCK, BLOCK_SHINGLES = 1024, 500_000
 EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -82,7 +81,7 @@ def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key
 
 
-SKETCH = "doc_id bigint, row_key bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, signature binary"
+SKETCH = "doc_id bigint, row_key bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>"
 
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -92,8 +91,7 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         for batch in col.slices(batches, "body"):
             hashes, at = shingles(batch.column(2), powers)
             n = len(at) - 1
-            sig = signatures(hashes, at)
-            keys = bands(sig)
+            keys = bands(signatures(hashes, at))
             sums = []
             for step in (1, 3):
                 total = np.zeros(len(hashes) + 1, np.uint64)
@@ -102,8 +100,7 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
             flat = pa.array(keys.reshape(-1).view(np.int64))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array(np.diff(at).astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]),
-                pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * keys.shape[1], pa.int32()), flat),
-                pa.array([row.tobytes() for row in sig], pa.binary())], names)
+                pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * keys.shape[1], pa.int32()), flat)], names)
 
     return _bodies(docs, doc_id, text).mapInArrow(run, SKETCH)
 
@@ -133,35 +130,51 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Da
     return joined.mapInArrow(run, "u bigint, v bigint")
 
 
-def _near_pairs(buckets: DataFrame, best: int | None) -> DataFrame:
-    """Pairs of different components in a bucket whose signatures agree enough: each class's ``best`` ones, or all.
+def _links(texts: pa.Array, node: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """A forest of the links between ``left`` and ``right`` rows that are not in one component yet.
 
-    ``buckets``: key, n, node, comp, signature. A bucket of many classes is cut into blocks, and blocks meet in pairs.
+    Row by row, the shingles of one text are marked and counted in all texts of the other side.
     """
-    def run(key, group):
-        node, comp, side = (group.column(c).to_numpy() for c in ("node", "comp", "side"))
-        sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(len(node), -1)
+    hashes, at = shingles(texts, col.Powers())
+    _, ids = np.unique(hashes, return_inverse=True)
+    sizes = np.diff(at)
+    names, component = np.unique(comp, return_inverse=True)
+    largest = np.bincount(component).argmax()
+    forest = Forest()
+    marked = np.zeros(ids.max() + 1 if len(ids) else 1, np.int32)
+
+    def compare(rows: np.ndarray, others: np.ndarray) -> None:
+        if not len(rows) or not len(others):
+            return
+        entries = np.concatenate([ids[at[k]:at[k + 1]] for k in others])
+        begin = np.concatenate([[0], np.cumsum(sizes[others])[:-1]])
+        for a in rows:
+            mine = ids[at[a]:at[a + 1]]
+            marked[mine] = 1
+            common = np.add.reduceat(marked[entries], begin)
+            marked[mine] = 0
+            for b in others[100 * common >= percent * (sizes[a] + sizes[others] - common)]:
+                if component[a] != component[b]:
+                    forest.join(int(names[component[a]]), int(names[component[b]]))
+
+    # the largest component's own pairs are skipped
+    compare(left[component[left] != largest], right)
+    compare(right[component[right] != largest], left[component[left] == largest])
+    return forest.edges()
+
+
+def _rest(open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v) links between components: all classes of a group are compared, in pairs of blocks. ``open_``: group, blocks, node, comp."""
+    def run(key, table):
+        node, comp, side = (table.column(c).to_numpy() for c in ("node", "comp", "side"))
         low, high = key[1].as_py(), key[2].as_py()
-        left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
-        pairs = []
-        step = max(1, 8_000_000 // max(1, len(right) * sig.shape[1]))
-        for k in range(0, len(left), step):
-            rows = left[k:k + step]
-            agree = (sig[rows, None, :] == sig[None, right, :]).mean(2)
-            agree[comp[rows][:, None] == comp[right][None, :]] = 0
-            if best and agree.shape[1] > best:
-                agree[agree < np.partition(agree, -best, 1)[:, -best][:, None]] = 0
-            i, j = np.nonzero(agree >= LEAST_AGREEMENT)
-            pairs.append(np.stack([node[rows[i]], node[right[j]]], 1))
-        found = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
-        found = np.unique(np.sort(found, 1), axis=0)
-        return pa.table({"u": found[:, 1], "v": found[:, 0]})
-
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = buckets.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "node", "comp", "signature")
-    return dealt.groupBy("key", "low", "high").applyInArrow(run, "u bigint, v bigint").distinct()
+        found = _links(table.column("body").combine_chunks(), node, comp, np.flatnonzero(side == low), np.flatnonzero(side == high))
+        return pa.table({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([x for _, x in found], pa.int64())})
+
+    dealt = open_.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("group", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "node", "comp", "body")
+    return dealt.groupBy("group", "low", "high").applyInArrow(run, "u bigint, v bigint")
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -175,7 +188,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     sets = ["set_a", "set_b", "n_shingles"]
     some = rows.where("n_shingles > 0")
     class_of = staged(some.groupBy(*sets).agg(F.min("row_key").alias("node")), "classes")
-    nodes = staged(some.select("row_key", "bands", "signature").join(class_of.select(F.col("node").alias("row_key")), "row_key", "left_semi").dropDuplicates(["row_key"])
+    nodes = staged(some.select("row_key", "bands").join(class_of.select(F.col("node").alias("row_key")), "row_key", "left_semi").dropDuplicates(["row_key"])
                    .withColumnRenamed("row_key", "node"), "nodes")
     keyed = nodes.select(F.explode("bands").alias("key"), "node")
     shared = staged(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1"), "buckets")
@@ -187,18 +200,19 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     first = members.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
     links = staged(_confirmed(first, texts), "links-1")
     roots = components(links)
-    for k, best in enumerate((4, None), 2):
-        placed = members.join(small(roots), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-        apart = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        open_ = staged(placed.join(small(staged(apart, "open")), "key", "left_semi"), f"open-{k}")
-        if open_.isEmpty():
-            break
-        near = staged(_near_pairs(open_.join(nodes.select("node", "signature"), "node"), best), f"near-{k}")
-        more = staged(_confirmed(near, texts), f"links-{k}")
-        if more.isEmpty():
-            continue
-        links = links.unionByName(more)
-        roots = components(links)
+    placed = members.join(small(roots), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    apart = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    open_ = staged(placed.join(small(staged(apart, "apart")), "key", "left_semi").select("node", "pivot", "comp").distinct(), "open")
+    if not open_.isEmpty():
+        # buckets with a class in common are one group, so that a text goes to one place
+        group_of = components(open_.select(F.col("node").alias("u"), F.col("pivot").alias("v")))
+        grouped = open_.select("node", "comp").distinct().join(small(group_of), "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root")
+        grouped = staged(grouped, "groups")
+        blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+        sizes = grouped.join(class_of.select("node", "n_shingles"), "node").groupBy("group").agg(blocks.alias("blocks"))
+        more = staged(_rest(grouped.join(small(staged(sizes, "group-sizes")), "group"), texts), "links-2")
+        if not more.isEmpty():
+            roots = components(links.unionByName(more))
 
     placed = rows.select("doc_id", "row_key", *sets).join(class_of, sets, "left").join(small(roots), "node", "left")
     placed = placed.withColumn("comp", F.coalesce("root", "node", "row_key"))
