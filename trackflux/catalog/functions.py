@@ -29,7 +29,10 @@ def udf_masked_slope(spark, d):
 k AS (SELECT *, unnest(generate_series(0, (n - 50) // 10)) AS window_idx FROM n WHERE n >= 50)
 SELECT recording_id, vehicle_id, window_idx, window_idx * 10 AS start, window_idx * 10 + 50 AS stop FROM k"""))
 def udtf_windows(spark, d):
-    udfs.register(spark)
+    """One call per slice of a trajectory's windows, so that a long one is spread over tasks."""
+    per_call = 4096
     n = plan.kinematic(spark, d).groupBy(*KEYS).agg(F.count(F.lit(1)).cast("int").alias("n"))
-    n.createOrReplaceTempView("_track_lengths")
-    return spark.sql(f"SELECT {', '.join(KEYS)}, w.* FROM _track_lengths, LATERAL udtf_windows(n, 50, 10) w")
+    last = F.greatest(F.floor((F.col("n") - 50) / 10 / per_call), F.lit(0)).cast("int")
+    calls = n.withColumn("slice", F.explode(F.sequence(F.lit(0), last)))
+    udtf = udfs.WindowsOf(F.col("n").outer(), F.lit(50), F.lit(10), (F.col("slice") * per_call).outer(), F.lit(per_call))
+    return calls.lateralJoin(udtf).select(*KEYS, "window_idx", "start", "stop")

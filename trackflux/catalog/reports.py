@@ -76,9 +76,10 @@ def agg_subset_grid(spark, d):
 @query("agg_histogram", S.with_(S.KIN + """,
 g AS (SELECT min(vx) AS lo, max(vx) AS hi, count(vx) AS n, (max(vx) - min(vx)) / 200 AS w,
   quantile_cont(vx, 0.01) AS q1, quantile_cont(vx, 0.99) AS q2 FROM kin)""", f"""
-SELECT CAST(least(floor((vx - lo) / w), 199) AS INTEGER) AS bin, count(*) AS count, {S.r('min(lo) + CAST(least(floor((vx - lo) / w), 199) AS INTEGER) * min(w)', 5)} AS "left",
-  {S.r('count(*) / (min(n) * min(w))', 8)} AS density, {S.r('min(q1)', 5)} AS view_lo, {S.r('min(q2)', 5)} AS view_hi
-FROM kin, g WHERE vx IS NOT NULL GROUP BY CAST(least(floor((vx - lo) / w), 199) AS INTEGER)"""))
+SELECT bin, count(vx) AS count, {S.r('min(lo) + bin * min(w)', 5)} AS "left", {S.r('count(vx) / (min(n) * min(w))', 8)} AS density,
+  {S.r('min(q1)', 5)} AS view_lo, {S.r('min(q2)', 5)} AS view_hi
+FROM (SELECT CAST(i AS INTEGER) AS bin, g.* FROM range(200) r(i), g) b LEFT JOIN kin ON CAST(least(floor((vx - b.lo) / b.w), 199) AS INTEGER) = b.bin
+GROUP BY bin"""))
 def agg_histogram(spark, d):
     df = rep.histogram(plan.kinematic(spark, d), "vx")
     return _rnd(_rnd(df, ["left", "view_lo", "view_hi"], 5), ["density"], 8)

@@ -73,12 +73,20 @@ def subset_grid(df: DataFrame, signals: list[str], subsets: dict[str, list[str]]
 
 
 def histogram(df: DataFrame, x: str, bins: int = 200, lo_q: float = 0.01, hi_q: float = 0.99) -> DataFrame:
-    """Equal-width counts and densities with the robust display range."""
+    """Equal-width counts and densities with the robust display range.
+
+    All ``bins`` rows come back, empty ones with zero; without any value there is no row.
+    """
     rng = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n")).first()
+    shape = "bin int, count bigint, `left` double, density double, view_lo double, view_hi double"
+    if not rng.n:
+        return df.sparkSession.createDataFrame([], shape)
     q = exact_quantiles(df, [], x, {"q_lo": lo_q, "q_hi": hi_q}).first()
     width = (rng.hi - rng.lo) / bins
     b = F.least(F.floor((F.col(x) - rng.lo) / F.lit(width)), F.lit(bins - 1)) if width > 0 else F.lit(0)
     counts = df.where(F.col(x).isNotNull()).groupBy(b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    counts = F.broadcast(every).join(counts, "bin", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     return counts.select(
         "bin", "count", (F.lit(rng.lo) + F.col("bin") * F.lit(width)).alias("left"),
         (F.col("count") / (F.lit(float(rng.n)) * F.lit(width or 1.0))).alias("density"),
@@ -145,9 +153,15 @@ SIDES = ["left", "right", "unknown"]
 
 
 def side_counts(events: DataFrame, by: Column | None = None, name: str = "split_value") -> DataFrame:
-    """Events per side, zero-filled, with percent inside each split value (NULL is a value)."""
-    group = F.lit("all") if by is None else by.cast("string")
-    wide = events.groupBy(group.alias(name)).agg(*[F.count_if(F.col("lc_side") == s).alias(s) for s in SIDES])
+    """Events per side, zero-filled, with percent inside each split value (NULL is a value).
+
+    Without a split there are three rows even if there is no event.
+    """
+    counts = [F.count_if(F.col("lc_side") == s).alias(s) for s in SIDES]
+    if by is None:
+        wide = events.agg(*counts).withColumn(name, F.lit("all"))
+    else:
+        wide = events.groupBy(by.cast("string").alias(name)).agg(*counts)
     pairs = ", ".join(f"'{s}', `{s}`" for s in SIDES)
     long = wide.selectExpr(f"`{name}`", f"stack({len(SIDES)}, {pairs}) as (side, count)")
     return with_percent(long, "count", "pct", [name])
@@ -193,7 +207,7 @@ def lane_spans(meta: DataFrame) -> DataFrame:
     """Lane spans per carriageway and the median strip, from ``upper`` / ``lower`` lists."""
     out = None
     for side in ("lower", "upper"):
-        m = F.col(side)
+        m = F.array_distinct(F.col(side))  # a marking given twice makes no lane of width zero
         pairs = F.transform(
             F.sequence(F.lit(1), F.size(m) - 1), lambda i: F.struct(F.element_at(m, i).alias("y0"), F.element_at(m, i + 1).alias("y1"))
         )

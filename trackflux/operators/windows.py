@@ -41,7 +41,7 @@ def window_aggregate(
     out = window_members(frames, W, stride).groupBy(*KEYS, "window_idx").agg(
         F.count(F.lit(1)).alias("_n"),
         F.max(F.when(F.col("i") == 0, F.col("frame"))).alias("start_frame"),
-        *[F.first(c).alias(c) for c in carry],
+        *[F.min_by(c, "i").alias(c) for c in carry],
         *[a.alias(n) for n, a in aggs.items()],
     )
     return out.where(F.col("_n") == W).drop("_n")
