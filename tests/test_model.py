@@ -58,6 +58,100 @@ def test_blocks_equal_one_block(rows):
             assert np.allclose(one[k], many[k], atol=1e-9)
 
 
+def path_score(path, lb, start, M):
+    return start[path[0]] + lb[0][path[0]] + sum(M[a, b] + x[b] for a, b, x in zip(path, path[1:], lb[1:]))
+
+
+@pytest.mark.parametrize("block,fan", [(256, 256), (2, 256), (2, 2), (3, 2)])
+def test_tied_best_path_is_a_path(spark, block, fan):
+    start, M = np.array([0.5, 0.5]), np.array([[0.1, 0.9], [0.9, 0.1]])
+    data = [(1, v, t, [0.0, 0.0]) for v, n in ((1, 4), (2, 9), (3, 1), (4, 2)) for t in range(n)]
+    df = spark.createDataFrame(data, "recording_id bigint, vehicle_id bigint, t bigint, logb array<double>")
+    z = collect(R.best_path(df, start, M, block=block, fan=fan), "z")
+    for v, n in ((1, 4), (2, 9), (3, 1), (4, 2)):
+        path = [z[(v, t)] for t in range(n)]
+        assert all(a != b for a, b in zip(path, path[1:]))
+
+
+def test_best_path_of_a_long_trajectory_is_optimal(rows):
+    lb = [r.logb for r in sorted(rows.where("vehicle_id = 1").collect(), key=lambda r: r.t)]
+    start, M = np.log(P.start("add")), np.log(P.kernel("add"))
+    v = start + lb[0]
+    for x in lb[1:]:
+        v = (v[:, None] + M).max(axis=0) + x
+    for block, fan in ((256, 256), (3, 2)):
+        z = collect(R.best_path(rows, P.start("add"), P.kernel("add"), block=block, fan=fan), "z")
+        assert path_score([z[(1, t)] for t in range(23)], lb, start, M) == pytest.approx(v.max())
+
+
+@pytest.mark.parametrize("wrong", [float("inf"), float("-inf"), float("nan")])
+def test_a_bad_trajectory_is_left_out_whole_in_any_block_size(spark, rows, wrong):
+    data = [(r.recording_id, r.vehicle_id, r.t, [wrong, *r.logb[1:]] if (r.vehicle_id, r.t) == (1, 10) else r.logb) for r in rows.collect()]
+    bad = spark.createDataFrame(data, rows.schema)
+    args = (P.start("add"), P.kernel("add"))
+    for job, col in ((R.smooth, "gamma"), (R.forward_filter, "ll"), (R.best_path, "z")):
+        want = {k: v for k, v in collect(job(rows, *args), col).items() if k[0] != 1}
+        for sizes in ({}, {"block": 3, "fan": 2}, {"block": 3}):
+            got = collect(job(bad, *args, **sizes), col)
+            assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in got)
+
+
+def observed(spark, spoil=False):
+    from trackflux.latent.emission import scaled
+
+    rng = np.random.default_rng(4)
+    cols = [scaled(c) for c in P.continuous]
+    data = []
+    for v, n in ((1, 12), (2, 5), (3, 1), (4, 30)):
+        state = rng.integers(0, 3)
+        for t in range(n):
+            x = [float(z) for z in rng.normal(loc=2.0 * state - 2, size=len(cols))]
+            if spoil and (v, t) == (1, 6):
+                x[0] = 1e200
+            data.append((1, v, t, *x, *[float(rng.random() < 0.3) for _ in P.binary]))
+            state = state if rng.random() < 0.8 else rng.integers(0, 3)
+    schema = "recording_id bigint, vehicle_id bigint, t bigint, " + ", ".join(f"{c} double" for c in [*cols, *P.binary])
+    return spark.createDataFrame(data, schema)
+
+
+def test_statistics_with_a_bad_window_do_not_depend_on_blocks(spark):
+    good, bad = observed(spark).where("vehicle_id <> 1"), observed(spark, spoil=True)
+    want = em.read_stats(em.e_step_table(good, P, 30), P)
+    for block in (256, 3):
+        got = em.read_stats(em.e_step_table(bad, P, 30, block=block), P)
+        assert float(got.n_bad) == 1 and float(got.n_sequences) == 3 and float(got.n_rows) == 36
+        for name in ("loglik", "mass", "xi_s", "xi_a", "sum_x2", "flag_on"):
+            assert np.allclose(getattr(got, name), getattr(want, name))
+        ll, n = em.total_loglik(bad, P, 30, block=block)
+        assert n == 36 and ll == pytest.approx(float(want.loglik))
+
+
+def test_fit_does_not_lose_likelihood_and_stops(spark, tmp_path):
+    obs = observed(spark)
+    done = em.fit(obs, obs, P, 30, max_iter=40, checkpoint_path=str(tmp_path))
+    train = [h["train_loglik"] for h in done.history]
+    assert len(train) < 40 and train[-1] > train[0]
+    assert all(h["val_rows"] == 48 for h in done.history)
+    assert np.allclose(done.params.A_s.sum(1), 1, atol=1e-4) and (tmp_path / "final").is_dir()
+    if len(train) >= 5:
+        assert (tmp_path / "iteration=5").is_dir()
+
+
+def test_product_model_is_fitted_and_given_back(spark):
+    rng = np.random.default_rng(6)
+    D, B = len(P.continuous), len(P.binary)
+    e = lambda k: {"mean": rng.normal(size=(k, D)), "var": np.ones((k, D)), "bern": np.full((k, B), 0.3)}
+    start = e(2), e(4)
+    done = em.fit_product(observed(spark), *start, P, 30, max_iter=4)
+    assert len(done.history) >= 2 and not np.allclose(done.style["mean"], start[0]["mean"])
+    assert done.history[-1]["train_loglik"] > done.history[0]["train_loglik"]
+
+
+def test_kmeans_starts_find_the_clusters(spark):
+    start = em.kmeans_start(observed(spark), P.continuous, P.binary, 3)
+    assert start["mean"].shape == (3, len(P.continuous)) and (start["var"] > 0).all()
+
+
 def test_gammas_sum_to_one(rows):
     g = collect(R.smooth(rows, P.start("add"), P.kernel("add")), "gamma")
     assert np.allclose([sum(v) for v in g.values()], 1.0)

@@ -12,6 +12,10 @@ vector as a K x K matrix in the (log-sum, +) or (max, +) algebra, so:
 Short trajectories are a single block and skip 1 and 2. Inside a task, all
 blocks of an Arrow batch advance together, one vectorised step per position.
 No task ever holds more than a batch of bounded blocks.
+
+A trajectory with a log-likelihood that is not finite is left out as a whole: its
+block turns the matrices, and so the vectors that enter all its other blocks, into NaN.
+Where a trajectory starts and ends is a flag of its own (no vector).
 """
 
 from __future__ import annotations
@@ -62,11 +66,10 @@ class Kernel:
         self.best, self.norm_prior = best, norm_prior
         self.K = len(start)
 
-    def forward(self, logb: np.ndarray, n: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Prior, posterior (B, N, K) and log increments (B, N); ``entry`` rows of NaN mean a start."""
+    def forward(self, logb: np.ndarray, n: np.ndarray, entry: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Prior, posterior (B, N, K) and log increments (B, N); ``start`` rows begin a trajectory."""
         B, N, K = logb.shape
         prior, post, inc = np.zeros((B, N, K)), np.zeros((B, N, K)), np.zeros((B, N))
-        start = np.isnan(entry[:, 0])
         prev = np.where(start[:, None], 0.0, entry)
         for i in range(N):
             p = _step(prev, self.M, self.logM, self.best)
@@ -80,26 +83,26 @@ class Kernel:
             prev = np.where(live, q, prev)
         return prior, post, inc
 
-    def backward(self, logb: np.ndarray, n: np.ndarray, exit_: np.ndarray) -> np.ndarray:
-        """(B, N, K) log weights of everything after each row; ``exit_`` rows of NaN mean an end."""
+    def backward(self, logb: np.ndarray, n: np.ndarray, exit_: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """(B, N, K) log weights of everything after each row; ``last`` rows end a trajectory."""
         B, N, K = logb.shape
         beta = np.zeros((B, N, K))
-        end = np.where(np.isnan(exit_[:, :1]), 0.0, exit_)
+        end = np.where(last[:, None], 0.0, exit_)
         Mt, logMt = self.M.T, self.logM.T
         nxt = end
         for i in range(N - 1, -1, -1):
-            last = (i == n - 1)[:, None]
+            final = (i == n - 1)[:, None]
             inner = (i < n - 1)[:, None]
             if i + 1 < N:
                 b = _norm(_step(logb[:, i + 1] + nxt, Mt, logMt, self.best), self.best)[1]
             else:
                 b = end
-            nxt = np.where(last, end, np.where(inner, b, nxt))
+            nxt = np.where(final, end, np.where(inner, b, nxt))
             beta[:, i] = nxt
         return beta
 
     def block_matrix(self, logb: np.ndarray, n: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """(B, K, K) action of each block; a first block ignores what enters it."""
+        """(B, K, K) action of each block; a first block ignores what enters it. NaN if a value is not finite."""
         B, N, K = logb.shape
         eye = np.where(np.eye(K) > 0, 0.0, LOG_FLOOR)
         mat = np.repeat(eye[None], B, axis=0)
@@ -110,6 +113,7 @@ class Kernel:
             new = stepped + logb[:, i][:, None, :]
             new = new - new.max(axis=(1, 2), keepdims=True)  # a common factor does not matter
             mat = np.where((i < n)[:, None, None], new, mat)
+        mat[~np.isfinite(logb).all(axis=(1, 2))] = np.nan
         return mat
 
 
@@ -141,8 +145,20 @@ def _log_emissions(part: pd.DataFrame, n: np.ndarray, K: int, emit: Emit | None)
     return out
 
 
-def _vectors(col: pd.Series, K: int) -> np.ndarray:
-    return np.array([np.full(K, np.nan) if v is None else np.asarray(v, dtype=float) for v in col])
+def _vectors(col: pd.Series, K: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors (zeros where there is none), and where there is none."""
+    none = col.isna().to_numpy()
+    return np.array([np.zeros(K) if v is None else np.asarray(v, dtype=float) for v in col]).reshape(len(col), K), none
+
+
+class Borders:
+    """What enters blocks from the left and from the right, and which blocks belong to a bad trajectory."""
+
+    def __init__(self, part: pd.DataFrame, logb: np.ndarray, K: int):
+        self.entry, self.start = _vectors(part["entry"], K)
+        self.exit, self.last = _vectors(part["exit"], K)
+        self.bad = ~(np.isfinite(logb).all(axis=(1, 2)) & np.isfinite(self.entry).all(axis=1) & np.isfinite(self.exit).all(axis=1))
+        self.entry[self.bad] = self.exit[self.bad] = 0.0
 
 
 def chunks(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -239,30 +255,39 @@ def longest_sequence(rows: DataFrame) -> int:
 
 def run_blocks(rows: DataFrame, kernel: Kernel, fn: Callable, schema: str, longest: int | None = None,
                block: int = BLOCK, fan: int = BLOCK, emit: Emit | None = None) -> DataFrame:
-    """Apply ``fn(part, logb, n, entry, exit) -> DataFrame`` to chunks of blocks.
+    """Apply ``fn(part, logb, n, borders) -> DataFrame`` to chunks of blocks.
 
     ``rows`` carry finished log-likelihoods in ``logb``, or features in ``x``
-    that ``emit`` turns into log-likelihoods inside the task.
+    that ``emit`` turns into log-likelihoods inside the task. Blocks of bad
+    trajectories arrive with ``borders.bad`` set and zeros for values.
     """
     if longest is None:
         longest = longest_sequence(rows)
-    bordered = with_borders(pack(rows, block), kernel, longest, block, fan, emit)
+    return run_packed(pack(rows, block), kernel, fn, schema, longest, block, fan, emit)
+
+
+def run_packed(packed: DataFrame, kernel: Kernel, fn: Callable, schema: str, longest: int, block: int = BLOCK, fan: int = BLOCK,
+               emit: Emit | None = None) -> DataFrame:
+    """``run_blocks`` on rows that are packed already (a table that many passes read)."""
+    bordered = with_borders(packed, kernel, longest, block, fan, emit)
     K = kernel.K
 
     def apply(it):
         for pdf in it:
             for part in chunks(pdf):
                 n = part["n"].to_numpy()
-                yield fn(part, _log_emissions(part, n, K, emit), n, _vectors(part["entry"], K), _vectors(part["exit"], K))
+                logb = _log_emissions(part, n, K, emit)
+                borders = Borders(part, logb, K)
+                yield fn(part, np.where(borders.bad[:, None, None], 0.0, logb), n, borders)
 
     return bordered.mapInPandas(apply, schema)
 
 
-def _flat_rows(part: pd.DataFrame, n: np.ndarray, block: int, **cols: np.ndarray) -> pd.DataFrame:
-    """(B, N, ...) results back to one row per window."""
-    B, N = len(part), int(n.max())
-    live = np.arange(N)[None, :] < n[:, None]
-    out = {k: np.repeat(part[k].to_numpy(), n) for k in KEYS}
+def _flat_rows(part: pd.DataFrame, n: np.ndarray, block: int, bad: np.ndarray, **cols: np.ndarray) -> pd.DataFrame:
+    """(B, N, ...) results back to one row per window, without those of bad trajectories."""
+    N = int(n.max())
+    live = (np.arange(N)[None, :] < n[:, None]) & ~bad[:, None]
+    out = {k: np.repeat(part[k].to_numpy(), np.where(bad, 0, n)) for k in KEYS}
     out["t"] = (part["blk"].to_numpy()[:, None] * block + np.arange(N)[None, :])[live]
     for name, v in cols.items():
         out[name] = list(v[live]) if v.ndim == 3 else v[live]
@@ -278,10 +303,10 @@ def forward_filter(rows: DataFrame, start: np.ndarray, kernel: np.ndarray, longe
     k = Kernel(start, kernel, norm_prior=norm_prior)
     more = ", logb array<double>" if keep_logb else ""
 
-    def fn(part, logb, n, entry, _exit):
-        prior, post, inc = k.forward(logb, n, entry)
+    def fn(part, logb, n, b):
+        prior, post, inc = k.forward(logb, n, b.entry, b.start)
         kept = {"logb": logb} if keep_logb else {}
-        return _flat_rows(part, n, block, prior=prior, post=post, ll=inc, **kept)
+        return _flat_rows(part, n, block, b.bad, prior=prior, post=post, ll=inc, **kept)
 
     schema = f"{_KEY_SCHEMA}, t bigint, prior array<double>, post array<double>, ll double{more}"
     return run_blocks(rows, k, fn, schema, longest, block, fan, emit)
@@ -292,33 +317,106 @@ def smooth(rows: DataFrame, start: np.ndarray, kernel: np.ndarray, longest: int
     """Per window: posterior ``gamma`` given the whole trajectory and the forward log increment."""
     k = Kernel(start, kernel)
 
-    def fn(part, logb, n, entry, exit_):
-        _, post, inc = k.forward(logb, n, entry)
-        _, g = _norm(post + k.backward(logb, n, exit_), False)
-        return _flat_rows(part, n, block, gamma=np.exp(g), ll=inc)
+    def fn(part, logb, n, b):
+        _, post, inc = k.forward(logb, n, b.entry, b.start)
+        _, g = _norm(post + k.backward(logb, n, b.exit, b.last), False)
+        return _flat_rows(part, n, block, b.bad, gamma=np.exp(g), ll=inc)
 
     return run_blocks(rows, k, fn, f"{_KEY_SCHEMA}, t bigint, gamma array<double>, ll double", longest, block, fan, emit)
 
 
+def _back_pointers(k: Kernel, logb: np.ndarray, n: np.ndarray, b: Borders) -> tuple[np.ndarray, np.ndarray]:
+    """Best predecessor of each state at each row (B, N, K), and the best last state of each block."""
+    _, post, _ = k.forward(logb, n, b.entry, b.start)
+    before = np.concatenate([b.entry[:, None], post[:, :-1]], axis=1)
+    back = (before[..., :, None] + k.logM).argmax(axis=-2)
+    return back, post[np.arange(len(n)), n - 1].argmax(axis=1)
+
+
+def _follow(back: np.ndarray, n: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """States (B, N) of the paths that end in ``state``, and before the first row, in column 0 of (B, N + 1)."""
+    B, N, _ = back.shape
+    path, rows = np.zeros((B, N + 1), dtype=np.int64), np.arange(B)
+    for i in range(N - 1, -1, -1):
+        state_here = np.where(i < n, state, 0)
+        path[:, i + 1] = state_here
+        state = np.where(i < n, back[rows, i, state_here], state)
+    path[:, 0] = state
+    return path
+
+
+def _exit_states(maps: DataFrame, n_blocks: int, fan: int) -> DataFrame:
+    """(keys, blk, state): the best path's state at the end of each block, from (keys, blk, lead, best, given).
+
+    ``lead[z]`` is the state before the block if the block ends in z. The last block ends in its
+    ``best`` state, or in ``given``. Many blocks are composed and walked level by level.
+    """
+    schema = f"{_KEY_SCHEMA}, blk bigint, state int"
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("blk", ascending=False)
+        given = pdf["given"].iloc[0]
+        state = int(pdf["best"].iloc[0] if pd.isna(given) else given)
+        out = []
+        for lead in pdf["lead"]:
+            out.append(state)
+            state = int(lead[state])
+        return pdf[[*KEYS, "blk"]].assign(state=out)
+
+    if n_blocks <= fan:
+        return maps.groupBy(*KEYS).applyInPandas(walk, schema)
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("blk", ascending=False)
+        lead = np.arange(len(pdf["lead"].iloc[0]))
+        for m in pdf["lead"]:
+            lead = np.asarray(m)[lead]
+        res = pdf[[*KEYS, "grp", "best"]].iloc[:1].rename(columns={"grp": "blk"})
+        return res.assign(lead=[lead.tolist()], given=None)[[*KEYS, "blk", "lead", "best", "given"]]
+
+    grouped = maps.withColumn("grp", F.floor(F.col("blk") / fan).cast("bigint"))
+    upper = grouped.groupBy(*KEYS, "grp").applyInPandas(compose, f"{_KEY_SCHEMA}, blk bigint, lead array<int>, best int, given int")
+    ends = _exit_states(upper, -(-n_blocks // fan), fan).select(*KEYS, F.col("blk").alias("grp"), F.col("state").alias("_end"))
+    dealt = grouped.join(ends, [*KEYS, "grp"]).withColumn("given", F.col("_end").cast("int")).drop("_end")
+    return dealt.groupBy(*KEYS, "grp").applyInPandas(walk, schema)
+
+
 def best_path(rows: DataFrame, start: np.ndarray, kernel: np.ndarray, longest: int | None = None,
               block: int = BLOCK, fan: int = BLOCK, emit: Emit | None = None) -> DataFrame:
-    """Most likely state per window: the maximiser of forward plus backward best scores."""
+    """Most likely state sequence of each trajectory, one path by back-pointers also where several are equally good."""
     k = Kernel(start, kernel, best=True)
+    if longest is None:
+        longest = longest_sequence(rows)
+    schema = f"{_KEY_SCHEMA}, t bigint, z int"
+    packed = pack(rows, block)
+    if longest <= block:
+        def whole(part, logb, n, b):
+            back, best = _back_pointers(k, logb, n, b)
+            return _flat_rows(part, n, block, b.bad, z=_follow(back, n, best)[:, 1:].astype("int32"))
+
+        return run_packed(packed, k, whole, schema, longest, block, fan, emit)
+
+    def leads(part, logb, n, b):
+        back, best = _back_pointers(k, logb, n, b)
+        lead = np.stack([_follow(back, n, np.full(len(n), z))[:, 0] for z in range(k.K)], axis=1).astype("int32")
+        return part[[*KEYS, "blk"]].assign(lead=list(lead), best=best.astype("int32"), given=None)
+
+    maps = run_packed(packed, k, leads, f"{_KEY_SCHEMA}, blk bigint, lead array<int>, best int, given int", longest, block, fan, emit)
+    ends = _exit_states(maps, -(-longest // block), fan)
 
-    def fn(part, logb, n, entry, exit_):
-        _, post, _ = k.forward(logb, n, entry)
-        z = (post + k.backward(logb, n, exit_)).argmax(axis=2).astype("int32")
-        return _flat_rows(part, n, block, z=z)
+    def trace(part, logb, n, b):
+        back, _ = _back_pointers(k, logb, n, b)
+        return _flat_rows(part, n, block, b.bad, z=_follow(back, n, part["state"].to_numpy().astype(np.int64))[:, 1:].astype("int32"))
 
-    return run_blocks(rows, k, fn, f"{_KEY_SCHEMA}, t bigint, z int", longest, block, fan, emit)
+    return run_packed(packed.join(ends, [*KEYS, "blk"]), k, trace, schema, longest, block, fan, emit)
 
 
-def pair_posteriors(k: Kernel, logb: np.ndarray, n: np.ndarray, entry: np.ndarray, exit_: np.ndarray):
+def pair_posteriors(k: Kernel, logb: np.ndarray, n: np.ndarray, b: Borders):
     """gamma (B, N, K), increments (B, N) and xi (B, N, K, K) of the step into each row."""
-    _, post, inc = k.forward(logb, n, entry)
-    beta = k.backward(logb, n, exit_)
+    _, post, inc = k.forward(logb, n, b.entry, b.start)
+    beta = k.backward(logb, n, b.exit, b.last)
     gamma = np.exp(_norm(post + beta, False)[1])
-    prev = np.concatenate([np.where(np.isnan(entry), 0.0, entry)[:, None], post[:, :-1]], axis=1)
+    prev = np.concatenate([b.entry[:, None], post[:, :-1]], axis=1)
     s = prev[..., :, None] + k.logM + (logb + beta)[..., None, :]
     s -= s.max(axis=(2, 3), keepdims=True)
     xi = np.exp(s)
@@ -326,5 +424,5 @@ def pair_posteriors(k: Kernel, logb: np.ndarray, n: np.ndarray, entry: np.ndarra
     N = logb.shape[1]
     live = np.arange(N)[None, :] < n[:, None]
     step = live.copy()
-    step[:, 0] &= ~np.isnan(entry[:, 0])
+    step[:, 0] &= ~b.start
     return gamma * live[..., None], inc, xi * step[..., None, None]

@@ -86,7 +86,7 @@ def histogram(df: DataFrame, x: str, bins: int = 200, lo_q: float = 0.01, hi_q:
     b = F.least(F.floor((F.col(x) - rng.lo) / F.lit(width)), F.lit(bins - 1)) if width > 0 else F.lit(0)
     counts = df.where(F.col(x).isNotNull()).groupBy(b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    counts = F.broadcast(every).join(counts, "bin", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    counts = every.join(counts, "bin", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     return counts.select(
         "bin", "count", (F.lit(rng.lo) + F.col("bin") * F.lit(width)).alias("left"),
         (F.col("count") / (F.lit(float(rng.n)) * F.lit(width or 1.0))).alias("density"),
