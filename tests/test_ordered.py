@@ -113,6 +113,22 @@ def test_sliced_index_and_segments_equal_plain(spark):
     assert {tuple(r) for r in s1.select(*key, "c").collect()} == {tuple(r) for r in s2.select(*key, "c").collect()}
 
 
+@pytest.mark.parametrize("case", ["nulls", "outlier", "crowd", "ties"])
+def test_slices_follow_rows_not_width(spark, case):
+    rng = np.random.default_rng(9)
+    o = {
+        "nulls": [None] * 40 + rng.permutation(200).tolist(),
+        "outlier": [*rng.permutation(400).tolist(), 10**12],
+        "crowd": [*range(0, 10**9, 10**7), *rng.permutation(300).tolist()],
+        "ties": [5] * 60 + rng.permutation(100).tolist(),
+    }[case]
+    rows = [(1, 1, None if x is None else float(x), k) for k, x in enumerate(o)] + [(1, 2, float(k), k) for k in range(3)]
+    df = spark.createDataFrame(rows, "recording_id bigint, vehicle_id bigint, o double, k bigint")
+    plain = dense_index(df, F.col("o"), ["k"], longest=500)
+    cut = dense_index(df, F.col("o"), ["k"], longest=500, rows_per_slice=16)
+    assert {(r.vehicle_id, r.k): r.t for r in plain.collect()} == {(r.vehicle_id, r.k): r.t for r in cut.collect()}
+
+
 def test_quantiles_of_large_groups_equal_small(spark):
     rng = np.random.default_rng(1)
     vals = np.concatenate([rng.normal(size=3000), np.full(500, 0.25), 1e6 * rng.normal(size=20)])

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schema import KEYS
+from .storage import materialise
 
 SEGMENT_ROWS = 65_536
 
@@ -31,44 +32,44 @@ def dense_index(
     longest: int | None = None,
     rows_per_slice: int = SEGMENT_ROWS,
 ) -> DataFrame:
-    """Add the 0-based position of every row inside its key.
+    """Add the 0-based position of every row inside its key; rows without ``order`` come first.
 
     ``order`` must be numeric. If the largest key is checked to fit one slice a
-    plain window numbers it. Otherwise keys are cut evenly over the range of
-    ``order``, each slice is numbered on its own and shifted by the rows in
-    earlier slices of the key.
+    plain window numbers it. Otherwise keys are cut over the range of ``order``; a
+    slice that a count shows to hold too many rows (values crowd, or one lies far out) is cut
+    again over its own range, until each fits or holds one value only. Slices are numbered on their own
+    and shifted by the rows in earlier slices of the key.
     """
     tie = tie or []
     if longest is None:
         longest = longest_key(df, keys)
     base = df.withColumn("_o", order)
     if longest <= rows_per_slice:
-        w = Window.partitionBy(*keys).orderBy("_o", *tie)
+        w = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_o"), *tie)
         return base.withColumn(out, (F.row_number().over(w) - 1).cast("bigint")).drop("_o")
 
     pos = F.col("_o").cast("double")
-    stats = base.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(pos).alias("_lo"), F.max(pos).alias("_hi")
-    )
-    slices = F.ceil(F.col("_n") / F.lit(rows_per_slice))
-    width = (F.col("_hi") - F.col("_lo")) / slices
-    slice_no = F.when(
-        (slices > 1) & (width > 0), F.least(F.floor((pos - F.col("_lo")) / width), slices - 1)
-    ).otherwise(F.lit(0)).cast("bigint")
-    sliced = base.join(stats, keys, "left").withColumn("_slice", slice_no)
-
-    # only keys with several slices need offsets; this table is tiny
-    per_slice = (
-        sliced.where(F.col("_n") > rows_per_slice).groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_m"))
-    )
+    # a slice's name orders it: one fixed-width number per cut, rows without ``order`` before all others
+    sliced = base.withColumn("_slice", F.when(pos.isNull(), F.lit("0")).otherwise(F.lit("1")))
+    for _ in range(64):
+        stats = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"), F.min(pos).alias("_lo"), F.max(pos).alias("_hi"))
+        crowded = materialise(stats.where((F.col("_n") > rows_per_slice) & (F.col("_lo") < F.col("_hi"))))
+        if crowded.isEmpty():
+            break
+        parts = F.least(F.ceil(F.col("_n") / rows_per_slice), F.lit(99_999))
+        part = F.least(F.floor((pos - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / parts)), parts - 1).cast("bigint")
+        sliced = sliced.join(crowded, [*keys, "_slice"], "left").withColumn(
+            "_slice", F.when(F.col("_n").isNull(), F.col("_slice")).otherwise(F.concat("_slice", F.lit("."), F.lpad(part.cast("string"), 5, "0")))
+        ).drop("_n", "_lo", "_hi")
+
+    sizes = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_m"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_slice.select(*keys, "_slice", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_off"))
-
-    local = Window.partitionBy(*keys, "_slice").orderBy("_o", *tie)
+    offsets = sizes.select(*keys, "_slice", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_off"))
+    local = Window.partitionBy(*keys, "_slice").orderBy(F.asc_nulls_first("_o"), *tie)
     return (
         sliced.join(offsets, [*keys, "_slice"], "left")
         .withColumn(out, (F.coalesce("_off", F.lit(0)) + F.row_number().over(local) - 1).cast("bigint"))
-        .drop("_o", "_n", "_lo", "_hi", "_slice", "_off")
+        .drop("_o", "_slice", "_off")
     )
 
 
