@@ -215,7 +215,7 @@ def hmm_predict_rollout(spark, d):
 
 @query("hmm_init_kmeans")
 def hmm_init_kmeans(spark, d):
-    start = em.kmeans_start(model.observations(spark, d), P.continuous, P.binary, P.K)
+    start = em.kmeans_start(model.observations(spark, d), P.continuous, P.binary, P.K, widest=max(P.S, P.A))
     p = P.with_(**start)
     return prm.to_long(spark, p).where(F.col("param").isin("mean", "var", "bern"))
 
@@ -337,8 +337,8 @@ def em_fit(spark, d):
     split = split_table(spark, d)
     train = sel.split_members(obs, split.where("split = 'train'"))
     val = sel.split_members(obs, split.where("split = 'val'"))
-    start = P.with_(**prm.sticky_start(), **em.kmeans_start(train, P.continuous, P.binary, P.K))
-    done = em.fit(train, val, start, recursion.longest_sequence(obs), max_iter=3, checkpoint_path=em.default_checkpoint(spark))
+    start = P.with_(**prm.sticky_start(), **em.kmeans_start(train, P.continuous, P.binary, P.K, widest=max(P.S, P.A)))
+    done = em.fit(train, val, start, recursion.longest_sequence(obs), checkpoint_path=em.default_checkpoint(spark))
     cols = ["iteration", "train_loglik", "train_rows", "val_loglik", "val_rows", "switch_style", "switch_action", "delta_A_s", "delta_A_a"]
     rows = [tuple(float(h[c]) if "rows" not in c and c != "iteration" else int(h[c]) for c in cols) for h in done.history]
     types = ["int" if c == "iteration" else "bigint" if "rows" in c else "double" for c in cols]

@@ -9,7 +9,7 @@ from ..functions.storage import scratch_path
 from ..operators import context, kinematics as kin
 from ..operators.windows import windowize
 from ..plans import frames as plan
-from ..schema import KEYS, RAW_TO_INTERNAL
+from ..schema import KEYS, RAW_TO_INTERNAL, WINDOW_FEATURES
 from ..sources import bundles, events_view as view
 from . import sql as S
 from .registry import query
@@ -96,25 +96,25 @@ def src_recording_meta(spark, d):
 def sink_frame_cache(spark, d):
     folder = scratch_path(spark, "frame-cache")
     build = lambda: plan.add_context(plan.kinematic(spark, d))
-    bundles.load_frame_cache(spark, folder, None, build)
-    df = bundles.load_frame_cache(spark, folder, None, build)
+    bundles.load_frame_cache(spark, folder, None, build, plan._inputs(d))
+    df = bundles.load_frame_cache(spark, folder, None, build, plan._inputs(d))
     return df.select(
         F.col("recording_id").cast("bigint").alias("recording_id"), "vehicle_id", "frame", "lc", "front_exists",
         *[rounded(F.col(c)).alias(c) for c in ("vx", "d_left_lane")],
     )
 
 
-_CACHED = ["vx_last", "ax_last", "lc_left_present"]
+_CACHED = WINDOW_FEATURES
 
 
-@query("sink_window_cache", S.with_(S.windows(_CACHED), f"SELECT recording_id, vehicle_id, window_idx, start_frame, {S.rounded_list(_CACHED)} FROM windows"))
+@query("sink_window_cache", S.with_(S.windows(_CACHED), f"SELECT recording_id, vehicle_id, window_idx, start_frame, {S.rounded_list(_CACHED, d=5)} FROM windows"))
 def sink_window_cache(spark, d):
     folder = scratch_path(spark, "window-cache")
     frames = plan.frames(spark, d)
     build = lambda f, W, s: windowize(f, _CACHED, W, s)
     bundles.load_window_cache(spark, folder, frames, 50, 10, build)
     df = bundles.load_window_cache(spark, folder, frames, 50, 10, build)
-    return df.select(*KEYS, "window_idx", "start_frame", *[rounded(F.col(c)).alias(c) for c in _CACHED])
+    return df.select(*KEYS, "window_idx", "start_frame", *[rounded(F.col(c), 5).alias(c) for c in _CACHED])
 
 
 @query("sink_split_json", S.with_(SPLIT, "SELECT * FROM split"))

@@ -9,7 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -58,14 +58,29 @@ def fingerprint(spark: SparkSession, paths: list[str], *settings) -> str:
     digest = hashlib.md5(repr((_code_version(), settings)).encode())
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
-        fs = path.getFileSystem(hconf)
-        status = fs.getFileStatus(path)
-        found = list(fs.listStatus(path)) if status.isDirectory() else [status]
-        for st in found:
-            digest.update(f"{st.getPath()}|{st.getLen()}|{st.getModificationTime()}".encode())
+        files = path.getFileSystem(hconf).listFiles(path, True)  # files in nested folders count too
+        marks = []
+        while files.hasNext():
+            st = files.next()
+            marks.append(f"{st.getPath()}|{st.getLen()}|{st.getModificationTime()}")
+        digest.update("\n".join(sorted(marks)).encode())
     return digest.hexdigest()[:16]
 
 
+def content_mark(df: DataFrame) -> str:
+    """Identity of a table: its files if it is read from files, else a hash over all columns of all rows."""
+    files = df.inputFiles()
+    if files:
+        return fingerprint(df.sparkSession, sorted(files), *df.columns)
+    rows = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
+    return hashlib.md5(repr((df.dtypes, rows[0], str(rows[1]))).encode()).hexdigest()[:16]
+
+
+def checked_broadcast(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` with a broadcast hint if a count shows that it has at most ``rows`` (narrow) rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import number_list
+from ..functions.storage import checked_broadcast
 from ..schema import NEIGHBOR_SLOTS
 
 STATE_COLS = ["x_center", "y_center", "vx", "vy", "lane_id"]
@@ -26,10 +27,10 @@ def join_tracks_meta(frames: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def join_recording_meta(frames: DataFrame, meta: DataFrame) -> DataFrame:
-    """Attach one row per recording, columns prefixed ``rec_``."""
+    """Attach one row per recording, columns prefixed ``rec_``; broadcast if a count shows few recordings."""
     cols = [c for c in meta.columns if c != "recording_id"]
     one = meta.groupBy("recording_id").agg(*[F.first(c).alias(f"rec_{c}") for c in cols])
-    return frames.join(one, "recording_id", "left")
+    return frames.join(checked_broadcast(one), "recording_id", "left")
 
 
 def neighbor_states(frames: DataFrame) -> DataFrame:
@@ -66,20 +67,22 @@ def neighbor_context(frames: DataFrame) -> DataFrame:
         )).alias("_ask"),
     ).select(*FRAME_KEY, F.col("_ask.slot").alias("_slot"), F.col("_ask.nid").alias("_nid"))
     found = asks.join(neighbor_states(frames), ["recording_id", "frame", "_nid"])
+    # numbers one by one: a maximum of structs could not be hash aggregated
+    read = ["x_center", "y_center", "vx", "vy"]
     per_ego = found.groupBy(*FRAME_KEY).agg(
-        *[F.max(F.when(F.col("_slot") == s, F.col("_state"))).alias(f"_{s}") for s in slots.values()]
+        *[F.max(F.when(F.col("_slot") == s, F.col("_state")[c])).alias(f"_{s}_{c}") for s in slots.values() for c in read]
     )
     out = frames.join(per_ego, FRAME_KEY, "left")
     sign = F.col("dir_sign") if "dir_sign" in frames.columns else F.lit(1)
     cols = {}
     for s in slots.values():
-        n = F.col(f"_{s}")
+        n = {c: F.col(f"_{s}_{c}") for c in read}
         cols[f"{s}_exists"] = n["x_center"].isNotNull().cast("int")
         cols[f"{s}_dx"] = (n["x_center"] - F.col("x_center")) * sign
         cols[f"{s}_dy"] = (n["y_center"] - F.col("y_center")) * sign
         cols[f"{s}_dvx"] = n["vx"] - F.col("vx")
         cols[f"{s}_dvy"] = n["vy"] - F.col("vy")
-    return out.withColumns(cols).drop(*[f"_{s}" for s in slots.values()])
+    return out.withColumns(cols).drop(*[f"_{s}_{c}" for s in slots.values() for c in read])
 
 
 def lane_distances(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import finite, is_true
 from ..functions.ordering import dense_index, in_segments
+from ..functions.storage import checked_broadcast
 from ..schema import FPS, NEIGHBOR_SLOTS, RISK_RENAMES
 
 
@@ -47,10 +48,14 @@ def box_center(df: DataFrame) -> DataFrame:
     return df.withColumns({"x_center": F.col("x") + w, "y_center": F.col("y") + h})
 
 
-def direction_sign(df: DataFrame, dir_col: str = "meta_drivingDirection") -> DataFrame:
-    """Add ``dir_sign``, decided by the directions present in the recording."""
+def direction_sign(df: DataFrame, dir_col: str = "meta_drivingDirection", vehicles: DataFrame | None = None) -> DataFrame:
+    """Add ``dir_sign``, decided by the directions present in the recording.
+
+    ``vehicles`` (recording_id, drivingDirection) saves a pass over all frames to find them.
+    """
     d = F.col(dir_col)
-    present = df.where(d.isNotNull()).groupBy("recording_id").agg(
+    seen = df if vehicles is None else vehicles.select("recording_id", F.col("drivingDirection").alias(dir_col))
+    present = seen.where(d.isNotNull()).groupBy("recording_id").agg(
         F.max((d == 0).cast("int")).alias("_d0"),
         F.max((d == 1).cast("int")).alias("_d1"),
         F.max((d == 2).cast("int")).alias("_d2"),
@@ -62,6 +67,7 @@ def direction_sign(df: DataFrame, dir_col: str = "meta_drivingDirection") -> Dat
         "recording_id", F.when(one_two, F.lit(1)).when(zero_one, F.lit(0)).alias("_flip")
     )
     sign = F.when(is_true(d == F.col("_flip")), F.lit(-1)).otherwise(F.lit(1)).cast("int")
+    flips = flips if vehicles is None else checked_broadcast(flips)
     return df.join(flips, "recording_id", "left").withColumn("dir_sign", sign).drop("_flip")
 
 

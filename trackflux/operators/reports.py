@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numeric import all_of
 from ..functions.quantiles import exact_quantiles
+from ..functions.storage import materialise
 from ..schema import BINARY_FEATURES, KEYS
 from . import runs
 from .windows import window_counts
@@ -107,21 +108,22 @@ def value_counts(df: DataFrame, x: str, lo_q: float = 0.01, hi_q: float = 0.99)
     if q.lo < q.hi:
         inside = inside.where(F.col(x).between(q.lo, q.hi))
     counts = inside.groupBy(F.col(x).alias("value")).agg(F.count(F.lit(1)).alias("count"))
-    gaps = neighbour_gaps(counts, "value", q.lo, q.hi)
+    gaps = neighbour_gaps(counts, "value")
     med = exact_quantiles(gaps, [], "gap", {"m": 0.5}).first()
     width = 0.9 * (med.m if med is not None and med.m is not None else 0.02 / 0.9)
     return counts.withColumn("bar_width", F.lit(width))
 
 
-def neighbour_gaps(values: DataFrame, x: str, lo: float, hi: float, buckets: int = 1024) -> DataFrame:
-    """Positive differences between consecutive distinct values."""
-    width = (hi - lo) / buckets if hi > lo else 1.0
-    b = F.least(F.greatest(F.floor((F.col(x) - lo) / width), F.lit(0)), F.lit(buckets - 1)).cast("int")
-    base = values.select(F.col(x).alias("_v"), b.alias("_b"))
+def neighbour_gaps(values: DataFrame, x: str) -> DataFrame:
+    """Positive differences between consecutive distinct values.
+
+    Values are dealt out by ranges of equal row counts; a range's first value meets the last one of the range before it.
+    """
+    base = materialise(values.select(F.col(x).alias("_v")).repartitionByRange("_v").withColumn("_b", F.spark_partition_id()))
     w = Window.partitionBy("_b").orderBy("_v")
     inner = base.select((F.col("_v") - F.lag("_v").over(w)).alias("gap"))
     ends = base.groupBy("_b").agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-    one = Window.partitionBy(F.lit(0)).orderBy("_b")  # at most ``buckets`` rows
+    one = Window.partitionBy(F.lit(0)).orderBy("_b")  # one row per partition
     outer = ends.select((F.col("lo") - F.lag("hi").over(one)).alias("gap"))
     return inner.unionAll(outer).where(F.col("gap") > 0)
 

@@ -86,15 +86,21 @@ def debounce(events: DataFrame, min_gap: int, longest: int | None = None, by: li
     else:
         pieces = pieces.join(_chain_entries(pieces, keys, min_gap), [*keys, "_chain", "_piece"], "left")
         entry = F.coalesce("_entry", first - min_gap)
-    folded = F.aggregate(
-        "_ts",
-        F.struct(entry.cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept")),
-        lambda acc, t: F.when(
-            t - acc["last"] >= min_gap, F.struct(t.alias("last"), F.concat(acc["kept"], F.array(t)).alias("kept"))
-        ).otherwise(acc),
-        lambda acc: acc["kept"],
-    )
-    return pieces.select(*keys, F.explode(folded).alias("t"))
+    types = dict(events.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in keys) + ", t bigint"
+
+    def fold(batches):
+        # only the last kept event is carried along a sorted piece
+        for pdf in batches:
+            kept = []
+            for n, (ts, last) in enumerate(zip(pdf["_ts"], pdf["_last"])):
+                for t in ts:
+                    if t - last >= min_gap:
+                        last = t
+                        kept.append((n, t))
+            yield pdf[keys].iloc[[n for n, _ in kept]].assign(t=[t for _, t in kept])
+
+    return pieces.select(*keys, "_ts", entry.cast("bigint").alias("_last")).mapInPandas(fold, schema)
 
 
 def _chain_entries(pieces: DataFrame, keys: list[str], min_gap: int) -> DataFrame:

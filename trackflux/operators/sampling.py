@@ -57,8 +57,28 @@ def split_overlap(split: DataFrame) -> DataFrame:
 
 
 def hash_sample(df: DataFrame, n: int, seed: int, *cols: str) -> DataFrame:
-    """Uniform sample of at most ``n`` rows: the ``n`` smallest hashes."""
-    return df.orderBy(hash_key(seed, *[F.col(c) for c in cols]), *cols).limit(n)
+    """Uniform sample of at most ``n`` rows: the ``n`` smallest hashes.
+
+    Counts by the first digits of the hash find a bound below which all rows are taken; digits are
+    added until few rows are left to choose among, so only those are ever sorted in one place.
+    """
+    base = df.withColumn("_h", hash_key(seed, *[F.col(c) for c in cols]))
+    bound, left = "", n
+    while left > 0 and len(bound) < 30:
+        step = F.substring("_h", len(bound) + 1, 3)
+        counts = base.where(F.col("_h").startswith(bound)).groupBy(step.alias("b")).agg(F.count(F.lit(1)).alias("c"))
+        for r in sorted(counts.collect(), key=lambda r: r["b"]):  # at most 4,096 rows
+            if r["c"] > left:
+                bound, size = bound + r["b"], r["c"]
+                break
+            left -= r["c"]
+        else:
+            return df  # no more rows than asked for
+        if size <= 1000:
+            break
+    whole = base.where(F.substring("_h", 1, len(bound)) < bound)
+    rest = base.where(F.col("_h").startswith(bound)).orderBy("_h", *cols).limit(left)
+    return whole.unionByName(rest).drop("_h")
 
 
 def evenly_spaced(keys: DataFrame, n: int, order: Column) -> DataFrame:
@@ -75,6 +95,9 @@ def evenly_spaced(keys: DataFrame, n: int, order: Column) -> DataFrame:
 
 
 def finite_rows(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Rows with every column present; if there are none, all rows with gaps as zero."""
+    """Rows with every column present; if there is none at all, every row with its gaps as zero.
+
+    A single complete row is enough for the first form: that is the rule of the start values, not a fallback for speed.
+    """
     whole = df.dropna(subset=cols)
     return whole if not whole.isEmpty() else df.fillna(0.0, subset=cols)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.storage import checked_broadcast
+
 STD_FLOOR = 1e-6
 
 
@@ -66,7 +68,7 @@ def zscore_classwise(df: DataFrame, scalers: DataFrame, names: list[str], class_
         *[F.col("_m")[n]["mean"].alias(f"_mean_{n}") for n in names],
         *[F.col("_m")[n]["std"].alias(f"_std_{n}") for n in names],
     )
-    joined = df.join(flat, class_col, "left")
+    joined = df.join(checked_broadcast(flat, 1000), class_col, "left")
     unknown = F.raise_error(F.concat(F.lit("no scaler for class "), F.coalesce(F.col(class_col), F.lit("NULL"))))
     ok = F.col("_known").isNotNull()
     cols = {

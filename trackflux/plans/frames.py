@@ -16,7 +16,7 @@ def add_kinematics(tracks: DataFrame, meta: DataFrame, recording_meta: DataFrame
     """Metadata, direction sign, normalisation, lane changes and jerk."""
     df = context.join_tracks_meta(tracks, meta)
     df = context.join_recording_meta(df, recording_meta)
-    df = kin.direction_sign(kin.box_center(df))
+    df = kin.direction_sign(kin.box_center(df), vehicles=meta)
     df = kin.rename_risk(kin.vehicle_centric(df))
     return kin.ordered_features(df, longest=longest)
 

@@ -2,39 +2,67 @@
 
 from __future__ import annotations
 
+import csv
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.numeric import finite_number
-from ..functions.storage import exists
+from ..functions.storage import content_mark, exists, fingerprint
 from ..schema import NEIGHBOR_SLOTS, RAW_TO_INTERNAL
 
 BUNDLE_PARTS = ("tracks", "tracksMeta", "recordingMeta")
 _WHOLE = {"vehicle_id", "frame", "lane_id", *NEIGHBOR_SLOTS}
 
 
-def _read(spark: SparkSession, root: str, part: str) -> DataFrame:
-    """One glob scan over all recordings; columns go by header name, cast later."""
-    raw = spark.read.option("header", True).csv(f"{root}/*_{part}.csv")
-    path = F.col("_metadata.file_path")
-    return raw.withColumn("recording_id", F.regexp_extract(path, rf"(\d+)_{part}", 1).cast("bigint"))
+def _files(spark: SparkSession, root: str, part: str) -> dict[tuple[str, ...], list[tuple[int, str]]]:
+    """(recording_id, path) of all files of a part by their header; a file is opened for its first line only."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(f"{root}/*_{part}.csv")
+    fs = top.getFileSystem(conf)
+    found: dict[tuple[str, ...], list[tuple[int, str]]] = {}
+    for status in fs.globStatus(top) or []:
+        number = re.search(rf"(\d+)_{part}", status.getPath().getName())
+        inside = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+        for f in inside:
+            if number is None or f.getPath().getName().startswith(("_", ".")):
+                continue
+            stream = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(f.getPath()), "UTF-8"))
+            line = stream.readLine()
+            stream.close()
+            header = tuple(next(csv.reader([line]))) if line else ()
+            found.setdefault(header, []).append((int(number[1]), f.getPath().toString()))
+    return found
+
+
+def _read(spark: SparkSession, files: dict[tuple[str, ...], list[tuple[int, str]]], part: str) -> DataFrame:
+    """One scan per distinct header; columns go by name, a column that a file lacks is NULL. Numbers are cast later."""
+    out = None
+    for header, members in sorted(files.items()):
+        if not header:
+            continue
+        schema = StructType([StructField(c, StringType()) for c in header])
+        raw = spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv([p for _, p in members])
+        number = F.regexp_extract(F.col("_metadata.file_path"), rf"(\d+)_{part}", 1).cast("bigint")
+        df = raw.withColumn("recording_id", number)
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    if out is None:
+        raise FileNotFoundError(f"no {part} files")
+    return out
 
 
 def read_bundle(spark: SparkSession, root: str, recording_id: int | None = None) -> dict[str, DataFrame]:
-    """The three raw tables; a recording that lacks one of its files is an error."""
-    tables = {p: _read(spark, root, p) for p in BUNDLE_PARTS}
-    ids = None
-    for part, df in tables.items():
-        tagged = df.select("recording_id").distinct().withColumn("part", F.lit(part))
-        ids = tagged if ids is None else ids.unionByName(tagged)
-    lacking = (
-        ids.groupBy("recording_id").agg(F.collect_set("part").alias("parts"))
-        .where(F.size("parts") < len(BUNDLE_PARTS)).limit(10).collect()
-    )
+    """The three raw tables; a recording that lacks one of its files is an error. A file without rows is there."""
+    files = {p: _files(spark, root, p) for p in BUNDLE_PARTS}
+    have = {p: {i for members in f.values() for i, _ in members} for p, f in files.items()}
+    lacking = sorted(set.union(*have.values()) - set.intersection(*have.values()))
     if lacking:
-        raise FileNotFoundError(f"incomplete recordings: {sorted(r.recording_id for r in lacking)}")
+        raise FileNotFoundError(f"incomplete recordings: {lacking[:10]}")
     if recording_id is not None:
-        tables = {p: df.where(F.col("recording_id") == recording_id) for p, df in tables.items()}
-    return tables
+        files = {p: {h: [m for m in members if m[0] == recording_id] for h, members in f.items()} for p, f in files.items()}
+        files = {p: {h: members for h, members in f.items() if members} for p, f in files.items()}
+    return {p: _read(spark, f, p) for p, f in files.items()}
 
 
 def rename_tracks(raw: DataFrame) -> DataFrame:
@@ -74,9 +102,9 @@ def frame_range(df: DataFrame, first: int, last: int) -> DataFrame:
     return df.where(F.col("frame").between(first, last))
 
 
-def load_frame_cache(spark: SparkSession, folder: str, n_recordings: int | None, build, force: bool = False) -> DataFrame:
-    """Frame table named after the recording count, reused unless forced."""
-    path = f"{folder}/frames_{'all' if n_recordings is None else f'first{n_recordings}'}"
+def load_frame_cache(spark: SparkSession, folder: str, n_recordings: int | None, build, inputs: list[str], force: bool = False) -> DataFrame:
+    """Frame table named after the recording count and the files it is built from; reused unless one changed or forced."""
+    path = f"{folder}/frames_{'all' if n_recordings is None else f'first{n_recordings}'}-{fingerprint(spark, inputs)}"
     if force or not exists(spark, f"{path}/_SUCCESS"):
         build().write.mode("overwrite").partitionBy("recording_id").parquet(path)
     return spark.read.parquet(path)
@@ -84,15 +112,11 @@ def load_frame_cache(spark: SparkSession, folder: str, n_recordings: int | None,
 
 def load_window_cache(spark: SparkSession, folder: str, frames: DataFrame, W: int, stride: int, build,
                       force: bool = False) -> DataFrame:
-    """Window table keyed by W, stride and the input rows."""
-    mark = frames.agg(
-        F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("recording_id", "vehicle_id", "frame") % 1_000_000_007), F.lit(0))
-    ).first()
-    path = f"{folder}/W={W}/stride={stride}/rows={mark[0]}-{mark[1]}"
+    """Window table keyed by W, stride and the frames (their files, or their content if they have none)."""
+    path = f"{folder}/W={W}/stride={stride}/frames={content_mark(frames)}"
     if force or not exists(spark, f"{path}/_SUCCESS"):
         build(frames, W, stride).write.mode("overwrite").parquet(path)
-        spark.createDataFrame([(W, stride, mark[0])], "W int, stride int, n_frames bigint").coalesce(1).write.mode(
-            "overwrite").json(f"{path}.meta")
+        spark.createDataFrame([(W, stride)], "W int, stride int").coalesce(1).write.mode("overwrite").json(f"{path}.meta")
     return spark.read.parquet(path)
 
 
