@@ -26,8 +26,8 @@ from trackflux.llm import columns as col
 from trackflux.llm.frames import small, staged
 
 #: Clusters that one block may hold on average, and bytes that are worked on together.
-BLOCK_CLUSTERS = 300_000
-SLICE_BYTES = 2 << 20
+BLOCK_CLUSTERS = 150_000
+SLICE_BYTES = 1 << 20
 LAST = (1 << 63) - 1  # a null id comes after all others
 
 CLUSTER = np.dtype([("anchor", "<u8"), ("whole", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("lo", "<i8"), ("size", "<i4"), ("left", "<u2"), ("right", "<u2")])
