@@ -178,7 +178,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", piece:
     wanted = small(members.select(F.col("doc_id").alias("m_id"), F.col("row_key").alias("m_key"), *by, (F.col("row_key") == F.col("top_key")).alias("is_top")).distinct())
     held = bodies.join(wanted, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("row_key") == F.col("m_key"))).drop("m_id", "m_key")
     cut = staged(_pieces(held, piece), "pieces")
-    top = cut.where("is_top").select(*by, "number", F.col("piece").alias("top_piece")).dropDuplicates([*by, "number"])
+    # staged, so that both sides of the join are plain exchanges, whose hot partitions can be split
+    top = staged(cut.where("is_top").select(*by, "number", F.col("piece").alias("top_piece")).dropDuplicates([*by, "number"]), "tops")
     rest = cut.where("not is_top")
     differs = rest.join(top, [*by, "number"], "left").where(~F.col("piece").eqNullSafe(F.col("top_piece")))
     other = staged(differs.select(*by).distinct(), "collisions")
