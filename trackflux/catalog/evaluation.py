@@ -7,13 +7,14 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rounded
-from ..latent import evaluation as ev
+from ..latent import emission, evaluation as ev, recursion
 from ..operators import labels as lab, selection as sel
 from ..plans import frames as plan, model
 from ..schema import ACTION_NAMES, FEATURE_GROUPS, KEYS, SEMANTIC_FEATURES, STYLE_NAMES
 from ..sources import events_view as view
 from . import model_sql as Q, sql as S
 from .registry import query
+from .sets import SPLIT, split_table
 
 P = Q.P
 KT = [*KEYS, "t"]
@@ -41,6 +42,19 @@ def evl_online_nll(spark, d):
     return _rnd(df, ["nll", "nll_mean", "nll_p10", "nll_median", "nll_p90"])
 
 
+@query("evl_online_nll_test", S.with_(Q.emission(P, Q.split_obs("test", SPLIT)) + Q.forward(P, "add") + """,
+per AS (SELECT vehicle_id, count(*) AS n, -avg(ll) AS nll FROM fwd GROUP BY 1)""", f"""
+SELECT count(*) AS n_traj, CAST(sum(n) AS BIGINT) AS n_windows, {S.r('sum(nll * n) / sum(n)', 5)} AS nll, {S.r('avg(nll)', 5)} AS nll_mean,
+  {_q('nll', {'nll_p10': .1, 'nll_median': .5, 'nll_p90': .9}, 5)} FROM per""", recursive=True))
+def evl_online_nll_test(spark, d):
+    """The test split, scaled by what the training split gives."""
+    w = plan.windows(spark, d, model.MODEL_W, model.MODEL_STRIDE)
+    obs = model.split_observations(w, split_table(spark, d), ("test",))["test"]
+    rows = obs.select(*KEYS, "t", emission.feature_array(P.continuous, P.binary).alias("x"))
+    post = recursion.forward_filter(rows, P.start("add"), P.kernel("add"), emit=emission.emitter(P))
+    return _rnd(ev.online_nll(post), ["nll", "nll_mean", "nll_p10", "nll_median", "nll_p90"], 5)
+
+
 @query("evl_anticipatory_nll", S.with_(Q.emission() + Q.forward(P, "add") + f""",
 m AS (SELECT vehicle_id, max(t) + 1 AS n FROM lb GROUP BY 1),
 roll AS (

@@ -6,12 +6,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rounded
-from ..functions.storage import scratch_path
+from ..functions.storage import materialise, scratch_path
 from ..latent import em, emission, evaluation as ev, params as prm, recursion
 from ..latent.em import lane_change_weight
 from ..operators import scaling, selection as sel
 from ..plans import frames as plan, model
-from ..schema import ACTION_NAMES, CONTINUOUS_FEATURES, EPS, KEYS, LC_FEATURES, STYLE_NAMES
+from ..schema import ACTION_NAMES, CONTINUOUS_FEATURES, EPS, KEYS, LC_FEATURES, STYLE_NAMES, WINDOW_FEATURES
 from . import model_sql as Q, sql as S
 from .registry import query
 from .sets import SPLIT, split_table
@@ -36,17 +36,23 @@ def _param_rows(p) -> str:
     return ", ".join(rows)
 
 
-@query("sink_model_params", S.with_(S.windows(None, model.MODEL_W, model.MODEL_STRIDE), f"""
-SELECT param, i, j, k, {S.r('value')} AS value FROM (VALUES {_param_rows(P)}) q(param, i, j, k, value)
-UNION ALL SELECT 'scaler_mean', CAST(0 AS INTEGER), 0, 0, {S.r('coalesce(avg(vx_last), 0)')} FROM windows
-UNION ALL SELECT 'scaler_std', CAST(0 AS INTEGER), 0, 0, {S.r('stddev_pop(vx_last)')} FROM windows"""))
+@query("sink_model_params", S.with_(Q.split_obs("train", SPLIT), f"""
+SELECT param, i, j, k, {S.r('value', 5)} AS value FROM (VALUES {_param_rows(P)}) q(param, i, j, k, value)
+UNION ALL SELECT 'scaler_mean/' || mc, CAST(i - 1 AS INTEGER), 0, 0, {S.r('m[i]', 5)} FROM (
+  SELECT mc, [{", ".join(f"m_{f}" for f in CONTINUOUS_FEATURES)}] AS m, unnest(range(1, {len(CONTINUOUS_FEATURES) + 1})) AS i FROM sc)
+UNION ALL SELECT 'scaler_std/' || mc, CAST(i - 1 AS INTEGER), 0, 0, {S.r('m[i]', 5)} FROM (
+  SELECT mc, [{", ".join(f"d_{f}" for f in CONTINUOUS_FEATURES)}] AS m, unnest(range(1, {len(CONTINUOUS_FEATURES) + 1})) AS i FROM sc)"""))
 def sink_model_params(spark, d):
+    """Model and class-wise scalers of the training split, written and read again."""
     w = plan.windows(spark, d, model.MODEL_W, model.MODEL_STRIDE)
-    scaler = scaling.scaler_dict(scaling.feature_scaler(w, ["vx_last"]))
+    train = sel.split_members(w, split_table(spark, d).where("split = 'train'"))
+    by_class: dict = {}
+    for r in model.class_scalers(train).collect():  # classes times features
+        by_class.setdefault(r["meta_class"], {})[r["feature"]] = (r["mean"], r["std"])
     path = scratch_path(spark, "params")
-    prm.save(spark, P, path, scaler)
+    prm.save(spark, P, path, by_class)
     p, s = prm.load(spark, path)
-    return prm.to_long(spark, p, s).withColumn("value", rounded(F.col("value")))
+    return prm.to_long(spark, p, s).withColumn("value", rounded(F.col("value"), 5))
 
 
 @query("src_semantic_labels", """
@@ -67,27 +73,17 @@ def src_semantic_labels(spark, d):
     return used.select("s", "a", "n", label.alias("label"))
 
 
-_SPLIT_COLS = ["vx_last", "front_ttc_min", "lc_left_present"]
+_SCALED = [emission.scaled(c) for c in CONTINUOUS_FEATURES]
 
 
-@query("src_split_windows", S.with_(S.windows(_SPLIT_COLS + ["front_ttc_vfrac"]) + f""",{SPLIT},
-tr AS (SELECT w.* FROM windows w JOIN split s USING (recording_id, vehicle_id) WHERE split = 'train'),
-sc AS (SELECT meta_class, avg(vx_last) AS m1, stddev_pop(vx_last) AS d1, avg(front_ttc_min) FILTER (WHERE front_ttc_vfrac > 0) AS m2,
-  stddev_pop(front_ttc_min) FILTER (WHERE front_ttc_vfrac > 0) AS d2 FROM tr GROUP BY 1)""", f"""
-SELECT w.recording_id, w.vehicle_id, w.window_idx, 'classwise' AS scaler_mode, {S.rounded_list(_SPLIT_COLS, 'w')},
-  {S.r('(w.vx_last - m1) / (d1 + 1e-12)')} AS s_vx_last, {S.r('(w.front_ttc_min - m2) / (d2 + 1e-12)')} AS s_front_ttc_min
-FROM windows w JOIN split s ON s.vehicle_id = w.vehicle_id JOIN sc ON sc.meta_class = w.meta_class WHERE split = 'test'"""))
+@query("src_split_windows", S.with_(Q.split_obs("test", SPLIT, " + 1e-12"), f"""
+SELECT recording_id, vehicle_id, t AS window_idx, 'classwise' AS scaler_mode, {S.rounded_list(WINDOW_FEATURES, d=4)}, {S.rounded_list(_SCALED, d=4)}
+FROM obs"""))
 def src_split_windows(spark, d):
-    w = plan.windows(spark, d)
-    split = split_table(spark, d)
-    train = sel.split_members(w, split.where("split = 'train'"))
-    scalers = scaling.feature_scaler(train, ["vx_last", "front_ttc_min"], by=["meta_class"])
-    test = sel.split_members(w, split.where("split = 'test'"))
-    raw = test.withColumns({emission.scaled(c): F.col(c) for c in ("vx_last", "front_ttc_min")})
-    renamed = scalers.withColumn("feature", F.concat(F.lit("s_"), F.col("feature")))
-    out = scaling.zscore_classwise(raw, renamed, ["s_vx_last", "s_front_ttc_min"], eps=1e-12)
-    num = [*_SPLIT_COLS, "s_vx_last", "s_front_ttc_min"]
-    return out.select(*KEYS, "window_idx", F.lit("classwise").alias("scaler_mode"), *[rounded(F.col(c)).alias(c) for c in num])
+    """Test windows with all features raw and scaled by class; a member without windows is an error."""
+    w = plan.windows(spark, d, model.MODEL_W, model.MODEL_STRIDE)
+    out = model.split_observations(w, split_table(spark, d), ("test",), eps=1e-12)["test"]
+    return out.select(*KEYS, "window_idx", F.lit("classwise").alias("scaler_mode"), *[rounded(F.col(c), 4).alias(c) for c in [*WINDOW_FEATURES, *_SCALED]])
 
 
 # scoring -----------------------------------------------------------------------------
@@ -333,13 +329,27 @@ def em_update_poe(spark, d):
 
 @query("em_fit")
 def em_fit(spark, d):
-    obs = model.observations(spark, d)
-    split = split_table(spark, d)
-    train = sel.split_members(obs, split.where("split = 'train'"))
-    val = sel.split_members(obs, split.where("split = 'val'"))
-    start = P.with_(**prm.sticky_start(), **em.kmeans_start(train, P.continuous, P.binary, P.K, widest=max(P.S, P.A)))
-    done = em.fit(train, val, start, recursion.longest_sequence(obs), checkpoint_path=em.default_checkpoint(spark))
+    """Scalers, starts and EM on the training split, stopping by the validation split."""
+    w = plan.windows(spark, d, model.MODEL_W, model.MODEL_STRIDE)
+    parts = {n: materialise(df) for n, df in model.split_observations(w, split_table(spark, d), ("train", "val")).items()}
+    start = P.with_(**prm.sticky_start(), **em.kmeans_start(parts["train"], P.continuous, P.binary, P.K, widest=max(P.S, P.A)))
+    longest = max(recursion.longest_sequence(df) for df in parts.values())
+    done = em.fit(parts["train"], parts["val"], start, longest, checkpoint_path=em.default_checkpoint(spark))
     cols = ["iteration", "train_loglik", "train_rows", "val_loglik", "val_rows", "switch_style", "switch_action", "delta_A_s", "delta_A_a"]
     rows = [tuple(float(h[c]) if "rows" not in c and c != "iteration" else int(h[c]) for c in cols) for h in done.history]
     types = ["int" if c == "iteration" else "bigint" if "rows" in c else "double" for c in cols]
     return spark.createDataFrame(rows, ", ".join(f"{c} {t}" for c, t in zip(cols, types)))
+
+
+@query("em_fit_product")
+def em_fit_product(spark, d):
+    """The product model fitted to convergence, stored with its experts, read again."""
+    style, action = experts()
+    w = plan.windows(spark, d, model.MODEL_W, model.MODEL_STRIDE)
+    train = materialise(model.split_observations(w, split_table(spark, d), ("train",))["train"])
+    done = em.fit_product(train, style, action, P, recursion.longest_sequence(train))
+    path = scratch_path(spark, "product")
+    prm.save(spark, done.params, path, experts=(done.style, done.action))
+    style, action = prm.load_experts(spark, path)
+    rows = [(n, part, int(i), int(j), float(v)) for n, e in (("style", style), ("action", action)) for part in prm.EXPERT_PARTS for (i, j), v in np.ndenumerate(e[part])]
+    return spark.createDataFrame(rows, "expert string, part string, i int, j int, value double")

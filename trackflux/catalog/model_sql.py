@@ -42,6 +42,16 @@ obs AS MATERIALIZED (SELECT recording_id, vehicle_id, window_idx AS t, start_fra
   {", ".join(f"({f} - m_{f}) / d_{f} AS s_{f}" for f in CONTINUOUS_FEATURES)} FROM windows, sc)"""
 
 
+def split_obs(which: str, split: str, eps: str = "") -> str:
+    """Like OBS for one split, scaled by class with what its training windows give."""
+    return S.windows(None, MODEL_W, MODEL_STRIDE) + f""",{split},
+tr AS (SELECT w.* FROM windows w JOIN split s USING (recording_id, vehicle_id) WHERE s.split = 'train'),
+sc AS (SELECT meta_class AS mc, {", ".join(_sc(f) for f in CONTINUOUS_FEATURES)} FROM tr GROUP BY meta_class),
+obs AS MATERIALIZED (SELECT w.recording_id, w.vehicle_id, window_idx AS t, start_frame, meta_class, {", ".join(WINDOW_FEATURES)},
+  {", ".join(f"({f} - m_{f}) / (d_{f}{eps}) AS s_{f}" for f in CONTINUOUS_FEATURES)}
+  FROM windows w JOIN sc ON mc = meta_class JOIN split s ON s.vehicle_id = w.vehicle_id WHERE s.split = '{which}')"""
+
+
 def _names(cols) -> str:
     return "[" + ", ".join(f"'{c}'" for c in cols) + "]"
 
@@ -51,13 +61,13 @@ xlong AS (SELECT {KT}, unnest({_names(P.continuous)}) AS f, unnest([{", ".join(f
 blong AS (SELECT {KT}, unnest({_names(P.binary)}) AS f, unnest([{", ".join(P.binary)}]) AS x FROM obs)"""
 
 
-def emission(p: Params = P) -> str:
+def emission(p: Params = P, obs: str = OBS) -> str:
     """CTE ``lb``: per window the list ``b`` of log-likelihoods and its maximum ``mb``."""
     var = safe_var(p.var)
     gp = ", ".join(f"({z}, '{f}', {lit(p.mean[z, d])}, {lit(var[z, d])})" for z in range(p.K) for d, f in enumerate(p.continuous))
     bp = ", ".join(
         f"({z}, '{f}', {lit(np.clip(p.bern[z, b], EPS, 1 - EPS))})" for z in range(p.K) for b, f in enumerate(p.binary))
-    return OBS + LONG + f""",
+    return obs + LONG + f""",
 gp(z, f, mu, va) AS (VALUES {gp}),
 bp(z, f, q) AS (VALUES {bp}),
 terms AS (

@@ -68,26 +68,57 @@ class Params:
 _SHAPES = {"pi_s": 1, "pi_a": 2, "A_s": 2, "A_a": 3, "mean": 2, "var": 2, "bern": 2}
 
 
-def to_long(spark: SparkSession, p: Params, scaler: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+Scaler = dict[str, tuple[float, float]]
+EXPERT_PARTS = ("mean", "var", "bern")
+
+
+def to_long(spark: SparkSession, p: Params, scaler: Scaler | dict[str, Scaler] | None = None,
+            experts: tuple[dict, dict] | None = None) -> DataFrame:
+    """All numbers of a model as rows. ``scaler`` is global or by class; ``experts`` are those of the product model."""
     rows = []
     for name in _SHAPES:
         for idx, v in np.ndenumerate(getattr(p, name)):
             rows.append((name, *(list(idx) + [0] * (3 - len(idx))), float(v)))
-    for f, (m, s) in (scaler or {}).items():
-        i = p.continuous.index(f)
-        rows += [("scaler_mean", i, 0, 0, float(m)), ("scaler_std", i, 0, 0, float(s))]
+    by_class = scaler and all(isinstance(v, dict) for v in scaler.values())
+    for tag, one in ((f"/{c}", s) for c, s in scaler.items()) if by_class else (("", scaler or {}),):
+        for f, (m, s) in one.items():
+            i = p.continuous.index(f)
+            rows += [(f"scaler_mean{tag}", i, 0, 0, float(m)), (f"scaler_std{tag}", i, 0, 0, float(s))]
+    for name, expert in zip(("style", "action"), experts or ()):
+        for part in EXPERT_PARTS:
+            rows += [(f"{name}_{part}", i, j, 0, float(v)) for (i, j), v in np.ndenumerate(expert[part])]
     return spark.createDataFrame([(n, int(i), int(j), int(k), v) for n, i, j, k, v in rows], LONG_SCHEMA)
 
 
-def save(spark: SparkSession, p: Params, path: str, scaler=None) -> None:
-    to_long(spark, p, scaler).coalesce(1).write.mode("overwrite").parquet(path)
+def save(spark: SparkSession, p: Params, path: str, scaler=None, experts=None) -> None:
+    to_long(spark, p, scaler, experts).coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def load(spark: SparkSession, path: str) -> tuple[Params, dict[str, tuple[float, float]]]:
+def load(spark: SparkSession, path: str) -> tuple[Params, Scaler | dict[str, Scaler]]:
     return from_long(spark.read.parquet(path))
 
 
-def from_long(df: DataFrame) -> tuple[Params, dict[str, tuple[float, float]]]:
+def load_experts(spark: SparkSession, path: str) -> tuple[dict, dict]:
+    """Style and action experts of a stored product model."""
+    cells = {}
+    for r in spark.read.parquet(path).where(F.col("param").rlike("^(style|action)_")).collect():
+        cells.setdefault(r["param"], {})[(r["i"], r["j"])] = r["value"]
+    out = []
+    for name in ("style", "action"):
+        expert = {}
+        for part in EXPERT_PARTS:
+            got = cells.get(f"{name}_{part}")
+            if not got:
+                raise ValueError(f"no {name} experts stored")
+            arr = np.empty(tuple(1 + max(c[d] for c in got) for d in (0, 1)))
+            for c, v in got.items():
+                arr[c] = v
+            expert[part] = arr
+        out.append(expert)
+    return out[0], out[1]
+
+
+def from_long(df: DataFrame) -> tuple[Params, Scaler | dict[str, Scaler]]:
     """Rebuild arrays; incomplete or misshapen tables are an error."""
     rows = df.where(F.col("value").isNotNull()).collect()  # parameters only, bounded by the model size
     by: dict[str, dict] = {}
@@ -114,10 +145,14 @@ def from_long(df: DataFrame) -> tuple[Params, dict[str, tuple[float, float]]]:
         if arrays[name].shape[0] != S * A:
             raise ValueError(f"parameter {name} has {arrays[name].shape[0]} states, expected {S * A}")
     p = Params(**arrays)
-    scaler = {
-        p.continuous[i]: (v, by["scaler_std"][(i, 0, 0)]) for (i, _, _), v in sorted(by.get("scaler_mean", {}).items())
-    }
-    return p, scaler
+    def scaler_of(tag: str) -> Scaler:
+        stds = by[f"scaler_std{tag}"]
+        return {p.continuous[i]: (v, stds[(i, 0, 0)]) for (i, _, _), v in sorted(by.get(f"scaler_mean{tag}", {}).items())}
+
+    classes = sorted(n.partition("/")[2] for n in by if n.startswith("scaler_mean/"))
+    if classes:
+        return p, {c: scaler_of(f"/{c}") for c in classes}
+    return p, scaler_of("") if "scaler_mean" in by else {}
 
 
 def sticky_start(S: int = N_STYLES, A: int = N_ACTIONS, stay: float = 0.8) -> dict[str, np.ndarray]:

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.storage import cached_table
 from ..latent import emission, recursion
 from ..latent.params import Params, patterned
-from ..operators.scaling import feature_scaler, scaler_dict
+from ..operators.scaling import feature_scaler, scaler_dict, zscore_classwise
+from ..operators.selection import missing_members, split_members
 from ..schema import CONTINUOUS_FEATURES, KEYS
 from . import frames as plan
 
@@ -35,6 +36,32 @@ def observations(spark: SparkSession, sf_dir: str, force: bool = False) -> DataF
     )
 
 
+def class_scalers(train: DataFrame) -> DataFrame:
+    """(meta_class, feature, mean, std) of all continuous features, from training windows only."""
+    return feature_scaler(train, CONTINUOUS_FEATURES, by=["meta_class"])
+
+
+def scale_by_class(windows: DataFrame, scalers: DataFrame, eps: float = 0.0) -> DataFrame:
+    """Add ``s_<feature>`` by the scaler of the row's class; a class without scaler is an error."""
+    raw = windows.withColumns({emission.scaled(c): F.col(c) for c in CONTINUOUS_FEATURES})
+    named = scalers.withColumn("feature", F.concat(F.lit("s_"), F.col("feature")))
+    return zscore_classwise(raw, named, [emission.scaled(c) for c in CONTINUOUS_FEATURES], eps=eps)
+
+
+def split_observations(windows: DataFrame, split: DataFrame, names: tuple[str, ...] = ("train", "val", "test"), eps: float = 0.0) -> dict[str, DataFrame]:
+    """Scaled windows of each split; scalers come from the training split alone.
+
+    A member of a split that has no window is an error.
+    """
+    parts = {n: split.where(F.col("split") == n) for n in ("train", *names)}
+    for n, members in parts.items():
+        lost = missing_members(members, windows).limit(5).collect()
+        if lost:
+            raise ValueError(f"split {n} lacks windows of {[tuple(r) for r in lost]}")
+    scalers = class_scalers(split_members(windows, parts["train"]))
+    return {n: scale_by_class(split_members(windows, parts[n]), scalers, eps).withColumn("t", F.col("window_idx")) for n in names}
+
+
 def emissions(spark: SparkSession, sf_dir: str, p: Params | None = None) -> DataFrame:
     obs = observations(spark, sf_dir)
     return obs.select(*KEYS, "t", emission.log_emission(p or patterned()).alias("logb"))
