@@ -370,7 +370,7 @@ def test_averaging_in_levels(spark, monkeypatch):
     unigram = np.full(scoring.CLASSES, 1 / scoring.CLASSES)
     docs = spark.createDataFrame([(k, f"a b c {k}") for k in range(12)], "doc_id bigint, text string").repartition(6)
     train = scoring._rows(docs, "doc_id", "text")
-    words = scoring.Words([])
+    words = scoring.Words()
     flat = scoring.averaged(train, scoring.Model(unigram), words, unigram)
     levels = scoring.averaged(train, scoring.Model(unigram), words, unigram, fan=2)
     assert np.allclose(flat, levels, atol=1e-5)

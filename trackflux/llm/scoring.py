@@ -90,13 +90,13 @@ def word_counts(train: DataFrame) -> DataFrame:
 class Words:
     """The words that every task knows: sorted hashes, counts and classes."""
 
-    def __init__(self, rows: list, own: int = OWN):
-        rows = sorted(rows, key=lambda r: (-r["n"], r["word"]))
-        w = np.array([r["word"] for r in rows], np.int64).view(np.uint64)
-        n = np.array([r["n"] for r in rows], np.int64)
-        label = np.array([i if i < own else OWN + r["shared"] for i, r in enumerate(rows)], np.int64)
-        order = np.argsort(w)
-        self.words, self.counts, self.labels = w[order], n[order], label[order]
+    def __init__(self, word=(), shared=(), n=(), own: int = OWN):
+        word, shared, n = (np.asarray(x, np.int64) for x in (word, shared, n))
+        ranked = np.lexsort((word, -n))
+        label = OWN + shared
+        label[ranked[:own]] = np.arange(min(own, len(ranked)))
+        order = np.argsort(word.view(np.uint64))
+        self.words, self.counts, self.labels = word.view(np.uint64)[order], n[order], label[order]
 
     def find(self, hashes: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count or 0, class) of each word."""
@@ -109,8 +109,8 @@ class Words:
         return count, np.where(label < 0, OWN + shared, label)
 
 
-def frequent(counts: DataFrame, most: int = KNOWN_WORDS) -> list:
-    """All rows of the most frequent words: as many steps of their frequency as fit into ``most`` rows."""
+def frequent(counts: DataFrame, most: int = KNOWN_WORDS) -> Words:
+    """The most frequent words: as many steps of their frequency as fit into ``most`` rows."""
     step = F.floor(F.log2("n") * 16)
     have, least = 0, None
     for r in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
@@ -118,7 +118,10 @@ def frequent(counts: DataFrame, most: int = KNOWN_WORDS) -> list:
         if have > most:
             break
         least = r["step"]
-    return [] if least is None else counts.where(step >= least).collect()
+    if least is None:
+        return Words()
+    rows = counts.where(step >= least).toArrow()
+    return Words(*(rows.column(c).to_numpy() for c in ("word", "shared", "n")))
 
 
 def sequences(labels: np.ndarray, word_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -255,7 +258,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     counts = staged(word_counts(train), "word-counts")
     n_docs = train.count()
     shares = {r["shared"]: r for r in counts.groupBy("shared").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    known = Words(frequent(counts))
+    known = frequent(counts)
     total = sum(r["n"] for r in shares.values()) + n_docs
     distinct = sum(r["v"] for r in shares.values()) + (n_docs > 0)
     own = known.labels < OWN
