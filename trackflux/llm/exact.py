@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackflux.llm import columns as col
-from trackflux.llm.frames import small, staged
+from trackflux.llm.frames import small, staged, thin_batches
 
 PRIME = (1 << 61) - 1
 BASE = 0x1B873593CC9E2D51 % PRIME
@@ -96,7 +96,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ch
                 ["doc_id", "row_key", "length", "fingerprint"])
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), _row_key(doc_id, text), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("body"))
-    return rows.mapInArrow(run, "doc_id bigint, row_key bigint, length bigint, fingerprint bigint")
+    return thin_batches(rows).mapInArrow(run, "doc_id bigint, row_key bigint, length bigint, fingerprint bigint")
 
 
 def _row_key(doc_id: str, text: str):

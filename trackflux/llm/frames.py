@@ -9,6 +9,14 @@ from trackflux.functions.storage import scratch_path
 
 #: A side with at most this many (narrow) rows may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
+#: Rows with texts that a Python task gets at a time; the usual 10,000 would be held in the JVM and in Python at once.
+BATCH_ROWS = 1000
+
+
+def thin_batches(df: DataFrame) -> DataFrame:
+    """``df``; from now on its session hands texts to Python tasks BATCH_ROWS rows at a time."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackflux.llm import columns as col
-from trackflux.llm.frames import small, staged
+from trackflux.llm.frames import small, staged, thin_batches
 from trackflux.llm.graph import Forest, components
 
 WORDS, PERCENT = 5, 75
@@ -102,7 +102,7 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                 batch.column(0), batch.column(1), pa.array(np.diff(at).astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]),
                 pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * keys.shape[1], pa.int32()), flat)], names)
 
-    return _bodies(docs, doc_id, text).mapInArrow(run, SKETCH)
+    return thin_batches(_bodies(docs, doc_id, text)).mapInArrow(run, SKETCH)
 
 
 def _bodies(docs: DataFrame, doc_id: str, text: str) -> DataFrame:

@@ -15,7 +15,6 @@ import base64
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackflux.llm import columns as col
-from trackflux.llm.frames import small, staged
+from trackflux.llm.frames import small, staged, thin_batches
 
 WINDOW = 1024
 GRAIN = 4
@@ -38,8 +37,15 @@ RANKS = "byte_bpe_50k.tiktoken"
 Piece = tuple[str, int, int]  # ("whole", bin, 0), ("head", bin, cut) or ("tail", bin, cut)
 
 
-@cache
 def encoder(path: str) -> tiktoken.Encoding:
+    """The encoder of this process; kept with the library, since functions of this package are sent anew with each task."""
+    held = tiktoken.__dict__.setdefault("_kept_encoders", {})
+    if path not in held:
+        held[path] = _encoder(path)
+    return held[path]
+
+
+def _encoder(path: str) -> tiktoken.Encoding:
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -199,7 +205,7 @@ def lengths(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
                 seen[bin_] += 1
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, LENGTHS)
+    return thin_batches(docs).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, LENGTHS)
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, grain: int = GRAIN, cut: int = CUT, ranks: str | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackflux.llm import columns as col
+from trackflux.llm.frames import thin_batches
 
 #: Largest share of a text's word characters that may lie in later copies of n-grams, by length in words,
 #: and in lines equal to an earlier line. Published limits for web text go down to a tenth; a short clean text
@@ -95,7 +96,7 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
                 [*batch.columns, *(pa.array(found[m].astype(np.int64)) for m in MEASURES)], [*names, *MEASURES])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema) + "".join(f", {m} bigint" for m in MEASURES)
-    measured = plain.mapInArrow(run, schema)
+    measured = thin_batches(plain).mapInArrow(run, schema)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     fine = F.col("dup_line_chars") <= LINE_LIMIT * F.col("word_chars")
     for n, limit in NGRAM_LIMITS.items():

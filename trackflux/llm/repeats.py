@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackflux.llm import columns as col
-from trackflux.llm.frames import small, staged
+from trackflux.llm.frames import small, staged, thin_batches
 
 #: Clusters that one block may hold on average, and bytes that are worked on together.
 BLOCK_CLUSTERS = 150_000
@@ -211,7 +211,7 @@ def _fragments(bodies: DataFrame, open_: DataFrame, kind: Kind, blocks: int) ->
 
 def spans(docs: DataFrame, kind: Kind, decide: Callable[[pa.Table], pa.Table], doc_id: str = "doc_id", text: str = "text", block_clusters: int = BLOCK_CLUSTERS) -> DataFrame:
     """(doc, key, lo, size) of all runs of repeated windows; ``decide`` gives those of a block's fragments."""
-    bodies = _bodies(docs, doc_id, text)
+    bodies = thin_batches(_bodies(docs, doc_id, text))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks = max(1, round(total * kind.per_byte * 2 / (kind.window - kind.gram + 2) / block_clusters))
     found = staged(_judged(_dealt(bodies, kind, blocks), kind), "clusters")

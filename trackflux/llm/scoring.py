@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackflux.llm import columns as col
-from trackflux.llm.frames import small, staged
+from trackflux.llm.frames import small, staged, thin_batches
 
 #: Frequent words with a class of their own, classes of the others, and the end of a text.
 OWN, SHARED = 703, 320
@@ -253,7 +253,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     A null or empty text is its end alone. A row without id counts as held out (its id as text is empty). Without
     training documents all words are unknown and the model is uniform over classes. An empty table gives no row.
     """
-    rows = _rows(docs, doc_id, text)
+    rows = thin_batches(_rows(docs, doc_id, text))
     train = rows.where("not held_out")
     counts = staged(word_counts(train), "word-counts")
     n_docs = train.count()

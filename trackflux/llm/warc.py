@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from trackflux.functions.storage import scratch_path
 from trackflux.llm import columns as col
-from trackflux.llm.frames import small, staged
+from trackflux.llm.frames import small, staged, thin_batches
 
 END = b"\r\n\r\n"
 ARCHIVE_BYTES = 16 << 20
@@ -130,7 +130,7 @@ def from_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
 
     rows = pages.select(F.col(page_id).cast("bigint").alias("record_id"), F.col(url).cast("string").alias("uri"),
                         F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("payload"))
-    return rows.mapInArrow(run, "record_id bigint, uri string, payload binary, payload_digest string").select(
+    return thin_batches(rows).mapInArrow(run, "record_id bigint, uri string, payload binary, payload_digest string").select(
         "record_id", "uri", F.lit("response").alias("record_type"), "payload_digest", F.length("payload").cast("bigint").alias("payload_bytes"),
         F.lit(None).cast("bigint").alias("refers_to"), "payload")
 
