@@ -10,8 +10,10 @@ from ..functions.numeric import rounded
 from ..latent import emission, evaluation as ev, recursion
 from ..operators import labels as lab, selection as sel
 from ..plans import frames as plan, model
-from ..schema import ACTION_NAMES, FEATURE_GROUPS, KEYS, SEMANTIC_FEATURES, STYLE_NAMES
+from ..functions.storage import scratch_path
+from ..schema import ACTION_NAMES, CONTINUOUS_FEATURES, FEATURE_GROUPS, KEYS, SEMANTIC_FEATURES, STYLE_NAMES, WINDOW_FEATURES
 from ..sources import events_view as view
+from ..sources.bundles import load_semantics, save_semantics
 from . import model_sql as Q, sql as S
 from .registry import query
 from .sets import SPLIT, split_table
@@ -363,6 +365,41 @@ def xpl_explain(spark, d):
     return df.select(*KT, *zs, *[v.alias(k) for k, v in probs.items()], rounded(F.col("tv")).alias("tv"), "map_changed")
 
 
+_NAMES = [f"{STYLE_NAMES[s]}/{ACTION_NAMES[s, a]}" for s in range(P.S) for a in range(P.A)]
+
+
+def _top_sql(x: str, name: str) -> str:
+    """Names and rounded probabilities of the three most likely states of a list."""
+    best = f"list_sort(list_transform(range(8), lambda i: {{'p': -{x}[i + 1], 'z': i}}))[1:3]"
+    return (f"list_aggregate(list_transform({best}, lambda u: ({_NAMES})[u.z + 1]), 'string_agg', ', ') AS {name}_names, "
+            f"list_aggregate(list_transform({best}, lambda u: CAST(CAST(round(-u.p * 1000) AS BIGINT) AS VARCHAR)), 'string_agg', ', ') AS {name}_permille")
+
+
+_SCALED = [emission.scaled(c) for c in CONTINUOUS_FEATURES]
+
+
+@query("xpl_record", S.with_(Q.emission() + Q.forward() + f""",
+e AS (SELECT {KTS}, pr, po, list_transform(b, lambda x: exp(x - mb)) AS ew, list_transform({Q.mat(P.kernel('clamp').T)}, lambda c: list_dot_product(c, po)) AS nx
+  FROM fwd JOIN lb USING ({KTS})),
+n AS (SELECT {KTS}, list_transform(pr, lambda x: x / list_sum(pr)) AS pr, po, list_transform(ew, lambda x: x / list_sum(ew)) AS ew,
+  list_transform(nx, lambda x: x / list_sum(nx)) AS nx FROM e)""", f"""
+SELECT {KTS}, start_frame AS frame, {_top_sql('pr', 'prior')}, {_top_sql('ew', 'emission')}, {_top_sql('po', 'posterior')}, {_top_sql('nx', 'forecast')},
+  {S.rounded_list(WINDOW_FEATURES, d=4)}, {S.rounded_list(_SCALED, d=4)} FROM n JOIN obs USING ({KTS})""", recursive=True))
+def xpl_record(spark, d):
+    """Full explanation of every window: named top states, frame number, all raw and scaled features."""
+    path = scratch_path(spark, "semantics")
+    save_semantics(spark, path, STYLE_NAMES, ACTION_NAMES)
+    names = load_semantics(spark, path, P.S, P.A)
+    post = model.filtered(spark, d, keep_logb=True)
+    df = ev.explanation_record(ev.explain(post, P), names)
+    features = model.observations(spark, d).select(*KT, F.col("start_frame").alias("frame"), *WINDOW_FEATURES, *_SCALED)
+    parts = ("prior", "emission", "posterior", "forecast")
+    permille = lambda c: F.array_join(F.transform(c, lambda v: F.round(v * 1000).cast("bigint").cast("string")), ", ")
+    return df.join(features, KT).select(
+        *KT, "frame", *[F.array_join(f"{c}_names", ", ").alias(f"{c}_names") for c in parts], *[permille(F.col(f"{c}_probs")).alias(f"{c}_permille") for c in parts],
+        *[rounded(F.col(c), 4).alias(c) for c in [*WINDOW_FEATURES, *_SCALED]])
+
+
 _GROUPS = ", ".join(f"('{f}', '{g}')" for g, names in FEATURE_GROUPS.items() for f in names)
 
 

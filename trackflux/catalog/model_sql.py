@@ -42,14 +42,14 @@ obs AS MATERIALIZED (SELECT recording_id, vehicle_id, window_idx AS t, start_fra
   {", ".join(f"({f} - m_{f}) / d_{f} AS s_{f}" for f in CONTINUOUS_FEATURES)} FROM windows, sc)"""
 
 
-def split_obs(which: str, split: str, eps: str = "") -> str:
-    """Like OBS for one split, scaled by class with what its training windows give."""
+def split_obs(which: str | None, split: str, eps: str = "") -> str:
+    """Like OBS for one split (None: all windows), scaled by class with what the training windows give."""
     return S.windows(None, MODEL_W, MODEL_STRIDE) + f""",{split},
 tr AS (SELECT w.* FROM windows w JOIN split s USING (recording_id, vehicle_id) WHERE s.split = 'train'),
 sc AS (SELECT meta_class AS mc, {", ".join(_sc(f) for f in CONTINUOUS_FEATURES)} FROM tr GROUP BY meta_class),
 obs AS MATERIALIZED (SELECT w.recording_id, w.vehicle_id, window_idx AS t, start_frame, meta_class, {", ".join(WINDOW_FEATURES)},
   {", ".join(f"({f} - m_{f}) / (d_{f}{eps}) AS s_{f}" for f in CONTINUOUS_FEATURES)}
-  FROM windows w JOIN sc ON mc = meta_class JOIN split s ON s.vehicle_id = w.vehicle_id WHERE s.split = '{which}')"""
+  FROM windows w JOIN sc ON mc = meta_class JOIN split s ON s.vehicle_id = w.vehicle_id{f" WHERE s.split = '{which}'" if which else ""})"""
 
 
 def _names(cols) -> str:

@@ -73,6 +73,18 @@ def agg_subset_grid(spark, d):
     return _rnd(rep.subset_grid(plan.kinematic(spark, d), SIGNALS), [*STAT_COLS, *SUMMARY], 5)
 
 
+@query("agg_motion_centric", S.with_(S.KIN + f""", long AS ({long_sql(SIGNALS)}),
+t AS (
+  SELECT signal, x, 'global' AS subset, NULL AS class FROM long
+  UNION ALL SELECT signal, x, 'class', meta_class FROM long)""", f"""
+SELECT subset, CAST(NULL AS VARCHAR) AS direction, CAST(class AS VARCHAR) AS class, signal, {STAT_SQL}, {q_sql('x', SUMMARY, 5)}
+FROM t GROUP BY subset, class, signal"""))
+def agg_motion_centric(spark, d):
+    """All vehicles aligned forward, so no split by direction."""
+    subsets = {"global": [], "class": ["meta_class"]}
+    return _rnd(rep.subset_grid(plan.kinematic(spark, d), SIGNALS, subsets), [*STAT_COLS, *SUMMARY], 5)
+
+
 @query("agg_histogram", S.with_(S.KIN + """,
 g AS (SELECT min(vx) AS lo, max(vx) AS hi, count(vx) AS n, (max(vx) - min(vx)) / 200 AS w,
   quantile_cont(vx, 0.01) AS q1, quantile_cont(vx, 0.99) AS q2 FROM kin)""", f"""

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.ordering import in_segments
 from ..functions.quantiles import exact_quantiles
 from ..operators.reports import one_row
-from ..operators.selection import argmax, belief_prob, let, normalised, total
+from ..operators.selection import argmax, belief_prob, let, normalised, top_k, total
 from ..schema import FPS, KEYS, LEGACY_MANEUVER_GROUPS, MANEUVER_GROUPS
 from .emission import group_scores
 from .params import Params
@@ -377,6 +377,17 @@ def explain(filtered_logb: DataFrame, p: Params) -> DataFrame:
     return df.withColumns({"tv": tv, "map_changed": F.col("prior_z") != F.col("posterior_z")})
 
 
+def explanation_record(explained: DataFrame, names: list[str], k: int = 3) -> DataFrame:
+    """``explain`` with the ``k`` most likely states of each distribution by name and probability."""
+    table = F.array(*[F.lit(n) for n in names])
+    cols = {}
+    for c in ("prior", "emission", "posterior", "forecast"):
+        top = top_k(F.col(c), k)
+        cols[f"{c}_names"] = F.transform(top, lambda w: F.element_at(table, w["z"] + 1))
+        cols[f"{c}_probs"] = F.transform(top, lambda w: w["prob"])
+    return explained.withColumns(cols)
+
+
 def state_mass(posteriors: DataFrame, S: int, A: int) -> DataFrame:
     """Responsibility mass per joint state, style and action with its share."""
     sums = posteriors.agg(*[F.sum(F.col("gamma")[z]).alias(f"g{z}") for z in range(S * A)])

@@ -47,12 +47,8 @@ RULE_INPUTS = [
 
 
 def thresholds(overrides: dict | None = None) -> dict[str, float]:
-    """Defaults with any known keys replaced."""
-    out = dict(THRESHOLDS)
-    for k, v in (overrides or {}).items():
-        if k in out:
-            out[k] = float(v)
-    return out
+    """Defaults with keys replaced. A key that is no threshold is left aside: a settings file holds other keys as well."""
+    return THRESHOLDS | {k: float(v) for k, v in (overrides or {}).items() if k in THRESHOLDS}
 
 
 def rule_label(columns: list[str], overrides: dict | None = None, A: int = N_ACTIONS) -> Column:

@@ -157,3 +157,21 @@ def write_report(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """An aggregated report as one CSV or JSON file."""
     w = df.coalesce(1).write.mode("overwrite")
     w.option("header", True).csv(path) if fmt == "csv" else w.json(path)
+
+
+def save_semantics(spark: SparkSession, path: str, styles: dict[int, str], actions: dict[tuple[int, int], str]) -> None:
+    """Names of the states, one JSON record each."""
+    rows = [(s, a, styles[s], name) for (s, a), name in actions.items()]
+    spark.createDataFrame(rows, "s int, a int, style string, action string").coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_semantics(spark: SparkSession, path: str, S: int, A: int) -> list[str]:
+    """``style/action`` names in state order; a state without record is an error, a missing name becomes its number."""
+    if not exists(spark, path):
+        raise FileNotFoundError(f"no semantic map at {path}")
+    rows = spark.read.schema("s int, a int, style string, action string").json(path).collect()  # one per state
+    by = {(r["s"], r["a"]): f"{r['style'] or f's{r['s']}'}/{r['action'] or f'a{r['a']}'}" for r in rows}
+    lost = [(s, a) for s in range(S) for a in range(A) if (s, a) not in by]
+    if lost:
+        raise KeyError(f"semantic map {path} lacks states {lost}")
+    return [by[s, a] for s in range(S) for a in range(A)]
