@@ -34,17 +34,23 @@ def window_members(frames: DataFrame, W: int = WINDOW_LEN, stride: int = WINDOW_
 
 def window_aggregate(
     frames: DataFrame, aggs: dict[str, Column], W: int = WINDOW_LEN, stride: int = WINDOW_STRIDE,
-    carry: list[str] | None = None,
+    carry: list[str] | None = None, exact: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Complete windows with the given aggregates; ``carry`` columns come from the first row."""
+    """Complete windows with the given aggregates; ``carry`` columns come from the first row.
+
+    Numbers alone are aggregated by hash, with partial results before the shuffle. What would forbid that
+    goes its own way and is joined by window: carried columns are read off the windows' first rows, and
+    ``exact`` aggregates (quantiles, which keep all values) see only the columns they need.
+    """
     carry = [c for c in (carry or []) if c in frames.columns]
-    out = window_members(frames, W, stride).groupBy(*KEYS, "window_idx").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.max(F.when(F.col("i") == 0, F.col("frame"))).alias("start_frame"),
-        *[F.min_by(c, "i").alias(c) for c in carry],
-        *[a.alias(n) for n, a in aggs.items()],
-    )
-    return out.where(F.col("_n") == W).drop("_n")
+    df, by = with_index(frames), [*KEYS, "window_idx"]
+    out = window_members(df, W, stride).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *[a.alias(n) for n, a in aggs.items()])
+    out = out.where(F.col("_n") == W).drop("_n")
+    if exact:
+        out = out.join(window_members(df, W, stride).groupBy(*by).agg(*[a.alias(n) for n, a in exact.items()]), by)
+    first = df.where(F.col("t") % stride == 0).select(
+        *KEYS, F.expr(f"t div {int(stride)}").alias("window_idx"), F.col("frame").alias("start_frame"), *carry)
+    return first.join(out, by)
 
 
 # statistics over finite rows ------------------------------------------------
@@ -140,7 +146,9 @@ def windowize(
     names = names or WINDOW_FEATURES
     carry = [c for c in ("meta_class", "meta_drivingDirection") if c in frames.columns]
     slim = with_index(frames).select(*KEYS, "t", "frame", *carry, *feature_inputs(names))
-    return window_aggregate(slim, {n: feature(n) for n in names}, W, stride, carry)
+    exact = {n: feature(n) for n in names if n.endswith("_p95")}
+    out = window_aggregate(slim, {n: feature(n) for n in names if n not in exact}, W, stride, carry, exact)
+    return out.select(*KEYS, "window_idx", "start_frame", *carry, *names)
 
 
 def window_counts(frames: DataFrame, W: int = WINDOW_LEN, stride: int = WINDOW_STRIDE) -> DataFrame:
