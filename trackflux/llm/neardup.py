@@ -215,8 +215,9 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
             roots = components(links.unionByName(more))
 
     placed = rows.select("doc_id", "row_key", *sets).join(class_of, sets, "left").join(small(roots), "node", "left")
-    placed = placed.withColumn("comp", F.coalesce("root", "node", "row_key"))
+    placed = staged(placed.select("doc_id", "row_key", "n_shingles", F.coalesce("root", "node", "row_key").alias("comp")), "placed")
     least = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n_rows")).where("n_rows > 1").drop("n_rows")
+    least = small(staged(least, "components"))
     alone = F.col("component_id").isNull()
     return placed.join(least, "comp", "left").select(
         "doc_id", "row_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
