@@ -109,3 +109,36 @@ def keep(docs: DataFrame, text: str = "text") -> DataFrame:
     names = [f"_{i}" for i in range(len(docs.columns))]
     judged = judge(docs.toDF(*names), names[docs.columns.index(text)])
     return judged.where("kept").select(*names).toDF(*docs.columns)
+
+
+_WORD = r"[^\x20\x09-\x0D]+"
+#: The same in SQL.
+SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words FROM documents),
+w AS (SELECT doc_id, i, words[i] AS word, length(words[i]) AS chars FROM d, range(1, len(words) + 1) r(i)),
+g AS (SELECT doc_id, n, i, words[i:i + n - 1] AS gram FROM d, (VALUES (3), {", ".join(f"({n})" for n in NGRAM_LIMITS)}) s(n), range(1, len(words) - n + 2) r(i)),
+k AS (
+  SELECT doc_id, n, i, count(*) OVER (PARTITION BY doc_id, n, gram) AS times, row_number() OVER (PARTITION BY doc_id, n, gram ORDER BY i) AS nr FROM g),
+c AS (SELECT DISTINCT doc_id, n, i + j AS i FROM k, range(0, n) q(j) WHERE CASE WHEN n = 3 THEN times > 1 ELSE nr > 1 END),
+cov AS (
+  SELECT doc_id, count(*) FILTER (WHERE n = 3) AS n_repeat_words,
+    {", ".join(f"sum(chars) FILTER (WHERE n = {n}) AS g{n}" for n in NGRAM_LIMITS)}
+  FROM c JOIN w USING (doc_id, i) GROUP BY doc_id),
+l AS (
+  SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line) AS nr
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{_WORD}')),
+dup AS (
+  SELECT doc_id, count(*) AS n_dup_lines, sum(list_sum(list_transform(regexp_extract_all(line, '{_WORD}'), lambda x: length(x)))) AS dup_line_chars
+  FROM l WHERE nr > 1 GROUP BY doc_id),
+t AS (SELECT doc_id, sum(chars) AS word_chars FROM w GROUP BY doc_id),
+m AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(dup_line_chars, 0)::BIGINT AS dup_line_chars,
+    {", ".join(f"coalesce(g{n}, 0)::BIGINT AS dup_{n}gram_chars" for n in NGRAM_LIMITS)}
+  FROM d LEFT JOIN t USING (doc_id) LEFT JOIN cov USING (doc_id) LEFT JOIN dup USING (doc_id)),
+b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND dup_line_chars <= {LINE_LIMIT}::DOUBLE * word_chars
+  AND {" AND ".join(f"dup_{n}gram_chars <= {v}::DOUBLE * word_chars" for n, v in NGRAM_LIMITS.items())} AS kept
+FROM b
+"""

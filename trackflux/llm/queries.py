@@ -21,12 +21,12 @@ def op2(spark, sf_dir):
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-@query("op5_quality_rules")
+@query("op5_quality_rules", quality.SQL)
 def op5(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-@query("op6_url_filter")
+@query("op6_url_filter", urls.SQL)
 def op6(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft")
 

@@ -97,3 +97,32 @@ def judge(pages: DataFrame, url: str = "url", rules=RULES, strict=STRICT, soft=S
     blocked = (F.col("n_strict") >= 1) | (F.col("n_soft") >= soft_limit)
     return out.mapInArrow(run, schema).withColumn(
         "verdict", F.coalesce("_ruled", F.when(blocked, F.lit("block")).otherwise(F.lit("allow")))).drop("_ruled")
+
+
+def _term(term: str) -> str:
+    return rf"regexp_matches(target, '(^|[^\pL\pN]){term}([^\pL\pN]|$)')"
+
+
+def _count(terms: tuple[str, ...]) -> str:
+    return "(" + " + ".join(f"CAST({_term(t)} AS BIGINT)" for t in terms) + ")"
+
+
+def _rules(value) -> str:
+    ranked = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    return "CASE " + " ".join(
+        f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{value(w, h, p)}'" for w, h, p in ranked) + " END"
+
+
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+#: The same in SQL.
+SQL = rf"""
+WITH u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), {_LOWER}) AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+t AS (SELECT *, host || translate(path, {_LOWER}) AS target FROM u),
+n AS (
+  SELECT page_id, host, path, {_rules(lambda w, h, p: h + p)} AS rule, {_rules(lambda w, h, p: w)} AS ruled,
+    {_count(STRICT)} AS n_strict, {_count(SOFT)} AS n_soft FROM t)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN n_strict >= 1 OR n_soft >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, n_strict, n_soft
+FROM n
+"""
