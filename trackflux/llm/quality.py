@@ -115,8 +115,10 @@ _WORD = r"[^\x20\x09-\x0D]+"
 #: The same in SQL.
 SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words FROM documents),
-w AS (SELECT doc_id, i, words[i] AS word, length(words[i]) AS chars FROM d, range(1, len(words) + 1) r(i)),
-g AS (SELECT doc_id, n, i, words[i:i + n - 1] AS gram FROM d, (VALUES (3), {", ".join(f"({n})" for n in NGRAM_LIMITS)}) s(n), range(1, len(words) - n + 2) r(i)),
+w AS (SELECT doc_id, i, word, length(word) AS chars FROM (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d)),
+lead AS (SELECT doc_id, i, word AS w0, {", ".join(f"lead(word, {k}) OVER o AS w{k}" for k in range(1, max(NGRAM_LIMITS)))} FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (
+  {" UNION ALL ".join(f"SELECT doc_id, {n} AS n, i, hash({', '.join(f'w{k}' for k in range(n))}) AS gram FROM lead WHERE w{n - 1} IS NOT NULL" for n in (3, *NGRAM_LIMITS))}),
 k AS (
   SELECT doc_id, n, i, count(*) OVER (PARTITION BY doc_id, n, gram) AS times, row_number() OVER (PARTITION BY doc_id, n, gram ORDER BY i) AS nr FROM g),
 c AS (SELECT DISTINCT doc_id, n, i + j AS i FROM k, range(0, n) q(j) WHERE CASE WHEN n = 3 THEN times > 1 ELSE nr > 1 END),

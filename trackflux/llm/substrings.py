@@ -91,19 +91,17 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     return rows.mapInArrow(run, head + "n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
 
 
-SQL = r"""
-WITH w AS (
-  SELECT doc_id, i, words[i:i + 12] AS win, len(words) AS n
-  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents), range(1, len(words) - 11) r(i)),
-hits AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS first FROM w) WHERE doc_id > first),
-gone AS (SELECT DISTINCT doc_id, i + k AS i FROM hits, range(0, 13) s(k)),
-all_words AS (
-  SELECT doc_id, i, words[i] AS word
-  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents), range(1, len(words) + 1) r(i)),
-kept AS (
-  SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY i) AS kept_text FROM all_words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
-SELECT d.doc_id, len(regexp_extract_all(coalesce(d.text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_words,
-  (len(regexp_extract_all(coalesce(d.text, ''), '[^\x20\x09-\x0D]+')) - coalesce(n_kept, 0))::BIGINT AS n_removed,
-  sha256(coalesce(kept_text, '')) AS kept_sha256
-FROM documents d LEFT JOIN kept USING (doc_id)
+_WORD = r"[^\x20\x09-\x0D]+"
+#: The same in SQL.
+SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words FROM documents),
+w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
+lead AS (
+  SELECT doc_id, i, hash(word, {", ".join(f"lead(word, {k}) OVER o" for k in range(1, WINDOW))}) AS win, lead(word, {WINDOW - 1}) OVER o AS last
+  FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+hits AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS first FROM lead WHERE last IS NOT NULL) WHERE doc_id > first),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM hits, range(0, {WINDOW}) s(k)),
+kept AS (SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY i) AS kept_text FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n_kept, 0))::BIGINT AS n_removed, sha256(coalesce(kept_text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
 """
