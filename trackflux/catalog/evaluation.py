@@ -255,16 +255,14 @@ def lbl_debug_values(spark, d):
                      *[rounded(F.col(c), 4).alias(c) for c in lab.RULE_INPUTS])
 
 
-
-
 @query("flagship", S.with_(S.windows(lab.RULE_INPUTS), f"""
-SELECT meta_class, z, count(*) AS n FROM (SELECT meta_class, CAST({label_sql()} AS INTEGER) AS z FROM windows) GROUP BY 1, 2"""))
+SELECT meta_class, z, count(*) AS n FROM (SELECT meta_class, CAST({label_sql_no_lane()} AS INTEGER) AS z FROM windows) GROUP BY 1, 2"""))
 def flagship(spark, d):
-    """Frames to windows to rule labels to counts per vehicle class."""
+    """Frames to windows to rule labels to counts per vehicle class, with thresholds at which several rules fire."""
     from ..operators.windows import windowize
 
     w = windowize(plan.frames(spark, d), lab.RULE_INPUTS)
-    return lab.with_labels(w).groupBy("meta_class", "z").agg(F.count(F.lit(1)).alias("n"))
+    return lab.with_labels(w, NO_LANE_RULE).groupBy("meta_class", "z").agg(F.count(F.lit(1)).alias("n"))
 
 
 # prediction -----------------------------------------------------------------------------------
