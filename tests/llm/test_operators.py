@@ -286,17 +286,17 @@ def test_op10(spark, sf_dir, docs):
     assert {k[1] for k in got if k[0] is None} == {k[1] for k in null}
 
 
-@pytest.mark.parametrize("kind,decide,unit", [(substrings.WORDS, substrings.parse, "word"), (suffixes.BYTES, suffixes.sift, "byte")])
-def test_small_blocks_and_slices_change_nothing(spark, monkeypatch, kind, decide, unit):
+@pytest.mark.parametrize("fragments", [0, 3, 10_000])
+@pytest.mark.parametrize("unit", ["word", "byte"])
+def test_small_blocks_and_slices_change_nothing(spark, monkeypatch, unit, fragments):
     rng = random.Random(11)
     alphabet = [f"v{k}" for k in range(40)]
     shared = [" ".join(rng.choices(alphabet, k=rng.randrange(12, 70))) for _ in range(6)]
     docs = [(k, " ".join(x for _ in range(4) for x in (" ".join(rng.choices(alphabet, k=rng.randrange(1, 40))), rng.choice(shared)[rng.randrange(9):]))) for k in range(60)]
     monkeypatch.setattr(repeats, "SLICE_BYTES", 3000)
     remove, want = (substrings.remove, plain.word_removal(docs)) if unit == "word" else (suffixes.remove, plain.byte_removal(docs))
-    monkeypatch.setattr(repeats, "BLOCK_CLUSTERS", 40)
     spans = repeats.spans
-    monkeypatch.setattr(repeats, "spans", lambda d, k, f, i, t: spans(d, k, f, i, t, 40))
+    monkeypatch.setattr(repeats, "spans", lambda d, k, f, i, t: spans(d, k, f, i, t, 40, fragments))
     df = remove(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4))
     assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in df.collect()} == {w[0]: (w[2], w[-1]) for w in want}
 

@@ -28,6 +28,8 @@ from trackflux.llm.frames import small, staged, thin_batches
 #: Clusters that one block may hold on average, and bytes that are worked on together.
 BLOCK_CLUSTERS = 150_000
 SLICE_BYTES = 1 << 20
+#: A block with more fragments is not worked on by one task: its windows are counted out one by one.
+BLOCK_FRAGMENTS = 20_000
 LAST = (1 << 63) - 1  # a null id comes after all others
 
 CLUSTER = np.dtype([("anchor", "<u8"), ("whole", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("lo", "<i8"), ("size", "<i4"), ("left", "<u2"), ("right", "<u2")])
@@ -43,6 +45,7 @@ class Kind:
     per_byte: float  # symbols in a byte, for the number of blocks
     same_document: bool  # an earlier place in the same document counts
     store: Callable[[np.ndarray], bytes]  # how the symbols of a fragment travel
+    read: Callable[[bytes], np.ndarray]  # and how they are read again
 
 
 def clusters(values: np.ndarray, at: np.ndarray, kind: Kind, powers: col.Powers) -> dict[str, np.ndarray]:
@@ -209,16 +212,47 @@ def _fragments(bodies: DataFrame, open_: DataFrame, kind: Kind, blocks: int) ->
         run, "block bigint, doc bigint, key bigint, lo bigint, size int, values binary")
 
 
-def spans(docs: DataFrame, kind: Kind, decide: Callable[[pa.Table], pa.Table], doc_id: str = "doc_id", text: str = "text", block_clusters: int = BLOCK_CLUSTERS) -> DataFrame:
+def _one_by_one(fragments: DataFrame, kind: Kind, read: Callable[[bytes], np.ndarray]) -> DataFrame:
+    """(doc, key, lo, size) of the repeated windows of crowded blocks.
+
+    Each window is a row with its hash; the earliest place of each is found with partial results before
+    the shuffle and joined back, so however many fragments share an anchor, none of it meets in one task.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = col.Powers()
+        for batch in col.slices(batches, "values", SLICE_BYTES // 8):
+            doc, key, lo = (batch.column(k).to_numpy() for k in (0, 1, 2))
+            parts = [read(x) for x in batch.column(3).to_pylist()]
+            at = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+            start = col.windows(at, kind.window)
+            sums = col.prefix(np.concatenate(parts), powers)
+            of = np.searchsorted(at, start, "right") - 1
+            content = col.stretch(sums, start, start + kind.window, powers).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[of], key[of], lo[of] + start - at[of], content)], ["doc", "key", "lo", "content"])
+
+    rows = staged(fragments.select("doc", "key", "lo", "values").mapInArrow(run, "doc bigint, key bigint, lo bigint, content bigint"), "single-windows")
+    place = ["doc", "key", "lo"] if kind.same_document else ["doc"]
+    first = rows.groupBy("content").agg(F.min(F.struct(*place)).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = staged(first, "first-windows")
+    return rows.join(first, "content").where(F.struct(*place) > F.col("first")).select("doc", "key", "lo", F.lit(1).alias("size"))
+
+
+def spans(docs: DataFrame, kind: Kind, decide: Callable[[pa.Table], pa.Table], doc_id: str = "doc_id", text: str = "text", block_clusters: int = BLOCK_CLUSTERS,
+          block_fragments: int = BLOCK_FRAGMENTS) -> DataFrame:
     """(doc, key, lo, size) of all runs of repeated windows; ``decide`` gives those of a block's fragments."""
     bodies = thin_batches(_bodies(docs, doc_id, text))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks = max(1, round(total * kind.per_byte * 2 / (kind.window - kind.gram + 2) / block_clusters))
     found = staged(_judged(_dealt(bodies, kind, blocks), kind), "clusters")
     open_ = found.where("open").select("doc", "key", "lo", "size", "anchor")
-    fragments = _fragments(bodies, open_, kind, blocks)
-    single = fragments.groupBy("block").applyInArrow(decide, "doc bigint, key bigint, lo bigint, size int")
-    return found.where("not open").select("doc", "key", "lo", "size").unionByName(single)
+    fragments = staged(_fragments(bodies, open_, kind, blocks), "fragments")
+    sizes = fragments.groupBy("block").count()
+    crowded = staged(sizes.where(F.col("count") > block_fragments).select("block"), "crowded")
+    whole = found.where("not open").select("doc", "key", "lo", "size")
+    some = crowded.isEmpty()
+    usual = fragments if some else fragments.join(small(crowded), "block", "left_anti")
+    out = whole.unionByName(usual.groupBy("block").applyInArrow(decide, "doc bigint, key bigint, lo bigint, size int"))
+    return out if some else out.unionByName(_one_by_one(fragments.join(small(crowded), "block", "left_semi"), kind, kind.read))
 
 
 def with_spans(docs: DataFrame, runs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

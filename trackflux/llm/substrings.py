@@ -27,7 +27,8 @@ def _words(texts: pa.Array, powers: col.Powers) -> tuple[np.ndarray, np.ndarray]
     return col.stretch(col.prefix(col.byte_values(data), powers), start, end, powers), word_at
 
 
-WORDS = repeats.Kind(WINDOW, GRAM, _words, 1 / 6, same_document=False, store=np.ndarray.tobytes)
+WORDS = repeats.Kind(WINDOW, GRAM, _words, 1 / 6, same_document=False, store=np.ndarray.tobytes,
+                     read=lambda b: np.frombuffer(b, np.uint64))
 
 
 def factors(doc: np.ndarray, at: np.ndarray, values: np.ndarray, window: int, powers: col.Powers) -> tuple[np.ndarray, np.ndarray]:

@@ -25,7 +25,8 @@ def _symbols(texts: pa.Array, powers: col.Powers) -> tuple[np.ndarray, np.ndarra
     return col.byte_values(data), at
 
 
-BYTES = repeats.Kind(WINDOW, GRAM, _symbols, 1.0, same_document=True, store=lambda v: (v - np.uint64(1)).astype(np.uint8).tobytes())
+BYTES = repeats.Kind(WINDOW, GRAM, _symbols, 1.0, same_document=True, 
+                     store=lambda v: (v - np.uint64(1)).astype(np.uint8).tobytes(), read=lambda b: col.byte_values(np.frombuffer(b, np.uint8)))
 
 
 def prefix_ranks(values: np.ndarray, at: np.ndarray, upto: int) -> tuple[list[int], list[np.ndarray]]:
