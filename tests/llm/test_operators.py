@@ -151,6 +151,22 @@ def test_op3(spark, sf_dir, docs):
     assert sum(want.values()) >= 0.97 * 1024 * len(by)
 
 
+def test_added_tokens_are_matched_in_the_text(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    said = [f"end of one {end} next", end, end * 3, f" \n {end}  \n\n{end}x", f"<{end}>", f"é{end}漢", end[:-1], "<|EndOfText|>", f"a b {end} " * 500]
+    got = packing.pack(spark.createDataFrame(list(enumerate(said)), "doc_id bigint, text string")).collect()
+    total = collections.Counter()
+    for r in got:
+        ids = np.array([*tok.encode(said[r.doc_id], add_special_tokens=False).ids, 0], "<u4")
+        assert len(ids) == r.doc_tokens and zlib.crc32(ids[r.start:r.start + r.length].tobytes()) == r.ids_crc32
+        total[r.doc_id] += r.length
+    assert total == {r.doc_id: r.doc_tokens for r in got} and len(total) == len(said)
+
+
 @pytest.mark.parametrize("hist", [{150: 1000, 20: 3}, {256: 4, 1: 5}, {3: 1}, {k: 7 + k % 5 for k in range(1, 257)}, {129: 77}, {}])
 @pytest.mark.parametrize("cut", [0, 16])
 def test_plans_place_every_rest_once(hist, cut):

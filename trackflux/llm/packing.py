@@ -12,9 +12,11 @@ Where the greedy step finds no rest that fits a gap of CUT ids or more, it cuts
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -48,12 +50,23 @@ def encoder(path: str) -> tiktoken.Encoding:
 def _encoder(path: str) -> tiktoken.Encoding:
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(path))
+
+
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of the vocabulary beside its rank form, which itself has none."""
+    whole = Path(path).with_suffix(".json")
+    if not whole.exists():
+        return {}
+    added = json.loads(whole.read_text(encoding="utf-8"))["added_tokens"]
+    if any(a[k] for a in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{whole.name} has added tokens that are not matched as they stand")
+    return {a["content"]: a["id"] for a in added}
 
 
 def token_ids(text: str | None, enc: tiktoken.Encoding) -> np.ndarray:
-    """Ids of a text (special strings count as ordinary text), then END_ID, as little-endian 32-bit numbers."""
-    ids = enc.encode_to_numpy(text or "", disallowed_special=())
+    """Ids of a text (added tokens are matched in it), then END_ID, as little-endian 32-bit numbers."""
+    ids = enc.encode_to_numpy(text or "", allowed_special="all")
     return np.append(ids, END_ID).astype("<u4")
 
 
