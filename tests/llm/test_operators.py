@@ -121,6 +121,21 @@ def test_mix_in_cells_keeps_totals(spark):
     assert {r.source: r.n for r in whole} == {r.source: r.n for r in cut}
 
 
+def test_mix_takes_the_same_documents_at_every_cut(spark, tmp_path):
+    n = mixing.CELL_ROWS + 2000  # documents of one source and size
+    docs = spark.range(n + 3000).select(
+        F.when(F.col("id") % 500 != 7, (F.col("id") * 7919) % 20011 - 900).alias("doc_id"),
+        F.when(F.col("id") < n, F.lit("a b c")).otherwise(F.concat_ws(" ", F.array_repeat(F.lit("d"), (F.col("id") % 9).cast("int")))).alias("text"),
+        F.when(F.col("id") < n, "s1").when(F.col("id") % 3 > 0, "s2").alias("source"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    columns = ["doc_id", "size", "source_size", "target", F.col("copies") * F.col("size")]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    usual, cut = (rows(mixing.copies(docs, **x), *columns) for x in ({}, {"cell_rows": 50}))
+    assert usual == cut
+    assert diff(entry.queries()["op2_mix_sources"](spark, str(tmp_path)), tables(tmp_path), entry.oracle_sql()["op2_mix_sources"]) is None
+
+
 def test_op3(spark, sf_dir, docs):
     import public_tokenizers
     from tokenizers import Tokenizer

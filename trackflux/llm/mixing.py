@@ -3,7 +3,8 @@
 Each document of a source is expected ``rate = target / source size`` times. In the order of
 (size, id) the expected copies are summed up, one random offset per source is added, and
 a document is emitted once for each integer that the sum crosses. Ordering by size keeps
-what a source gives within about its largest document of its target.
+what a source gives within about its largest document of its target. The order is the same at every
+size of input: rows are cut into ranges of it, and the counts of earlier ranges are added.
 Rates are held as multiples of 2**-24, so that sums are exact whole numbers.
 """
 
@@ -18,7 +19,7 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 BITS = 24
 ONE = 1 << BITS
-#: Documents of one source and size that one window may hold.
+#: Rows that one range of the order holds on average.
 CELL_ROWS = 10_000
 SEED = "mix-1"
 
@@ -62,26 +63,22 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     """
     sized = staged(docs.select(
         F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(doc_id).cast("bigint"), F.col(text)).alias("row_key"),
-        F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size")), "sizes")
-    cells = staged(sized.groupBy("source", "size").agg(F.count("*").alias("n_docs")), "cells")
-    sources = staged(cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n_docs")).alias("source_size")), "sources")
+        F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"),
+        F.monotonically_increasing_id().alias("row")), "sizes")
+    sources = staged(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
     rate = F.when(F.col("source_size") > 0, F.floor(F.col("target") * ONE / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
     offset = _draw(F.concat(F.coalesce("source", F.lit("")), F.lit(f"|{seed}")), BITS // 4)
     goals = small(staged(targets(sources, weights, most).select("*", rate.alias("rate"), offset.alias("offset")), "targets"))
-    # a size that very many documents of a source share is dealt out further, by a hash of the id
-    split = cells.withColumn("parts", F.ceil(F.col("n_docs") / cell_rows).cast("bigint"))
-    part = F.coalesce(F.pmod(_draw(F.col("doc_id").cast("string"), 8), F.col("parts")), F.lit(0))
-    same = F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size"))
-    keyed = sized.join(small(split.select(F.col("source").alias("c_source"), F.col("size").alias("c_size"), "parts")), same).select(
-        "doc_id", "row_key", "source", "size", part.alias("part"))
-    keyed = staged(keyed, "parts")
-    base = keyed.groupBy("source", "size", "part").agg(F.count("*").alias("n"))
-    base = staged(base.withColumn("before", F.coalesce(F.sum("n").over(
-        Window.partitionBy("source").orderBy("size", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), "ranks")
-    inside = Window.partitionBy("source", "size", "part").orderBy("doc_id", "row_key")
-    here = F.col("source").eqNullSafe(F.col("b_source")) & (F.col("size") == F.col("b_size")) & (F.col("part") == F.col("b_part"))
-    ranked = keyed.withColumn("rank", F.row_number().over(inside) - 1).join(
-        small(base.select(F.col("source").alias("b_source"), F.col("size").alias("b_size"), F.col("part").alias("b_part"), "before")), here)
+    # ranges of (source, size, id); the row number only parts rows that are alike, so that these can be cut too
+    order = ["source", "size", "doc_id", "row_key", "row"]
+    ranges = max(1, -(-sized.count() // cell_rows))
+    dealt = staged(sized.repartitionByRange(ranges, *[F.asc_nulls_first(c) for c in order]).withColumn("part", F.spark_partition_id()), "parts")
+    upto = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = staged(dealt.groupBy("source", "part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))), "ranks")
+    inside = Window.partitionBy("source", "part").orderBy(*[F.asc_nulls_first(c) for c in order[1:]])
+    here = F.col("source").eqNullSafe(F.col("b_source")) & (F.col("part") == F.col("b_part"))
+    ranked = dealt.withColumn("rank", F.row_number().over(inside) - 1).join(
+        small(base.select(F.col("source").alias("b_source"), F.col("part").alias("b_part"), "before")), here)
     mixed = ranked.withColumnRenamed("source", "d_source").join(goals, F.col("d_source").eqNullSafe(F.col("source")))
     at = (F.col("before") + F.col("rank")) * F.col("rate") + F.col("offset")
     crossed = F.shiftright(at + F.col("rate"), BITS) - F.shiftright(at, BITS)
@@ -101,7 +98,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     return one.select(*names).unionByName(many.select(*names))
 
 
-#: The same mix in SQL, for sources with at most CELL_ROWS documents of one size.
+#: The same mix in SQL.
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
