@@ -1,9 +1,8 @@
-"""Word-wise substring dedup by relative Lempel-Ziv parsing.
+"""Word-wise substring dedup by an index of windows.
 
-A block's reference is made of the fragments of all documents in it, indexed by their windows. Each
-fragment is factored against what comes from documents with smaller ids: at a window that the index has, the
-factor follows its source for as long as both go on alike; where it ends, the windows across its end are looked up again. Factors of
-a window or more are repeated spans. Every document meets every block in which it has an anchor.
+A block's reference is made of the fragments of all documents in it, indexed by the hashes of their windows. Every window of
+a fragment is looked up; those that a document with a smaller id has are repeated, and neighbouring ones are joined to a run while
+their sources follow each other too. There is no greedy factoring. Every document meets every block in which it has an anchor.
 """
 
 from __future__ import annotations
@@ -32,7 +31,7 @@ WORDS = repeats.Kind(WINDOW, GRAM, _words, 1 / 6, same_document=False, store=np.
 
 
 def factors(doc: np.ndarray, at: np.ndarray, values: np.ndarray, window: int, powers: col.Powers) -> tuple[np.ndarray, np.ndarray]:
-    """Factors of fragments sorted by document: first window and number of windows of each, as places among ``values``."""
+    """Repeated runs of fragments sorted by document: first window and number of windows of each, as places among ``values``."""
     start = col.windows(at, window)
     content = col.stretch(col.prefix(values, powers), start, start + window, powers)
     mine = doc[np.searchsorted(at, start, "right") - 1]
@@ -42,7 +41,7 @@ def factors(doc: np.ndarray, at: np.ndarray, values: np.ndarray, window: int, po
     source = np.empty(len(order), np.int64)  # the index: content -> its first place
     source[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
     hit = np.flatnonzero(mine[source] < mine)
-    # a factor goes on while the next window follows in the text and in the source
+    # a run goes on while the next window follows in the text and in the source
     fresh = np.ones(len(hit), bool)
     fresh[1:] = (start[hit][1:] != start[hit][:-1] + 1) | (start[source[hit]][1:] != start[source[hit]][:-1] + 1)
     first = np.flatnonzero(fresh)
