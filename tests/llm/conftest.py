@@ -56,4 +56,5 @@ def nothing(spark, tmp_path_factory):
     top = str(tmp_path_factory.mktemp("empty"))
     spark.createDataFrame([], DOCS).write.parquet(f"{top}/documents.parquet")
     spark.createDataFrame([], "page_id bigint, url string, html string").write.parquet(f"{top}/pages.parquet")
+    spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{top}/embeddings.parquet")
     return top

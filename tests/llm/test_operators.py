@@ -19,7 +19,7 @@ from trackflux.llm import columns as col
 from trackflux.llm import exact, graph, mixing, neardup, packing, repeats, scoring, substrings, suffixes, urls, warc
 
 NAMES = ["op1_warc_revisits", "op2_mix_sources", "op3_pack_sequences", "op4_near_dedup", "op5_quality_rules", "op6_url_filter", "op7_exact_dedup",
-         "op8_substring_dedup", "op9_lm_scores", "op10_suffix_dedup"]
+         "op8_substring_dedup", "op9_lm_scores", "op10_suffix_dedup", "op11_pii", "op12_collocations", "op13_hard_negatives"]
 
 
 def tables(top):

@@ -15,15 +15,27 @@ BATCH_ROWS = 1000
 
 def thin_batches(df: DataFrame) -> DataFrame:
     """``df``; from now on its session hands texts to Python tasks BATCH_ROWS rows at a time."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set(ARROW_ROWS, str(BATCH_ROWS))
     return df
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write a table once to the shared folder and read it from there, so that its lineage ends."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def staged(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """Write a table once to the shared folder and read it from there, so that its lineage ends.
+
+    While it is written, Python tasks get ``batch_rows`` rows at a time; the session's setting holds again afterwards.
+    """
+    spark = df.sparkSession
+    path, before = scratch_path(spark, name), spark.conf.get(ARROW_ROWS)
+    if batch_rows:
+        spark.conf.set(ARROW_ROWS, str(batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+    return spark.read.parquet(path)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -31,6 +43,11 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns renamed by position, so that no name clashes with a helper's, and their own names."""
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))]), df.columns
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

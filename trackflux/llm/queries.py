@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackflux.catalog.registry import query
-from trackflux.llm import exact, mixing, neardup, packing, quality, scoring, substrings, suffixes, urls, warc
+from trackflux.llm import collocations, exact, mixing, negatives, neardup, packing, pii, quality, scoring, substrings, suffixes, urls, warc
 from trackflux.llm.frames import table
 
 
@@ -64,3 +64,20 @@ def op10(spark, sf_dir):
 @query("op9_lm_scores")
 def op9(spark, sf_dir):
     return scoring.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op11_pii")
+def op11(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op12_collocations", collocations.SQL)
+def op12(spark, sf_dir):
+    return collocations.mine(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+@query("op13_hard_negatives", negatives.SQL)
+def op13(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    odd = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(odd, F.col("vec_id") % 100 == 0)
