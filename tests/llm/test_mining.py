@@ -92,7 +92,7 @@ ODD = [
     "ip 1.2.3.4.5.6.7.8 and 256.1.1.1 and 0001.002.3.04 and 999999999999999999999.1.1.1 1.2.3", "a" * 3000 + "1" * 3000 + ".1.1.1 " + "@" * 500,
     "card 4111 1111 1111 1111, 4111-1111-1111-1112; 5500005555555559 12 34 5 6 - 7", "+1 (017) 555-7713 rethsh +49 30 123456. ++1-2 +123456789012345678",
     "IBAN DE89 3704 0044 0532 0130 00 IS MY account, GB82WEST12345698765432 and DE88370400440532013000", "ssn 123-45-6789 or 123-45-6789 far away" + " x" * 60 + " 219-09-9999",
-    "DNI 12345678Z or 12345678A; sécurité sociale 2 55 08 14 168 025 38 ok", 'Storti token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" thhan', "04dbebab91ab85687d33eeaaf9ac699e1188f962 alone",
+    "DNI 12345678Z or 12345678A; sécurité sociale 1 84 12 76 451 089 46 ok", 'Storti token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" thhan', "04dbebab91ab85687d33eeaaf9ac699e1188f962 alone",
     "telefon (030) 123 45 67, fax 030/1234567; nothing 030 123 4567" + " y" * 40 + " 030 123 4567", "key 漢字 é1234-5678-90 call 0123 456 789 call 0123 456 789", "12 34", "", None,
     "token abcdefghijklmnopqrstuvwxyzabcdef and key a1b2c3d4e5f6a7b8c9d0==", "call 4111 1111 1111 1111 call", "1.1.1.1@1.1.1.1 +1.1.1.1.1.1.1.1.1.1",
 ]
@@ -163,7 +163,7 @@ def phrased(spark):
     return spark.createDataFrame(rows, "lang string, text string").repartition(7).cache()
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_words": 9, "max_pairs": 1 << 20}, {"max_words": 1 << 18, "max_pairs": 7}, {"max_words": 12, "max_pairs": 12}, {"max_words": 0, "max_pairs": 0}])
+@pytest.mark.parametrize("limits", [{}, {"max_words": 12, "max_pairs": 12}, {"max_words": 0, "max_pairs": 0}])
 def test_collocations(spark, phrased, limits):
     assert diff(collocations.mine(phrased, **limits), phrase_tables(spark, phrased), collocations.SQL) is None
 

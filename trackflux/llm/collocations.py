@@ -171,7 +171,7 @@ def _bitmap(rows: DataFrame, some: bool) -> _Bitmap | None:
     if not some:
         return None
     bits = rows.select(F.explode(_Bitmap.places(_mark(F.col("lang"), F.col("phrase")))).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(
-        F.bit_or(F.shiftleft(F.lit(1).cast("bigint"), F.pmod("at", F.lit(64)).cast("int"))).alias("bits"))
+        F.expr("bit_or(shiftleft(1L, int(pmod(at, 64))))").alias("bits"))
     got = bits.toArrow()
     words = np.zeros(BITS // 64, np.uint64)
     words[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)

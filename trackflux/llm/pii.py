@@ -254,8 +254,12 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     kinds = [d.kind for d in DETECTORS[:BASE]]
     base = F.filter("pii", lambda x: x["kind"].isin(kinds))
     more = F.filter("pii", lambda x: ~x["kind"].isin(kinds))
+
+    def number(kind: str):
+        return F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
     found = find(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")))
     return found.select(
-        "doc_id", *[F.size(F.filter("pii", lambda x, k=k: x["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in kinds],
+        "doc_id", *[number(k) for k in kinds],
         F.sha2(written(base), 256).alias("base_sha256"), written(F.col("pii")).alias("spans"),
         F.size(more).cast("bigint").alias("n_more"), F.array_min(F.transform("pii", lambda x: x["score"])).alias("least_score"))
