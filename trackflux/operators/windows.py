@@ -9,6 +9,8 @@ exactly when it holds ``W`` rows, so no trajectory length is needed.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import KEYS, NEIGHBOR_SLOTS, REL_SUFFIXES, WINDOW_FEATURES, WINDOW_LEN, WINDOW_STRIDE
@@ -87,55 +89,67 @@ def share(cond: Column) -> Column:
     return F.avg(F.when(cond, 1.0).otherwise(0.0))
 
 
+@dataclass(frozen=True)
+class FeatureName:
+    """What a window feature's name says: a statistic of a frame column, over the rows that its guards let through."""
+
+    column: str
+    stat: str
+    value: int | None = None  # what ``equals`` looks for, or the sign that ``sign_frac`` counts
+    guard: str | None = None  # existence flag of the vehicle that the column is about
+    positive: bool = False  # only values above zero count
+
+
+STATS = ("last", "slope", "min", "max", "mean", "std", "rms", "p95")
+
+
+def read_name(name: str) -> FeatureName:
+    """The one place where feature names are read, for windows in batch and in the stream."""
+    if name in ("lc_left_present", "lc_right_present"):
+        return FeatureName("lc", "equals", -1 if "left" in name else 1)
+    if name.endswith("_exists_frac"):
+        return FeatureName(name.removesuffix("_frac"), "exists_frac")
+    for sign, value in (("neg", -1), ("pos", 1), ("zero", 0)):
+        if name.endswith(f"_{sign}_frac"):
+            return FeatureName(name.removesuffix(f"_{sign}_frac"), "sign_frac", value)
+    column, _, stat = name.rpartition("_")
+    if stat not in STATS and not (stat == "vfrac" and column in RISK):
+        raise ValueError(f"no window statistic for {name}")
+    if column in RISK:
+        return FeatureName(column, stat, guard="front_exists", positive=True)
+    return FeatureName(column, stat, guard=REL_COLS.get(column))
+
+
 def feature(name: str) -> Column:
     """Aggregate expression of one window feature, read off its name."""
-    if name == "lc_left_present":
-        return F.max((F.coalesce(F.col("lc"), F.lit(0)) == -1).cast("double"))
-    if name == "lc_right_present":
-        return F.max((F.coalesce(F.col("lc"), F.lit(0)) == 1).cast("double"))
-    if name.endswith("_exists_frac"):
-        return share(F.coalesce(F.col(name[: -len("_frac")]), F.lit(0)) > 0.5)
-    for sign, op in (("neg", -1), ("pos", 1), ("zero", 0)):
-        tail = f"_{sign}_frac"
-        if name.endswith(tail):
-            x = F.col(name[: -len(tail)])
-            return fraction(F.signum(x) == op, x)
-    base, stat = name.rsplit("_", 1)
-    x = F.col(base)
-    valid = None
-    if base in RISK:
-        valid = (x > 0) & (F.coalesce(F.col("front_exists"), F.lit(0)) > 0.5)
-        if stat == "vfrac":
-            return share(valid)
-    elif base in REL_COLS:
-        valid = F.coalesce(F.col(REL_COLS[base]), F.lit(0)) > 0.5
+    part = read_name(name)
+    x = F.col(part.column)
+    if part.stat == "equals":
+        return F.max((F.coalesce(x, F.lit(0)) == part.value).cast("double"))
+    if part.stat == "exists_frac":
+        return share(F.coalesce(x, F.lit(0)) > 0.5)
+    if part.stat == "sign_frac":
+        return fraction(F.signum(x) == part.value, x)
+    valid = F.coalesce(F.col(part.guard), F.lit(0)) > 0.5 if part.guard else None
+    if part.positive:
+        valid = (x > 0) & valid
+    if part.stat == "vfrac":
+        return share(valid)
     makers = {
         "last": lambda: last(x, valid), "slope": lambda: slope(x, valid), "min": lambda: minimum(x, valid),
         "max": lambda: F.max(x), "mean": lambda: F.avg(x), "std": lambda: F.stddev_pop(x),
         "rms": lambda: rms(x), "p95": lambda: p95(x),
     }
-    if stat not in makers:
-        raise ValueError(f"no window statistic for {name}")
-    return makers[stat]()
+    return makers[part.stat]()
 
 
 def feature_inputs(names: list[str]) -> list[str]:
     """Frame columns the named features read."""
     cols: dict[str, None] = {}
-    for n in names:
-        if n.startswith("lc_"):
-            cols["lc"] = None
-        elif n.endswith("_exists_frac"):
-            cols[n[: -len("_frac")]] = None
-        elif n.endswith(("_neg_frac", "_pos_frac", "_zero_frac")):
-            cols[n.rsplit("_", 2)[0]] = None
-        else:
-            base = n.rsplit("_", 1)[0]
-            cols[base] = None
-            if base in RISK:
-                cols["front_exists"] = None
-            if base in REL_COLS:
-                cols[REL_COLS[base]] = None
+    for part in map(read_name, names):
+        cols[part.column] = None
+        if part.guard:
+            cols[part.guard] = None
     return list(cols)
 
 
