@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,9 @@ WORDS, PAIRS = 1 << 18, 1 << 20
 #: Side of a tile, and how many tiles of the corner, per side, are dense arrays.
 TILE, DENSE = 1024, 2
 #: Coordinates that a task sorts at once, distinct texts that it counts before it flushes, bits of the bitmaps.
-COORDINATES, TEXTS, BITS = 1 << 21, 1 << 18, 1 << 23
+COORDINATES, TEXTS, BITS = 1 << 21, 1 << 18, 8_388_593
+#: Rows with phrases that may be broadcast.
+FEW = 20_000
 #: Bytes of text that are encoded together.
 SLICE_BYTES = 1 << 22
 
@@ -72,22 +74,25 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes
 
 
 class _Texts:
-    """Counts of (lang, phrase) that are flushed before they grow beyond a bound."""
+    """Counts of phrases by language that are flushed before they grow beyond a bound."""
 
     def __init__(self):
-        self.counts: Counter = Counter()
+        self.counts: dict[str, Counter] = {}
 
-    def add(self, lang: str, phrases) -> Iterator[pa.RecordBatch]:
-        self.counts.update((lang, p) for p in phrases)
-        if len(self.counts) > TEXTS:
+    def add(self, lang: str, phrases: list[bytes]) -> Iterator[pa.RecordBatch]:
+        self.counts.setdefault(lang, Counter()).update(phrases)
+        if sum(map(len, self.counts.values())) > TEXTS:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        if self.counts:
-            keys, n = list(self.counts), list(self.counts.values())
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()).cast(pa.string()),
-                                              pa.nulls(len(n), pa.int64()), pa.array(n, pa.int64())], _NAMES)
-            self.counts = Counter()
+        for lang, seen in self.counts.items():
+            seen.pop(b"\n", None)  # tokens that are no words
+            seen.pop(b"", None)
+            n = len(seen)
+            if n:
+                texts = pa.array(seen.keys(), pa.binary(), size=n).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), n), texts, pa.nulls(n, pa.int64()), pa.array(seen.values(), pa.int64(), size=n)], _NAMES)
+        self.counts = {}
 
 
 _NAMES = ["lang", "phrase", "cell", "n"]
@@ -139,22 +144,35 @@ def _cells(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
 
 @dataclass(frozen=True)
 class _Bitmap:
-    """A set of phrases by two bits each: what is in the set is always found."""
+    """A set of whole numbers by two bits each: what is in the set is always found."""
 
     words: np.ndarray
 
     @staticmethod
     def places(key: Column) -> Column:
-        return F.array(*[F.pmod(F.shiftright(key, s), F.lit(BITS)) for s in (0, 32)])
+        return F.array(F.pmod(key, F.lit(BITS)), F.pmod(F.call_function("div", key, F.lit(_STEP)), F.lit(BITS)))
+
+    @staticmethod
+    def of(keys: DataFrame) -> _Bitmap:
+        """Of the column ``key``, put together by tasks; BITS / 8 bytes reach the driver, whatever the number of rows."""
+        bits = keys.select(F.explode(_Bitmap.places(F.col("key"))).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(
+            F.expr("bit_or(shiftleft(1L, int(pmod(at, 64))))").alias("bits"))
+        got = bits.toArrow()
+        words = np.zeros(BITS // 64 + 1, np.uint64)
+        words[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+        return _Bitmap(words)
 
     def has(self, key: np.ndarray) -> np.ndarray:
         out = np.ones(len(key), bool)
-        for s in (0, 32):
-            at = (key >> s) % BITS
+        for at in (key % BITS, key // _STEP % BITS):
             out &= (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
         return out
 
 
+#: What the second place of a key leaves out.
+_STEP = 7919
+
+
 def _mark(*parts: Column) -> Column:
     """A phrase's key in a bitmap, the same as ``_marks`` computes in a task: 60 bits of the MD5 of language and phrase."""
     return F.conv(F.substring(F.md5(F.concat_ws("\n", *parts)), 1, 15), 16, 10).cast("bigint")
@@ -166,16 +184,9 @@ def _marks(lang: str, phrases: list[bytes]) -> np.ndarray:
     return np.array([int(md5(head + p).hexdigest()[:15], 16) for p in phrases], np.int64)
 
 
-def _bitmap(rows: DataFrame, some: bool) -> _Bitmap | None:
-    """The bitmap of (lang, phrase) rows, put together by tasks; BITS / 8 bytes reach the driver, whatever the number of rows."""
-    if not some:
-        return None
-    bits = rows.select(F.explode(_Bitmap.places(_mark(F.col("lang"), F.col("phrase")))).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(
-        F.expr("bit_or(shiftleft(1L, int(pmod(at, 64))))").alias("bits"))
-    got = bits.toArrow()
-    words = np.zeros(BITS // 64, np.uint64)
-    words[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
-    return _Bitmap(words)
+def _phrase_bitmap(rows: DataFrame) -> _Bitmap | None:
+    """Of (lang, phrase) rows; None if there are none."""
+    return None if rows.isEmpty() else _Bitmap.of(rows.select(_mark(F.col("lang"), F.col("phrase")).alias("key")))
 
 
 def count_words(bodies: DataFrame) -> DataFrame:
@@ -183,13 +194,7 @@ def count_words(bodies: DataFrame) -> DataFrame:
     def run(batches):
         texts = _Texts()
         for lang, words in _chunks(batches):
-            seen = Counter(words)
-            seen.pop(b"\n", None)
-            seen.pop(b"", None)
-            for word, n in seen.items():
-                texts.counts[lang, word] += n
-            if len(texts.counts) > TEXTS:
-                yield from texts.flush()
+            yield from texts.add(lang, words)
         yield from texts.flush()
 
     return bodies.mapInArrow(run, _ROWS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
@@ -199,15 +204,18 @@ def count_words(bodies: DataFrame) -> DataFrame:
 class _Addresses:
     """What tasks know: addresses of words by language, cells of ranked pairs, and the bitmaps (None: everything has an address)."""
 
-    words: list[tuple[str, bytes]]
+    langs: list[str]
+    lang: np.ndarray  # of each word, as a place in ``langs``
+    words: bytes  # by rank, each followed by a newline
     pairs: np.ndarray | None = None  # cells of word pairs, by rank
-    more_words: _Bitmap | None = None
-    more_pairs: _Bitmap | None = None
+    more_words: _Bitmap | None = None  # frequent words without an address
+    more_cells: _Bitmap | None = None  # cells of frequent pairs without one
+    more_pairs: _Bitmap | None = None  # frequent pairs that have no cell
 
     def by_lang(self) -> dict[str, dict[bytes, int]]:
         out: dict[str, dict[bytes, int]] = {}
-        for i, (lang, word) in enumerate(self.words):
-            out.setdefault(lang, {b"\n": _BREAK, b"": _GAP})[word] = i
+        for i, (lang, word) in enumerate(zip(self.lang.tolist(), self.words.split(b"\n"))):
+            out.setdefault(self.langs[lang], {b"\n": _BREAK, b"": _GAP})[word] = i
         return out
 
 
@@ -239,11 +247,13 @@ def count_phrases(bodies: DataFrame, known: _Addresses, size: int) -> DataFrame:
     def run(batches):
         known = shared.value
         books, caches = known.by_lang(), {}
-        width = len(known.words)
+        width = len(known.lang)
         cells, texts = _Cells(width), _Texts()
         if known.pairs is not None:
             order = np.argsort(known.pairs)
             ranked = known.pairs[order]
+            sieve = np.zeros(BITS, bool)
+            sieve[ranked % BITS] = True
         for lang, words in _chunks(batches):
             book = books.setdefault(lang, {b"\n": _BREAK, b"": _GAP})
             codes, at = _coded(words, book, lang, known, caches.setdefault(lang, {}))
@@ -256,15 +266,22 @@ def count_phrases(bodies: DataFrame, known: _Addresses, size: int) -> DataFrame:
                 j = np.flatnonzero(both & ~direct)
             else:
                 cell = codes[:-1] * width + codes[1:]
-                where = np.minimum(np.searchsorted(ranked, cell), max(len(ranked) - 1, 0))
-                hit = direct & (ranked[where] == cell) if len(ranked) else np.zeros(len(cell), bool)
-                rank = order[where] if len(ranked) else where
+                k = np.flatnonzero(direct)
+                k = k[sieve[cell[k] % BITS]]
+                rank = np.full(len(cell), -1)
+                if len(k):
+                    where = np.minimum(np.searchsorted(ranked, cell[k]), len(ranked) - 1)
+                    rank[k] = np.where(ranked[where] == cell[k], order[where], -1)
+                hit = rank >= 0
                 i = np.flatnonzero(hit[:-1] & hit[1:])
                 yield from cells.add(rank[i], codes[i + 2])
-                # pairs without an address that may be frequent: with a word that has none, or beyond the ranked ones
+                # frequent pairs without an address: beyond the ranked ones, or with a word that has none
                 maybe = np.zeros(len(cell), bool)
+                if known.more_cells is not None:
+                    k = np.flatnonzero(direct & ~hit)
+                    maybe[k] = known.more_cells.has(cell[k])
                 if known.more_pairs is not None:
-                    k = np.flatnonzero(both & ~hit)
+                    k = np.flatnonzero(both & ~direct)
                     maybe[k] = known.more_pairs.has(_marks(lang, _joined(words, at, k, 2)))
                 good = hit | maybe
                 j = np.flatnonzero(good[:-1] & good[1:] & ~(hit[:-1] & hit[1:]))
@@ -293,34 +310,27 @@ def phrases(docs: DataFrame, lang: str = "lang", text: str = "text", least: int
     totals = counted.groupBy("lang").agg(F.sum("n").alias("n"))
     words = _ranked(counted.where(F.col("n") >= least), ["lang", "phrase"], max_words)
     top = words.where("rank is not null").select("rank", "lang", "phrase").toArrow().sort_by("rank")  # at most max_words rows
-    more = not words.where("rank is null").isEmpty()
-    known = _Addresses(list(zip(top.column("lang").to_pylist(), top.column("phrase").cast(pa.binary()).to_pylist())),
-                       more_words=_bitmap(words.where("rank is null"), more))
-    width = max(len(known.words), 1)
+    code = top.column("lang").combine_chunks().dictionary_encode()
+    names = "".join(f"{w}\n" for w in top.column("phrase").to_pylist()).encode()
+    known = _Addresses(code.dictionary.to_pylist(), code.indices.to_numpy(), names, more_words=_phrase_bitmap(words.where("rank is null")))
+    width = max(len(known.lang), 1)
 
-    by_rank = words.where("rank is not null")
-    by_rank = small(by_rank)
+    by_rank = small(words.where("rank is not null"), FEW)
     first, second, third = (by_rank.select(F.col("rank").alias(f"_r{k}"), F.col("lang").alias(f"_l{k}"), F.col("phrase").alias(f"_w{k}")) for k in (1, 2, 3))
     counted = staged(count_phrases(bodies, known, 2).where(F.col("n") >= least), "pair-counts")
     at = lambda c, k: F.expr(f"({c}) {k} {width}L")
     direct = counted.where("cell is not null").select("n", "cell", at("cell", "div").alias("_r1"), at("cell", "%").alias("_r2")).join(first, "_r1").join(second, "_r2").select(
         F.col("_l1").alias("lang"), F.concat_ws(" ", "_w1", "_w2").alias("phrase"), "cell", "n")
-    pairs = _ranked(direct.unionByName(counted.where("cell is null").select("lang", "phrase", "cell", "n")), ["lang", "phrase"], max_pairs)
-    pairs = pairs.withColumn("rank", F.when(F.col("cell").isNotNull(), F.col("rank")))
-    # ranks of pairs without a cell stay empty, so a pair's address is its place among the ranks that are left
-    cells = pairs.where("rank is not null").select("rank", "cell").toArrow().sort_by("rank").column("cell").to_numpy()  # at most max_pairs rows
-    loose = not pairs.where("rank is null").isEmpty()
-    known = _Addresses(known.words, cells, known.more_words, _bitmap(pairs.where("rank is null"), loose))
+    ranked = _ranked(direct, ["lang", "phrase"], max_pairs)
+    loose, beyond = counted.where("cell is null").select("lang", "phrase", "n"), ranked.where("rank is null").select(F.col("cell").alias("key"))
+    pairs = ranked.select("lang", "phrase", "n").unionByName(loose)
+    cells = ranked.where("rank is not null").select("rank", "cell").toArrow().sort_by("rank").column("cell").to_numpy()  # at most max_pairs rows
+    known = replace(known, pairs=cells, more_cells=None if beyond.isEmpty() else _Bitmap.of(beyond), more_pairs=_phrase_bitmap(loose))
     counted = staged(count_phrases(bodies, known, 3).where(F.col("n") >= least), "triple-counts")
-    spark = docs.sparkSession
-    numbered = spark.createDataFrame(pa.table({"_p": np.arange(len(cells)), "cell": cells.astype(np.int64)})) if len(cells) else None
-    triples = counted.where("cell is null").select("lang", "phrase", "n")
-    if numbered is not None:
-        heads = small(staged(numbered, "pair-addresses"), PAIRS)
-        direct = counted.where("cell is not null").select("n", at("cell", "div").alias("_p"), at("cell", "%").alias("_r3")).join(heads, "_p").select(
-            "n", "_r3", at("cell", "div").alias("_r1"), at("cell", "%").alias("_r2"))
-        direct = direct.join(first, "_r1").join(second, "_r2").join(third, "_r3").select(F.col("_l1").alias("lang"), F.concat_ws(" ", "_w1", "_w2", "_w3").alias("phrase"), "n")
-        triples = direct.unionByName(triples)
+    direct = counted.where("cell is not null").select("n", at("cell", "div").alias("rank"), at("cell", "%").alias("_r3")).join(
+        ranked.where("rank is not null").select("rank", "cell"), "rank").select("n", "_r3", at("cell", "div").alias("_r1"), at("cell", "%").alias("_r2"))
+    direct = direct.join(first, "_r1").join(second, "_r2").join(third, "_r3").select(F.col("_l1").alias("lang"), F.concat_ws(" ", "_w1", "_w2", "_w3").alias("phrase"), "n")
+    triples = direct.unionByName(counted.where("cell is null").select("lang", "phrase", "n"))
     w = F.split("phrase", " ")
     split = lambda df, k: df.select("lang", "phrase", "n", *[w[i].alias(f"w{i + 1}") for i in range(k)])
     return staged(totals, "lang-totals"), words.select("lang", "phrase", "n"), split(pairs, 2), staged(split(triples, 3), "triples")
@@ -341,7 +351,7 @@ def mine(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = L
     rows. Counts have up to 15 digits.
     """
     totals, words, pairs, triples = phrases(docs, lang, text, least, max_words, max_pairs)
-    few_words, few_pairs = small(words), small(pairs)
+    few_words, few_pairs = small(words, FEW), small(pairs, FEW)
     one = lambda k, n: few_words.select("lang", F.col("phrase").alias(k), F.col("n").alias(n))
     two = lambda a, b, n: few_pairs.select("lang", F.col("w1").alias(a), F.col("w2").alias(b), F.col("n").alias(n))
     a = F.col("n")
