@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
-from trackflux.latent import em, recursion as R
+from trackflux.latent import em, recursion as R, starts
 from trackflux.latent.params import from_long, patterned, to_long
 
 P = patterned()
@@ -148,10 +148,77 @@ def test_product_model_is_fitted_and_given_back(spark):
 
 
 def test_kmeans_starts_find_the_clusters(spark):
-    start = em.kmeans_start(observed(spark), P.continuous, P.binary, 3)
+    start = starts.kmeans_start(observed(spark), P.continuous, P.binary, 3)
     assert start["mean"].shape == (3, len(P.continuous)) and (start["var"] > 0).all()
 
 
+def plain_lloyd(x, first, steps=starts.STEPS):
+    c = x[first].copy()
+    for _ in range(steps):
+        near = ((x[:, None] - c[None]) ** 2).sum(-1).argmin(1)
+        c = np.array([x[near == k].mean(0) if (near == k).any() else c[k] for k in range(len(c))])
+    return c
+
+
+def test_lloyd_is_plain_lloyd_from_the_seeded_rows(spark):
+    from pyspark.sql import functions as F
+
+    rows = starts.complete_rows(observed(spark), P.continuous, P.binary, 5)
+    got = [r for r in rows.withColumn("h", starts.seed_rank(5, "recording_id", "vehicle_id", "t")).collect()]
+    x = np.array([r["x"] for r in got])
+    first = sorted(range(len(got)), key=lambda i: got[i]["h"])[:4]
+    want = plain_lloyd(x, first)
+    for parts in (1, 7):
+        assert np.allclose(starts.lloyd(rows.repartition(parts), 4, 5), want, atol=1e-9)
+    assert not np.allclose(starts.lloyd(rows, 4, 6), want)
+    assert rows.where(F.size("b") != len(P.binary)).isEmpty()
+
+
+def test_product_starts_use_the_seed_and_the_next_one(spark):
+    obs = observed(spark)
+    style, action = starts.product_start(obs, P.continuous, P.binary, 2, 4, seed=9)
+    assert style["mean"].shape == (2, len(P.continuous)) and action["bern"].shape == (4, len(P.binary))
+    rows = starts.complete_rows(obs, P.continuous, P.binary, 9)
+    assert starts.cluster_sums(rows, starts.lloyd(rows, 4, 10)).keys() == {0, 1, 2, 3}
+    few = starts.product_start(obs.where("vehicle_id = 2"), P.continuous, P.binary, 2, 4)
+    assert np.allclose(few[0]["mean"][0], few[0]["mean"][1]) and (few[1]["bern"] == 0.5).all(), "too few rows: overall moments"
+
+
+@pytest.mark.parametrize("stopped", [7, 5, 3])
+def test_a_fit_goes_on_from_its_checkpoint(spark, tmp_path, monkeypatch, stopped):
+    obs = observed(spark)
+    monkeypatch.setattr(em, "STOP_DELTA", -1e9)  # runs to the last iteration
+    whole = em.fit(obs, obs, P, 30, max_iter=9)
+    em.fit(obs, obs, P, 30, max_iter=stopped, checkpoint_path=str(tmp_path))
+    # of the driver that was lost, only what it had written stays
+    (tmp_path / "final").rename(tmp_path / "lost")
+    again = em.fit(obs, obs, P, 30, max_iter=9, checkpoint_path=str(tmp_path))
+    assert [h["iteration"] for h in again.history] == list(range(1, 10))
+    assert [h.keys() for h in again.history] == [h.keys() for h in whole.history]
+    for a, b in zip(again.history, whole.history):
+        assert a == pytest.approx(b, rel=1e-9)
+    for name in ("A_s", "A_a", "mean", "var", "bern"):
+        assert np.allclose(getattr(again.params, name), getattr(whole.params, name), rtol=1e-9)
+
+
+def test_a_half_written_checkpoint_is_not_used(spark, tmp_path):
+    obs = observed(spark)
+    em.save_state(spark, str(tmp_path), 5, P, [{"iteration": k, "train_loglik": 1.0, "train_rows": 48, "val_loglik": 1.0, "val_rows": 48} for k in range(1, 6)])
+    (tmp_path / "history" / "5" / "_SUCCESS").rename(tmp_path / "gone")
+    assert em.last_state(spark, str(tmp_path), 10) == 0 and em.last_state(spark, None, 10) == 0
+
+
+def test_a_product_fit_goes_on_from_its_checkpoint(spark, tmp_path, monkeypatch):
+    obs = observed(spark)
+    monkeypatch.setattr(em, "STOP_DELTA", -1e9)
+    begin = starts.product_start(obs, P.continuous, P.binary, 2, 4)
+    whole = em.fit_product(obs, *begin, P, 30, max_iter=7)
+    em.fit_product(obs, *begin, P, 30, max_iter=6, checkpoint_path=str(tmp_path))
+    again = em.fit_product(obs, *begin, P, 30, max_iter=7, checkpoint_path=str(tmp_path))
+    assert np.allclose(again.style["mean"], whole.style["mean"]) and np.allclose(again.action["bern"], whole.action["bern"])
+    assert [h["iteration"] for h in again.history] == list(range(1, 8))
+
+
 def test_gammas_sum_to_one(rows):
     g = collect(R.smooth(rows, P.start("add"), P.kernel("add")), "gamma")
     assert np.allclose([sum(v) for v in g.values()], 1.0)

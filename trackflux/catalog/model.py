@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import rounded
 from ..functions.storage import materialise, scratch_path
-from ..latent import em, emission, evaluation as ev, params as prm, recursion
+from ..latent import em, emission, evaluation as ev, params as prm, recursion, starts
 from ..latent.em import lane_change_weight
 from ..operators import scaling, selection as sel
 from ..plans import frames as plan, model
@@ -209,11 +209,29 @@ def hmm_predict_rollout(spark, d):
     return wide(ev.rollout(f, P, 3), "belief", [*KT, "h"])
 
 
-@query("hmm_init_kmeans")
+SEED = 123
+
+
+@query("hmm_init_kmeans", S.with_(Q.OBS + Q.COMPLETE + Q.lloyd("km", P.K, SEED, max(P.S, P.A)), f"""
+SELECT param, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, 0 AS k, {S.r('value', 5)} AS value FROM km"""))
 def hmm_init_kmeans(spark, d):
-    start = em.kmeans_start(model.observations(spark, d), P.continuous, P.binary, P.K, widest=max(P.S, P.A))
+    start = starts.kmeans_start(model.observations(spark, d), P.continuous, P.binary, P.K, SEED, widest=max(P.S, P.A))
     p = P.with_(**start)
-    return prm.to_long(spark, p).where(F.col("param").isin("mean", "var", "bern"))
+    return prm.to_long(spark, p).where(F.col("param").isin("mean", "var", "bern")).withColumn("value", rounded(F.col("value"), 5))
+
+
+@query("hmm_init_product", S.with_(Q.OBS + Q.COMPLETE + Q.lloyd("ks", P.S, SEED, max(P.S, P.A)) + Q.lloyd("ka", P.A, SEED + 1, max(P.S, P.A)), f"""
+SELECT expert, param, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {S.r('value', 5)} AS value
+FROM (SELECT 'style' AS expert, * FROM ks UNION ALL SELECT 'action', * FROM ka)"""))
+def hmm_init_product(spark, d):
+    """Two runs of k-means: style experts with the seed, action experts with the next."""
+    style, action = starts.product_start(model.observations(spark, d), P.continuous, P.binary, P.S, P.A, SEED)
+    return expert_rows(spark, style, action).withColumn("value", rounded(F.col("value"), 5))
+
+
+def expert_rows(spark, style, action):
+    rows = [(n, part, int(i), int(j), float(v)) for n, e in (("style", style), ("action", action)) for part in prm.EXPERT_PARTS for (i, j), v in np.ndenumerate(e[part])]
+    return spark.createDataFrame(rows, "expert string, param string, i int, j int, value double")
 
 
 # EM ------------------------------------------------------------------------------------
@@ -322,9 +340,8 @@ def em_update_poe(spark, d):
     obs = model.observations(spark, d)
     st = em.read_stats(em.e_step_table(obs, P, recursion.longest_sequence(obs), emit=emission.product_emitter(style, action)), P)
     s, a, history = em.update_product(style, action, st)
-    rows = [("style", "mean", float(s["mean"].mean())), ("style", "var", float(s["var"].mean())), ("action", "mean", float(a["mean"].mean())),
-            ("action", "var", float(a["var"].mean())), ("loss", "first", history[0]), ("loss", "best", min(history))]
-    return spark.createDataFrame(rows, "expert string, param string, value double")
+    losses = [("loss", name, 0, 0, float(v)) for name, v in (("first", history[0]), ("best", min(history)))]
+    return expert_rows(spark, s, a).unionByName(spark.createDataFrame(losses, "expert string, param string, i int, j int, value double"))
 
 
 @query("em_fit")
@@ -332,7 +349,7 @@ def em_fit(spark, d):
     """Scalers, starts and EM on the training split, stopping by the validation split."""
     w = plan.windows(spark, d, model.MODEL_W, model.MODEL_STRIDE)
     parts = {n: materialise(df) for n, df in model.split_observations(w, split_table(spark, d), ("train", "val")).items()}
-    start = P.with_(**prm.sticky_start(), **em.kmeans_start(parts["train"], P.continuous, P.binary, P.K, widest=max(P.S, P.A)))
+    start = P.with_(**prm.sticky_start(), **starts.kmeans_start(parts["train"], P.continuous, P.binary, P.K, widest=max(P.S, P.A)))
     longest = max(recursion.longest_sequence(df) for df in parts.values())
     done = em.fit(parts["train"], parts["val"], start, longest, checkpoint_path=em.default_checkpoint(spark))
     cols = ["iteration", "train_loglik", "train_rows", "val_loglik", "val_rows", "switch_style", "switch_action", "delta_A_s", "delta_A_a"]
@@ -343,13 +360,11 @@ def em_fit(spark, d):
 
 @query("em_fit_product")
 def em_fit_product(spark, d):
-    """The product model fitted to convergence, stored with its experts, read again."""
-    style, action = experts()
+    """The product model from its k-means starts, fitted to convergence, stored with its experts, read again."""
     w = plan.windows(spark, d, model.MODEL_W, model.MODEL_STRIDE)
     train = materialise(model.split_observations(w, split_table(spark, d), ("train",))["train"])
-    done = em.fit_product(train, style, action, P, recursion.longest_sequence(train))
+    style, action = starts.product_start(train, P.continuous, P.binary, P.S, P.A, SEED)
     path = scratch_path(spark, "product")
+    done = em.fit_product(train, style, action, P, recursion.longest_sequence(train), checkpoint_path=f"{path}-fit")
     prm.save(spark, done.params, path, experts=(done.style, done.action))
-    style, action = prm.load_experts(spark, path)
-    rows = [(n, part, int(i), int(j), float(v)) for n, e in (("style", style), ("action", action)) for part in prm.EXPERT_PARTS for (i, j), v in np.ndenumerate(e[part])]
-    return spark.createDataFrame(rows, "expert string, part string, i int, j int, value double")
+    return expert_rows(spark, *prm.load_experts(spark, path))

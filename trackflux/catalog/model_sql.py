@@ -8,6 +8,7 @@ import numpy as np
 
 from ..latent.emission import safe_var
 from ..latent.params import Params, patterned
+from ..latent.starts import FLAG_EDGE, STEPS, VAR_ADD
 from ..plans.model import MODEL_STRIDE, MODEL_W
 from ..schema import CONTINUOUS_FEATURES, EPS, WINDOW_FEATURES
 from . import sql as S
@@ -139,3 +140,39 @@ def smoothing_ctes(p: Params = P, weight: str = "") -> str:
 
 def explode(lst: str, name: str = "p", K: int = P.K, d: int = 6) -> str:
     return ", ".join(f"{S.r(f'{lst}[{z + 1}]', d)} AS {name}{z}" for z in range(K))
+
+
+#: Complete rows as lists, and number by number.
+COMPLETE = f""",
+krows AS MATERIALIZED (
+  SELECT {KT}, row_number() OVER (ORDER BY recording_id, vehicle_id, t) AS rid, [{", ".join(f"s_{c}" for c in P.continuous)}] AS x, [{", ".join(P.binary)}] AS flags
+  FROM obs WHERE {" AND ".join(f"s_{c} IS NOT NULL" for c in P.continuous)}),
+kx AS MATERIALIZED (SELECT rid, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS j FROM krows),
+kb AS MATERIALIZED (SELECT rid, unnest(flags) AS v, generate_subscripts(flags, 1) - 1 AS j FROM krows),
+kall AS MATERIALIZED (SELECT j, count(*) AS n, avg(v) AS m, greatest(var_pop(v) + {VAR_ADD}::DOUBLE, {VAR_ADD}::DOUBLE) AS s FROM kx GROUP BY j)"""
+
+
+def lloyd(tag: str, K: int, seed: int, widest: int) -> str:
+    """CTE ``<tag>`` (param, i, j, value): means, variances and flag rates of K clusters, by Lloyd steps one after another."""
+    near = lambda i: f"SELECT rid, first(k ORDER BY d, k) AS k FROM (SELECT rid, k, list_distance(x, c) AS d FROM krows, {tag}c{i}) GROUP BY rid"
+    out = f""",
+{tag}c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY h, recording_id, vehicle_id, t) - 1 AS INTEGER) AS k, x AS c
+  FROM (SELECT *, md5('{seed}|:' || recording_id || ':' || vehicle_id || ':' || t) AS h FROM krows) ORDER BY k LIMIT {K})"""
+    for i in range(STEPS):
+        out += f""",
+{tag}m{i} AS (SELECT k, j, avg(v) AS v FROM ({near(i)}) JOIN kx USING (rid) GROUP BY k, j),
+{tag}c{i + 1} AS MATERIALIZED (SELECT o.k, coalesce(m.c, o.c) AS c FROM {tag}c{i} o LEFT JOIN (SELECT k, list(v ORDER BY j) AS c FROM {tag}m{i} GROUP BY k) m ON m.k = o.k)"""
+    D, B = len(P.continuous), len(P.binary)
+    few = f"(SELECT count(*) FROM krows) < {max(10 * widest, D + 1)}"
+    return out + f""",
+{tag}a AS MATERIALIZED ({near(STEPS)}),
+{tag}s AS (SELECT k, j, count(*) AS n, avg(v) AS m, greatest(var_pop(v) + {VAR_ADD}::DOUBLE, {VAR_ADD}::DOUBLE) AS s FROM {tag}a JOIN kx USING (rid) GROUP BY k, j),
+{tag}f AS (SELECT k, j, coalesce(avg(CASE WHEN v > 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FILTER (WHERE v IS NOT NULL), 0) AS r FROM {tag}a JOIN kb USING (rid) GROUP BY k, j),
+{tag} AS (
+  SELECT 'mean' AS param, q.k AS i, q.j, CASE WHEN {few} THEN g.m WHEN s.n >= {D + 1} THEN s.m ELSE c[q.j + 1] END AS value
+  FROM (SELECT unnest(range({K})) AS k, d.j FROM range({D}) d(j)) q JOIN kall g ON g.j = q.j JOIN {tag}c{STEPS} o ON o.k = q.k LEFT JOIN {tag}s s ON s.k = q.k AND s.j = q.j
+  UNION ALL SELECT 'var', q.k, q.j, CASE WHEN NOT {few} AND s.n >= {D + 1} THEN s.s ELSE g.s END
+  FROM (SELECT unnest(range({K})) AS k, d.j FROM range({D}) d(j)) q JOIN kall g ON g.j = q.j LEFT JOIN {tag}s s ON s.k = q.k AND s.j = q.j
+  UNION ALL SELECT 'bern', q.k, q.j, least(greatest(CASE WHEN {few} THEN 0.5 ELSE coalesce(f.r, 0.5) END, {FLAG_EDGE}::DOUBLE), 1 - {FLAG_EDGE}::DOUBLE)
+  FROM (SELECT unnest(range({K})) AS k, d.j FROM range({B}) d(j)) q LEFT JOIN {tag}f f ON f.k = q.k AND f.j = q.j)"""

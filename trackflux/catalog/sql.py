@@ -31,7 +31,7 @@ tr1 AS (
          k - lag(k) OVER {W_TRACK} AS vy FROM ev),
 tr2 AS (
   SELECT *, vx - lag(vx) OVER {W_TRACK} AS ax, vy - lag(vy) OVER {W_TRACK} AS ay FROM tr1),
-tracks AS (
+tracks AS MATERIALIZED (
   SELECT recording_id, vehicle_id, frame, t, event_id, dir AS meta_drivingDirection,
          lower(CASE WHEN c_mktsegment IN ({", ".join(repr(s) for s in TRUCK_SEGMENTS)}) THEN 'Truck' ELSE 'Car' END) AS meta_class,
          value AS x, k AS y, CAST(4 AS DOUBLE) AS width, CAST(2 AS DOUBLE) AS height,
@@ -51,7 +51,7 @@ kin0 AS (
 kin1 AS (
   SELECT * REPLACE (vx * dir_sign AS vx, vy * dir_sign AS vy, ax * dir_sign AS ax, ay * dir_sign AS ay),
          thw AS front_thw, ttc AS front_ttc, dhw AS front_dhw FROM kin0),
-kin AS (
+kin AS MATERIALIZED (
   SELECT *,
     CAST(coalesce(sign(lane_id - lag(lane_id) OVER {W_TRACK}) * dir_sign, 0) AS INTEGER) AS lc,
     CASE WHEN t = 0 THEN 0.0 ELSE (ax - lag(ax) OVER {W_TRACK}) / 0.04::DOUBLE END AS jerk_x,
@@ -78,13 +78,13 @@ LANES = KIN + """,
 marks(dir, lo, hi) AS (VALUES
   (1, 0.0::DOUBLE, 20.0::DOUBLE), (1, 20, 40), (1, 40, 60), (1, 60, 80),
   (2, 10, 30), (2, 30, 50), (2, 50, 70), (2, 70, 90)),
-lanes AS (
+lanes AS MATERIALIZED (
   SELECT kin.*, CASE WHEN kin.meta_drivingDirection = 2 THEN y_center - lo ELSE hi - y_center END AS d_left_lane,
          CASE WHEN kin.meta_drivingDirection = 2 THEN hi - y_center ELSE y_center - lo END AS d_right_lane
   FROM kin LEFT JOIN marks ON marks.dir = kin.meta_drivingDirection AND y_center >= lo AND y_center < hi)"""
 
 FRAMES = LANES + f""",
-frames AS (
+frames AS MATERIALIZED (
   SELECT e.*, {", ".join(_slot_cols)} FROM lanes e {" ".join(_slot_joins)})"""
 
 REL = {f"{s}_{x}": f"{s}_exists" for s in NEIGHBOR_SLOTS.values() for x in REL_SUFFIXES}
