@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackflux.llm import columns as col
-from trackflux.llm.frames import small, staged, thin_batches
+from trackflux.llm.frames import positioned, small, staged, thin_batches
 
 PRIME = (1 << 61) - 1
 BASE = 0x1B873593CC9E2D51 % PRIME
@@ -207,8 +207,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", piece:
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of equal texts the one with the largest doc_id.
 
-    If that row itself is repeated, one of the repeats stays.
+    If that row itself is repeated, one of the repeats stays. Null texts are empty ones; a null id is smaller than all others. Columns may have any names.
     """
+    names = docs.columns
+    docs, doc_id, text = positioned(docs, doc_id, text)
     key = F.xxhash64(F.col(doc_id).cast("bigint"), F.coalesce(F.col(text), F.lit("")))
     keyed = docs.withColumn("_key", key)
     copies = staged(classes(docs, doc_id, text).where("group_size > 1").groupBy("doc_id", "row_key", "keep_id").count(), "decided")
@@ -220,6 +222,6 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
     repeated = copies.where(top & (F.col("count") > 1))
     if repeated.isEmpty():
-        return match(copies.where(~top), "left_anti").drop("_key")
+        return match(copies.where(~top), "left_anti").drop("_key").toDF(*names)
     once = match(repeated, "left_semi").dropDuplicates([doc_id, "_key"])
-    return match(copies.where(~top | (F.col("count") > 1)), "left_anti").unionByName(once).drop("_key")
+    return match(copies.where(~top | (F.col("count") > 1)), "left_anti").unionByName(once).drop("_key").toDF(*names)

@@ -48,6 +48,12 @@ def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return df.toDF(*[f"_c{i}" for i in range(len(df.columns))]), df.columns
 
 
+def positioned(df: DataFrame, *used: str) -> tuple[DataFrame, ...]:
+    """``df`` with its columns renamed by position, and the new names of the columns ``used``."""
+    plain, names = numbered(df)
+    return plain, *(plain.columns[names.index(c)] for c in used)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

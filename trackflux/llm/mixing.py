@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackflux.llm.frames import running, small, staged
+from trackflux.llm.frames import positioned, running, small, staged
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -86,16 +86,20 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
+    """The rows of ``docs``, each as often as the mix takes it, with all their columns, whatever they are called.
+
+    Nulls, empty texts, ties, repeated rows and empty tables as in ``copies``.
+    """
+    names = docs.columns
+    docs, doc_id, text, source = positioned(docs, doc_id, text, source)
     taken = staged(copies(docs, doc_id, text, source, **settings).groupBy("doc_id", "row_key").agg(F.collect_list("copies").alias("times")), "taken")
     keyed = docs.withColumn("_key", F.xxhash64(F.col(doc_id).cast("bigint"), F.col(text)))
     taken = small(taken.select(F.col("doc_id").alias("_t_id"), F.col("row_key").alias("_t_key"), F.expr("aggregate(times, 0L, (a, x) -> a + x)").alias("_sum"), F.size("times").alias("_rows")))
     found = keyed.join(taken, F.col(doc_id).cast("bigint").eqNullSafe(F.col("_t_id")) & (F.col("_key") == F.col("_t_key")))
     one = found.where("_rows = 1 and _sum > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_sum").cast("int"))))
-    names = docs.columns
     # repeated rows share what their repeats take: one of them stands for all
     many = found.where("_rows > 1 and _sum > 0").dropDuplicates(["_t_id", "_t_key"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_sum").cast("int"))))
-    return one.select(*names).unionByName(many.select(*names))
+    return one.select(*docs.columns).unionByName(many.select(*docs.columns)).toDF(*names)
 
 
 #: The same mix in SQL.

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackflux.llm import columns as col
-from trackflux.llm.frames import small, staged, thin_batches
+from trackflux.llm.frames import positioned, small, staged, thin_batches
 from trackflux.llm.graph import Forest, components
 
 WORDS, PERCENT = 5, 75
@@ -225,14 +225,23 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the row with the smallest doc_id; of repeats of that row, one."""
+    """The rows of ``docs`` that stay, with all their columns: of each component the row with the smallest doc_id; of repeats of that row, one.
+
+    Texts without words are no copies of each other and all stay. Columns may have any names.
+    """
+    names = docs.columns
+    docs, doc_id, text = positioned(docs, doc_id, text)
     found = staged(groups(docs, doc_id, text).select("doc_id", "row_key", "kept", "n_shingles"), "near")
-    gone = small(staged(found.where("not kept").select(F.col("row_key").alias("_gone")).distinct(), "near-dropped"))
     key = F.xxhash64(F.col(doc_id).cast("bigint"), F.coalesce(F.col(text), F.lit("")))
-    left = docs.withColumn("_key", key).join(gone, F.col("_key") == F.col("_gone"), "left_anti")
-    repeated = found.where("kept and n_shingles > 0").groupBy("row_key").count().where("count > 1").select(F.col("row_key").alias("_again"))
-    repeated = staged(repeated, "near-repeated")
-    if repeated.isEmpty():
-        return left.drop("_key")
-    once = left.join(small(repeated), F.col("_key") == F.col("_again"), "left_semi").dropDuplicates(["_key"])
-    return left.join(small(repeated), F.col("_key") == F.col("_again"), "left_anti").unionByName(once).drop("_key")
+    keyed = docs.withColumns({"_id": F.col(doc_id).cast("bigint"), "_key": key})
+
+    def match(rows: DataFrame, of: DataFrame, how: str) -> DataFrame:
+        """By id and key, so that a row whose key another row has by chance is not taken for it."""
+        rows = rows.select(F.col("doc_id").alias("_g_id"), F.col("row_key").alias("_g_key"))
+        return of.join(small(rows), F.col("_id").eqNullSafe(F.col("_g_id")) & (F.col("_key") == F.col("_g_key")), how)
+
+    left = match(staged(found.where("not kept").select("doc_id", "row_key").distinct(), "near-dropped"), keyed, "left_anti")
+    repeated = staged(found.where("kept and n_shingles > 0").groupBy("doc_id", "row_key").count().where("count > 1"), "near-repeated")
+    if not repeated.isEmpty():
+        left = match(repeated, left, "left_anti").unionByName(match(repeated, left, "left_semi").dropDuplicates(["_id", "_key"]))
+    return left.drop("_id", "_key").toDF(*names)

@@ -256,11 +256,11 @@ def spans(docs: DataFrame, kind: Kind, decide: Callable[[pa.Table], pa.Table], d
 
 
 def with_spans(docs: DataFrame, runs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``_spans``: the (lo, size) of each row, null if there are none."""
-    lists = runs.groupBy("doc", "key").agg(F.collect_list(F.struct("lo", "size")).alias("_spans"))
+    """``docs`` (columns named by position) with ``_spans``: the (lo, size) of each row, null if there are none."""
+    lists = runs.groupBy("doc", "key").agg(F.collect_list(F.struct("lo", "size")).alias("_spans")).withColumnsRenamed({"doc": "_run_doc", "key": "_run_key"})
     keyed = docs.withColumn("_doc", F.coalesce(F.col(doc_id).cast("bigint"), F.lit(LAST))).withColumn(
         "_key", F.xxhash64(F.col(doc_id).cast("bigint"), F.coalesce(F.col(text), F.lit(""))))
-    return keyed.join(lists, (F.col("_doc") == F.col("doc")) & (F.col("_key") == F.col("key")), "left").drop("doc", "key", "_doc", "_key")
+    return keyed.join(lists, (F.col("_doc") == F.col("_run_doc")) & (F.col("_key") == F.col("_run_key")), "left").drop("_run_doc", "_run_key", "_doc", "_key")
 
 
 def removed(span_lists: list, at: np.ndarray, window: int) -> np.ndarray:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 
 from trackflux.llm import columns as col
 from trackflux.llm import repeats
+from trackflux.llm.frames import positioned
 
 WINDOW, GRAM = 13, 6
 
@@ -65,13 +66,17 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     """``docs`` with ``kept_text`` (kept words joined by one space), n_words, n_removed, kept_sha256 and without ``text``.
 
     A word goes if a window of 13 words that covers it also starts in a document with a smaller id. Null and short texts lose nothing. A null
-    id is larger than all others. Rows with equal ids do not count against each other. Columns of the names above give way.
+    id is larger than all others. Rows with equal ids do not count against each other. Columns of the names above give way; all others pass, whatever they are
+    called. An empty table gives no row.
     """
     mine = ("n_words", "n_removed", "kept_sha256", "kept_text")
-    keep = [c for c in docs.columns if c not in mine]
-    runs = repeats.spans(docs, WORDS, parse, doc_id, text)
-    rows = repeats.with_spans(docs.select(*keep), runs, doc_id, text)
-    others = [c for c in keep if c != text]
+    if doc_id in mine or text in mine:
+        raise ValueError("id and text may not be called like a column that is added")
+    names = [c for c in docs.columns if c not in mine]
+    plain, doc_id, text = positioned(docs.select(*names), doc_id, text)
+    rows = repeats.with_spans(plain, repeats.spans(plain, WORDS, parse, doc_id, text), doc_id, text)
+    others = [c for c in plain.columns if c != text]
+    names.pop(plain.columns.index(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in col.slices(batches, text):
@@ -88,7 +93,7 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                 [*others, *mine])
 
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name in others)
-    return rows.mapInArrow(run, head + "n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
+    return rows.mapInArrow(run, head + "n_words bigint, n_removed bigint, kept_sha256 string, kept_text string").toDF(*names, *mine)
 
 
 _WORD = r"[^\x20\x09-\x0D]+"

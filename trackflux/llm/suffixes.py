@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 
 from trackflux.llm import columns as col
 from trackflux.llm import repeats
+from trackflux.llm.frames import positioned
 
 WINDOW, GRAM = 100, 40
 
@@ -124,13 +125,17 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
     A byte goes if a string of 100 bytes that covers it also starts earlier: in a document with a smaller id, or before it in the same document.
     Null and short texts lose nothing. A null id is larger than all others. Repeats of a row do not count against each other; other texts with
-    the same id follow each other in the order of their hashes. Columns of the names above give way.
+    the same id follow each other in the order of their hashes. Columns of the names above give way; all others pass, whatever they are
+    called. An empty table gives no row.
     """
     mine = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes")
-    keep = [c for c in docs.columns if c not in mine]
-    runs = repeats.spans(docs, BYTES, sift, doc_id, text)
-    rows = repeats.with_spans(docs.select(*keep), runs, doc_id, text)
-    others = [c for c in keep if c != text]
+    if doc_id in mine or text in mine:
+        raise ValueError("id and text may not be called like a column that is added")
+    names = [c for c in docs.columns if c not in mine]
+    plain, doc_id, text = positioned(docs.select(*names), doc_id, text)
+    rows = repeats.with_spans(plain, repeats.spans(plain, BYTES, sift, doc_id, text), doc_id, text)
+    others = [c for c in plain.columns if c != text]
+    names.pop(plain.columns.index(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in col.slices(batches, text):
@@ -149,4 +154,4 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                  pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array(texts, pa.binary())], [*others, *mine])
 
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name in others)
-    return rows.mapInArrow(run, head + "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_bytes binary")
+    return rows.mapInArrow(run, head + "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_bytes binary").toDF(*names, *mine)
