@@ -28,6 +28,21 @@ def test_columns_go_by_name_in_every_file(spark, tmp_path):
     assert [r.recording_id for r in bundles.read_bundle(spark, root, 2)["tracks"].collect()] == [2]
 
 
+def test_headers_of_many_files_are_read_by_tasks(spark, tmp_path, monkeypatch):
+    tracks = {i: ("id,frame,x,y\n" if i % 3 else "y,x,frame,id\n") + "".join(f"{i},{k},1,2\n" for k in range(300)) for i in range(1, 41)}
+    tracks[41] = ""
+    root = bundle(tmp_path, tracks)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.openCostInBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    found = bundles._files(spark, root, "tracks")
+    assert {h: sorted(i for i, _ in m) for h, m in found.items()} == {
+        ("id", "frame", "x", "y"): [i for i in range(1, 41) if i % 3], ("y", "x", "frame", "id"): [i for i in range(1, 41) if not i % 3], (): [41]}
+    assert before == {k: spark.conf.get(k) for k in before}
+    assert bundles.read_bundle(spark, root)["tracks"].count() == 40 * 300
+    # a directory of parts, with a space in its name, is one recording
+    spark.createDataFrame([("7", "1")], "id string, frame string").repartition(1).write.option("header", True).csv(f"{tmp_path}/more here/77_tracks.csv")
+    assert [m[0][0] for m in bundles._files(spark, f"{tmp_path}/more here", "tracks").values()] == [77]
+
+
 def test_a_missing_part_is_an_error_but_an_empty_one_is_not(spark, tmp_path):
     root = bundle(tmp_path, {1: "id,frame,x,y\n", 2: "id,frame,x,y\n7,1,2,3\n"}, skip=((2, "recordingMeta"),))
     with pytest.raises(FileNotFoundError, match="2"):

@@ -5,10 +5,14 @@ is sent to the windows that contain it and every statistic of every window is
 a built-in aggregate of one ``groupBy(trajectory, window)``; groups hold at
 most ``W`` rows no matter how long a trajectory is, and a window is complete
 exactly when it holds ``W`` rows, so no trajectory length is needed.
+
+Quantiles, which cannot be added up before the shuffle, take a shorter way: rows are
+first reduced to panes of gcd(W, stride) rows, and panes are sent to the windows.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -50,9 +54,13 @@ def window_aggregate(
     out = out.where(F.col("_n") == W).drop("_n")
     if exact:
         out = out.join(window_members(df, W, stride).groupBy(*by).agg(*[a.alias(n) for n, a in exact.items()]), by)
-    first = df.where(F.col("t") % stride == 0).select(
+    return _first_rows(df, stride, carry).join(out, by)
+
+
+def _first_rows(df: DataFrame, stride: int, carry: list[str]) -> DataFrame:
+    """What a window takes from its first row."""
+    return df.where(F.col("t") % stride == 0).select(
         *KEYS, F.expr(f"t div {int(stride)}").alias("window_idx"), F.col("frame").alias("start_frame"), *carry)
-    return first.join(out, by)
 
 
 # statistics over finite rows ------------------------------------------------
@@ -135,10 +143,11 @@ def feature(name: str) -> Column:
         valid = (x > 0) & valid
     if part.stat == "vfrac":
         return share(valid)
+    y = x if valid is None else F.when(valid, x)
     makers = {
         "last": lambda: last(x, valid), "slope": lambda: slope(x, valid), "min": lambda: minimum(x, valid),
-        "max": lambda: F.max(x), "mean": lambda: F.avg(x), "std": lambda: F.stddev_pop(x),
-        "rms": lambda: rms(x), "p95": lambda: p95(x),
+        "max": lambda: F.max(y), "mean": lambda: F.avg(y), "std": lambda: F.stddev_pop(y),
+        "rms": lambda: rms(y), "p95": lambda: p95(y),
     }
     return makers[part.stat]()
 
@@ -153,6 +162,38 @@ def feature_inputs(names: list[str]) -> list[str]:
     return list(cols)
 
 
+def _pane_quantiles(slim: DataFrame, names: list[str], W: int, stride: int, p: float = 0.95) -> DataFrame:
+    """Exact quantiles of all windows from panes of gcd(W, stride) rows.
+
+    The wanted ranks of at most ``W`` values lie among the largest few, so a pane keeps its count and no more than those, sorted. Panes, not
+    rows, are sent to the windows that contain them. (Sums and extremes need no panes: they are added up by window before the shuffle.)
+    """
+    size, by = math.gcd(W, stride), [*KEYS, "window_idx"]
+    few = math.floor((1 - p) * (W - 1)) + 2
+    y = {n: _masked(read_name(n)) for n in names}
+    panes = slim.groupBy(*KEYS, F.expr(f"t div {size}").alias("t")).agg(
+        *[F.slice(F.sort_array(F.collect_list(y[n]), asc=False), 1, few).alias(f"_{n}") for n in names], *[F.count(y[n]).alias(f"_n_{n}") for n in names])
+    merged = window_members(panes, W // size, stride // size).groupBy(*by).agg(
+        *[F.sort_array(F.flatten(F.collect_list(f"_{n}")), asc=False).alias(f"_{n}") for n in names], *[F.sum(f"_n_{n}").alias(f"_n_{n}") for n in names])
+    return merged.select(*by, *[_from_top(F.col(f"_{n}"), F.col(f"_n_{n}"), p).alias(n) for n in names])
+
+
+def _masked(part: FeatureName) -> Column:
+    """The values that count: NULL where a guard does not let them through."""
+    x = F.col(part.column)
+    ok = F.coalesce(F.col(part.guard), F.lit(0)) > 0.5 if part.guard else F.lit(True)
+    return F.when(ok & (x > 0) if part.positive else ok, x)
+
+
+def _from_top(largest: Column, n: Column, p: float) -> Column:
+    """Interpolated quantile of ``n`` values from the largest ones, in falling order."""
+    rank = (n - 1) * F.lit(p)
+    low = F.floor(rank)
+    at = lambda r: F.element_at(largest, (n - r).cast("int"))
+    a, b = at(low), at(F.least(low + 1, n - 1))
+    return F.when(n > 0, a + (b - a) * (rank - low))
+
+
 def windowize(
     frames: DataFrame, names: list[str] | None = None, W: int = WINDOW_LEN, stride: int = WINDOW_STRIDE,
 ) -> DataFrame:
@@ -160,8 +201,10 @@ def windowize(
     names = names or WINDOW_FEATURES
     carry = [c for c in ("meta_class", "meta_drivingDirection") if c in frames.columns]
     slim = with_index(frames).select(*KEYS, "t", "frame", *carry, *feature_inputs(names))
-    exact = {n: feature(n) for n in names if n.endswith("_p95")}
-    out = window_aggregate(slim, {n: feature(n) for n in names if n not in exact}, W, stride, carry, exact)
+    top = [n for n in names if read_name(n).stat == "p95"]
+    out = window_aggregate(slim, {n: feature(n) for n in names if n not in top}, W, stride, carry)
+    if top:
+        out = out.join(_pane_quantiles(slim, top, W, stride), [*KEYS, "window_idx"])
     return out.select(*KEYS, "window_idx", "start_frame", *carry, *names)
 
 

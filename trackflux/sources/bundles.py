@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -17,25 +18,56 @@ _WHOLE = {"vehicle_id", "frame", "lane_id", *NEIGHBOR_SLOTS}
 
 
 def _files(spark: SparkSession, root: str, part: str) -> dict[tuple[str, ...], list[tuple[int, str]]]:
-    """(recording_id, path) of all files of a part by their header; a file is opened for its first line only."""
+    """(recording_id, path) of all files of a part by their header. The driver lists names; files are opened by tasks."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     top = jvm.org.apache.hadoop.fs.Path(f"{root}/*_{part}.csv")
     fs = top.getFileSystem(conf)
-    found: dict[tuple[str, ...], list[tuple[int, str]]] = {}
+    number_of: dict[str, int] = {}
     for status in fs.globStatus(top) or []:
         number = re.search(rf"(\d+)_{part}", status.getPath().getName())
         inside = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
         for f in inside:
-            if number is None or f.getPath().getName().startswith(("_", ".")):
-                continue
-            stream = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(f.getPath()), "UTF-8"))
-            line = stream.readLine()
-            stream.close()
-            header = tuple(next(csv.reader([line]))) if line else ()
-            found.setdefault(header, []).append((int(number[1]), f.getPath().toString()))
+            if number is not None and not f.getPath().getName().startswith(("_", ".")):
+                number_of[f.getPath().toString()] = int(number[1])
+    header_of = first_lines(spark, list(number_of)) if number_of else {}
+    found: dict[tuple[str, ...], list[tuple[int, str]]] = {}
+    for path, number in number_of.items():
+        line = header_of.get(_plain(path))
+        found.setdefault(tuple(next(csv.reader([line]))) if line else (), []).append((number, path))
     return found
 
 
+def _plain(path: str) -> str:
+    """A path as both the file system and Spark's metadata column name it."""
+    return re.sub("^file:/+", "/", unquote(path))
+
+
+def first_lines(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """The first line of each text file that has one, read by a Spark job.
+
+    While it runs, every file is a task of its own and hands over its lines one by one; a task ends with its first line, so a large file costs no
+    more than a small one.
+    """
+    settings = {"spark.sql.files.openCostInBytes": spark.conf.get("spark.sql.files.maxPartitionBytes"), "spark.sql.execution.arrow.maxRecordsPerBatch": "1"}
+    before = {k: spark.conf.get(k) for k in settings}
+
+    def first(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.slice(0, 1)
+                return
+
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value")
+        rows = lines.mapInArrow(first, "path string, at bigint, value string").where("at = 0").select("path", "value").collect()  # a line per file
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    return {_plain(r["path"]): r["value"] for r in rows}
+
+
 def _read(spark: SparkSession, files: dict[tuple[str, ...], list[tuple[int, str]]], part: str) -> DataFrame:
     """One scan per distinct header; columns go by name, a column that a file lacks is NULL. Numbers are cast later."""
     out = None
