@@ -18,31 +18,31 @@ BINS = 4096
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float],
-                    row_limit: int = ROW_LIMIT, known_small: bool = False) -> DataFrame:
-    """One row per group with a column per entry of ``probs``.
+                    row_limit: int = ROW_LIMIT, known_small: bool = False, times: str | None = None) -> DataFrame:
+    """One row per group with a column per entry of ``probs``. With ``times`` a row stands for so many equal ones.
 
     ``known_small`` skips the size check when the caller has a proven bound on
     the rows (or distinct values) per group.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), (F.lit(1).cast("bigint") if times is None else F.col(times)).alias("_c"))
     if not known_small:
         largest = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
         if largest is not None and largest > row_limit:
             # a struct key groups NULL labels like any other value, also in joins
-            packed = rows.select((F.struct(*by) if by else F.lit(0)).alias("_g"), "_v")
+            packed = rows.select((F.struct(*by) if by else F.lit(0)).alias("_g"), "_v", "_c")
             found = _narrowed(packed, ["_g"], probs, row_limit)
             return found.select(*[F.col("_g")[c].alias(c) for c in by], *probs)
     return _direct(rows, by, probs)
 
 
 def _direct(rows: DataFrame, by: list[str], probs: dict[str, float]) -> DataFrame:
-    agg = rows.groupBy(*by).agg(F.percentile("_v", F.array(*[F.lit(p) for p in probs.values()])).alias("_q"))
+    agg = rows.groupBy(*by).agg(F.percentile("_v", F.array(*[F.lit(p) for p in probs.values()]), F.col("_c")).alias("_q"))
     return agg.select(*by, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
 
 
 def _narrowed(rows: DataFrame, by: list[str], probs: dict[str, float], row_limit: int) -> DataFrame:
     # ties collapse here, before anything is shuffled
-    counts = materialise(rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    counts = materialise(rows.groupBy(*by, "_v").agg(F.sum("_c").alias("_c")))
     totals = counts.groupBy(*by).agg(
         F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )

@@ -56,21 +56,39 @@ SUBSETS = {"global": [], "direction": ["meta_drivingDirection"], "class": ["meta
 def subset_grid(df: DataFrame, signals: list[str], subsets: dict[str, list[str]] | None = None) -> DataFrame:
     """The same statistics for all rows and every direction / class subset.
 
-    Every row is tagged with its subsets once, so one aggregation serves all.
+    Frame rows are read once and reduced to counted values by (direction, class, signal). Moments of those groups are put together
+    by subset; quantiles are taken of the counted values, tagged with their subsets.
     """
     subsets = subsets or SUBSETS
+    fine, by = ["meta_drivingDirection", "meta_class", "signal"], ["subset", "direction", "class", "signal"]
     tags = []
     for name, cols in subsets.items():
         keep = lambda c: F.col(c).cast("string") if c in cols else F.lit(None).cast("string")  # noqa: B023,E731
         tags.append(F.struct(
             F.lit(name).alias("subset"), keep("meta_drivingDirection").alias("direction"), keep("meta_class").alias("class"),
         ))
-    long = unpivot(df, ["meta_drivingDirection", "meta_class"], signals)
-    tagged = long.select("signal", "x", F.explode(F.array(*tags)).alias("_t")).select(
-        "signal", "x", "_t.subset", "_t.direction", "_t.class"
-    )
-    by = ["subset", "direction", "class", "signal"]
-    return grouped_stats(tagged, by, {"p10": 0.1, "median": 0.5, "p90": 0.9})
+
+    def tagged(rows: DataFrame, *cols: str) -> DataFrame:
+        return rows.select("signal", *cols, F.explode(F.array(*tags)).alias("_t")).select("signal", *cols, "_t.subset", "_t.direction", "_t.class")
+
+    counted = materialise(unpivot(df, fine[:2], signals).groupBy(*fine, "x").agg(F.count(F.lit(1)).alias("times")))
+    parts = _moments(counted.withColumns({"n": F.col("times"), "mean": F.col("x"), "m2": F.lit(0.0), "min": F.col("x"), "max": F.col("x")}), fine)
+    basic = _moments(tagged(parts, "n", "mean", "m2", "min", "max"), by).select(
+        *by, F.col("n").alias("count"), "mean", F.sqrt(F.col("m2") / F.col("n")).alias("std"), "min", "max")
+    probs = {"p10": 0.1, "median": 0.5, "p90": 0.9}
+    q = exact_quantiles(tagged(counted, "x", "times"), by, "x", probs, times="times")
+    cond = all_of(*[basic[c].eqNullSafe(q[c]) for c in by])
+    return basic.join(q, cond, "left").select(*[basic[c] for c in basic.columns], *[q[p] for p in probs])
+
+
+def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Parts with n, mean and squared distances ``m2`` about it, put together by group: distances are taken about the group's own mean."""
+    mean = rows.groupBy(*by).agg((F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("_mean"))
+    named = mean.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], "_mean")
+    same = all_of(*[F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)])
+    about = F.col("m2") + F.col("n") * (F.col("mean") - F.col("_mean")) * (F.col("mean") - F.col("_mean"))
+    return rows.join(named, same).groupBy(*by).agg(
+        F.sum("n").alias("n"), F.max("_mean").alias("mean"), F.sum(about).alias("m2"), F.min("min").alias("min"), F.max("max").alias("max"))
 
 
 def histogram(df: DataFrame, x: str, bins: int = 200, lo_q: float = 0.01, hi_q: float = 0.99) -> DataFrame:
