@@ -275,6 +275,14 @@ def em_weighting_modes(spark, d):
     return b.withColumn("value", rounded(F.col("value"), 4)).withColumn("mode", F.lit("B"))
 
 
+@query("em_weighting_next", S.with_(
+    Q.smoothing_ctes() + Q.pairs() + _WT_CTE + _stat_sql("w", "w"), _STAT_OUT.replace("SELECT stat", "SELECT 'B' AS mode, stat"), recursive=True))
+def em_weighting_next(spark, d):
+    """A step weighs as much as the window that it leads to."""
+    b = em.stats_long(_estep(spark, d, mode="B", weight=lane_change_weight(LC_FEATURES, 3.0), edge="next"), P, _STATS)
+    return b.withColumn("value", rounded(F.col("value"), 4)).withColumn("mode", F.lit("B"))
+
+
 @query("em_weighting_tempered", S.with_(
     Q.smoothing_ctes(weight=_WT) + Q.pairs(src="lbw") + _WT_CTE + _stat_sql(), _STAT_OUT.replace("SELECT stat", "SELECT 'A' AS mode, stat"), recursive=True))
 def em_weighting_tempered(spark, d):
