@@ -1,15 +1,17 @@
 """Windows of a text that also occur in an earlier text: what word-wise and byte-wise removal share.
 
-In each window the grams of ``gram`` symbols are ranked by a hash; the least one is the window's anchor. Neighbouring windows with one
-anchor form a cluster (about one per ``(window - gram) / 2`` symbols), and only clusters are shuffled, by anchor. Equal
-windows have equal anchors, so whatever is equal meets in one block:
-
-* a cluster that also occurs earlier as a whole is repeated as a whole;
-* a cluster that shares more than half of what lies around its anchor with another cluster may hold single repeated windows.
-  Of these boundary clusters the symbols themselves are sent to the block, and the operator's own method decides.
-
-Before the shuffle, clusters that occur earlier in the same slice are settled on the spot, so that a passage that a
-third of all documents share reaches its block once per slice.
+Which window is repeated is decided by the operator's own method, which gets stretches of text (fragments) in the order of document and
+place. What is here brings together all that could be equal, in pieces of bounded size:
+
+* In a slice of documents, the stretches whose windows occur twice in it go to the method at once. What it finds is settled; the first copy of
+  each window is not, and stands for the slice from then on.
+* In each window the grams of ``gram`` symbols are ranked by a hash; the least one is the window's anchor. Neighbouring windows with one
+  anchor form a cluster (about one per ``(window - gram) / 2`` symbols). Equal windows have equal anchors, so clusters that are not settled are
+  dealt by anchor, as hashes. Those that agree with another one as a whole, or in more than half of what lies around the anchor, are open.
+* Of open clusters the symbols are sent to the block of their anchor, and the method decides there.
+
+No anchor may crowd a task. Of each anchor a task sends at most ``ANCHOR_ROWS`` clusters, one more that says so, and takes all others as
+open; a block that a count shows to be crowded is cut again by the contents of single windows, after the method has worked on each slice of it.
 """
 
 from __future__ import annotations
@@ -19,20 +21,32 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackflux.llm import columns as col
 from trackflux.llm.frames import small, staged, thin_batches
 
-#: Clusters that one block may hold on average, and bytes that are worked on together.
+#: Clusters and fragments that a block holds on average; with more fragments than CROWDED it is cut again.
 BLOCK_CLUSTERS = 150_000
+BLOCK_FRAGMENTS = 4_000
+CROWDED = 10_000
+#: Bytes of text and symbols of fragments that are worked on together.
 SLICE_BYTES = 1 << 20
-#: A block with more fragments is not worked on by one task: its windows are counted out one by one.
-BLOCK_FRAGMENTS = 20_000
+PART_SYMBOLS = 1 << 19
+#: Clusters that a task sends to the block of one anchor. They are counted in a table by hash: an anchor that shares its
+#: place there may be taken for a crowded one, which costs symbols sent and changes no result.
+ANCHOR_ROWS = 16
+COUNTERS = 1 << 24
 LAST = (1 << 63) - 1  # a null id comes after all others
 
-CLUSTER = np.dtype([("anchor", "<u8"), ("whole", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("lo", "<i8"), ("size", "<i4"), ("left", "<u2"), ("right", "<u2")])
+CLUSTER = np.dtype([("anchor", "<u8"), ("whole", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("lo", "<i8"), ("size", "<i4"), ("left", "<u2"), ("right", "<u2"), ("crowd", "<u1")])
+RUN = np.dtype([("doc", "<i8"), ("key", "<i8"), ("lo", "<i8"), ("size", "<i4"), ("anchor", "<u8"), ("open", "<u1")])
+
+#: Of fragments sorted by (document, key, place): the documents, where each fragment's symbols begin, and all symbols. Gives
+#: the places of the repeated windows, rising.
+Decide = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
 @dataclass(frozen=True)
@@ -43,9 +57,9 @@ class Kind:
     gram: int
     symbols: Callable[[pa.Array, col.Powers], tuple[np.ndarray, np.ndarray]]  # values of all symbols, where each text's begin
     per_byte: float  # symbols in a byte, for the number of blocks
-    same_document: bool  # an earlier place in the same document counts
-    store: Callable[[np.ndarray], bytes]  # how the symbols of a fragment travel
-    read: Callable[[bytes], np.ndarray]  # and how they are read again
+    width: int  # bytes in which a symbol travels
+    store: Callable[[np.ndarray], np.ndarray]  # how symbols travel
+    read: Callable[[np.ndarray], np.ndarray]  # and how their bytes are read again
 
 
 def clusters(values: np.ndarray, at: np.ndarray, kind: Kind, powers: col.Powers) -> dict[str, np.ndarray]:
@@ -85,7 +99,7 @@ def _bodies(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                        F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("body"))
 
 
-def _runs(*keys: np.ndarray) -> np.ndarray:
+def _changes(*keys: np.ndarray) -> np.ndarray:
     """Where sorted keys change."""
     new = np.ones(len(keys[0]), bool)
     if len(new):
@@ -95,169 +109,238 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def _first(new: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """The first value of each run, for all its items."""
-    return values[np.flatnonzero(new)][np.cumsum(new) - 1] if len(new) else values
+def _ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All places of stretches of ``n`` places from ``begin``, one stretch after the other."""
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def later(kind: Kind, new: np.ndarray, doc: np.ndarray, key: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    """Of items sorted by (content, doc, key, lo): does the content occur earlier. ``new`` marks a new content."""
-    out = doc > _first(new, doc)
-    return out | (key != _first(new, key)) | (lo > _first(new, lo)) if kind.same_document else out
+def runs(places: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbouring places in one fragment joined: the fragment, the first place and the number of places of each run."""
+    of = np.searchsorted(at, places, "right") - 1
+    first = np.flatnonzero(_changes(places - np.arange(len(places)), of))
+    return of[first], places[first], np.diff(np.append(first, len(places)))
 
 
 def _pack(rows: np.ndarray) -> bytes:
     """Column by column, so that what repeats is compressed."""
-    return b"".join(np.ascontiguousarray(rows[c]).tobytes() for c in CLUSTER.names)
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    n, at = len(data) // CLUSTER.itemsize, 0
-    out = np.empty(n, CLUSTER)
-    for c in CLUSTER.names:
-        step = CLUSTER[c].itemsize * n
-        out[c] = np.frombuffer(data[at:at + step], CLUSTER[c])
-        at += step
+    return b"".join(np.ascontiguousarray(rows[c]).tobytes() for c in rows.dtype.names)
+
+
+def _unpack(data: list[bytes], kind: np.dtype) -> np.ndarray:
+    out, to = np.empty(sum(map(len, data)) // kind.itemsize, kind), 0
+    for x in data:
+        n, at = len(x) // kind.itemsize, 0
+        for c in kind.names:
+            step = kind[c].itemsize * n
+            out[c][to:to + n] = np.frombuffer(x[at:at + step], kind[c])
+            at += step
+        to += n
     return out
 
 
-def _dealt(bodies: DataFrame, kind: Kind, blocks: int) -> DataFrame:
-    """(block, settled, payload): clusters by block of their anchor; those settled in their slice go along."""
+def _in_parts(kind: Kind, decide: Decide, doc: np.ndarray, values: np.ndarray, of: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places of windows that the method finds repeated among stretches of ``n`` windows from ``begin``, in the texts ``of``.
+
+    It works on PART_SYMBOLS symbols at a time, of which a longer stretch is cut; what repeats between two parts is left to the blocks.
+    """
+    pieces = -(-n // PART_SYMBOLS)
+    skip = _ranges(np.zeros_like(begin), pieces) * PART_SYMBOLS
+    of, begin, n = np.repeat(of, pieces), np.repeat(begin, pieces) + skip, np.minimum(np.repeat(n, pieces) - skip, PART_SYMBOLS)
+    length = n + kind.window - 1
+    edges = np.append(np.flatnonzero(_changes(np.cumsum(length) // PART_SYMBOLS)), len(n)).tolist()
+    out = [np.zeros(0, np.int64)]
+    for a, b in zip(edges, edges[1:]):
+        at = np.concatenate([[0], np.cumsum(length[a:b])])
+        hit = decide(doc[of[a:b]], at, values[_ranges(begin[a:b], length[a:b])])
+        out.append(begin[a:b][f := np.searchsorted(at, hit, "right") - 1] + hit - at[f])
+    return np.concatenate(out)
+
+
+def _sorted(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows of a slice by (document, key), each once."""
+    doc, key = (batch.column(k).to_numpy() for k in (0, 1))
+    order = np.lexsort((key, doc))
+    return batch.take(pa.array(order[_changes(doc[order], key[order])]))
+
+
+def _dealt(bodies: DataFrame, kind: Kind, decide: Decide, blocks: int) -> DataFrame:
+    """(block, direct, payload): clusters by block of their anchor; runs that are settled, or open without asking, by slice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = col.Powers()
+        powers, counters = col.Powers(), np.zeros(COUNTERS, np.uint8)
         for batch in col.slices(batches, "body", SLICE_BYTES):
+            batch = _sorted(batch)
+            doc, key = (batch.column(k).to_numpy() for k in (0, 1))
             values, at = kind.symbols(batch.column(2), powers)
             c = clusters(values, at, kind, powers)
             if not len(c["lo"]):
                 continue
-            rows = np.zeros(len(c["lo"]), CLUSTER)
-            doc, key = (batch.column(k).to_numpy()[c["text"]] for k in (0, 1))
-            lo = c["lo"] - at[c["text"]]
-            for n, v in (("anchor", c["anchor"]), ("whole", c["whole"]), ("doc", doc), ("key", key), ("lo", lo), ("size", c["hi"] - c["lo"] + 1),
-                         ("left", c["left"] & np.uint64(0xFFFF)), ("right", c["right"] & np.uint64(0xFFFF))):
-                rows[n] = v
-            order = np.argsort(rows["whole"], kind="stable")
-            often = _runs(rows["whole"][order])
-            often = order[~(often & np.append(often[1:], True))]  # only what occurs twice needs a full sort
-            settled = np.zeros(len(rows), bool)
-            if len(often):
-                r = rows[often]
-                o = np.lexsort((r["lo"], r["key"], r["doc"], r["whole"]))
-                r = r[o]
-                settled[often[o]] = later(kind, _runs(r["whole"]), r["doc"], r["key"], r["lo"])
-            block = (rows["anchor"] >> np.uint64(20)) % np.uint64(blocks)
-            out = []
-            for done in (False, True):
-                mine = np.flatnonzero(settled == done)
-                mine = mine[np.argsort(block[mine], kind="stable")]
-                edges = np.flatnonzero(_runs(block[mine])).tolist() + [len(mine)] if len(mine) else [0]
-                out += [(int(block[mine[a]]), done, _pack(rows[mine[a:b]])) for a, b in zip(edges, edges[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.bool_(), pa.binary()))], ["block", "settled", "payload"])
-
-    return bodies.mapInArrow(run, "block bigint, settled boolean, payload binary")
+            size = c["hi"] - c["lo"] + 1
+            often, _ = col.repeats(c["anchor"])
+            place = _ranges(c["lo"][often], size[often])
+            twice, _ = col.repeats(col.stretch(col.prefix(values, powers), place, place + kind.window, powers))
+            of, begin, n = runs(place[twice], at)
+            done = _in_parts(kind, decide, doc, values, of, begin, n)
+            of, begin, n = runs(done, at)
+            direct = np.zeros(len(n), RUN)
+            for name, v in (("doc", doc[of]), ("key", key[of]), ("lo", begin - at[of]), ("size", n)):
+                direct[name] = v
+
+            settled = np.zeros(len(values) + 1, np.int64)
+            settled[done + 1] = 1
+            settled = np.cumsum(settled)
+            left = np.flatnonzero(settled[c["hi"] + 1] - settled[c["lo"]] < size)
+            rows = np.zeros(len(left), CLUSTER)
+            text = c["text"][left]
+            for name, v in (("anchor", c["anchor"][left]), ("whole", c["whole"][left]), ("doc", doc[text]), ("key", key[text]), ("lo", c["lo"][left] - at[text]), ("size", size[left]),
+                            ("left", c["left"][left] & np.uint64(0xFFFF)), ("right", c["right"][left] & np.uint64(0xFFFF))):
+                rows[name] = v
+            slot = (rows["anchor"] & np.uint64(COUNTERS - 1)).astype(np.int64)
+            rows = rows[order := np.argsort(slot, kind="stable")]
+            slot = slot[order]
+            first = np.flatnonzero(_changes(slot))
+            times = np.diff(np.append(first, len(slot)))
+            number = counters[slot] + np.arange(len(slot)) - np.repeat(first, times)
+            counters[slot[first]] = np.minimum(counters[slot[first]] + times, 255)
+            rows["crowd"] = number == ANCHOR_ROWS
+            beyond = rows[number > ANCHOR_ROWS]
+            rows = rows[number <= ANCHOR_ROWS]
+            more = np.zeros(len(beyond), RUN)
+            for name in ("doc", "key", "lo", "size", "anchor"):
+                more[name] = beyond[name]
+            more["open"] = 1
+            direct = np.concatenate([direct, more])
+
+            block = ((rows["anchor"] >> np.uint64(24)) % np.uint64(blocks)).astype(np.int64)
+            rows = rows[order := np.argsort(block, kind="stable")]
+            block = block[order]
+            edges = np.append(np.flatnonzero(_changes(block)), len(block)).tolist()
+            out = [(int(block[a]), False, _pack(rows[a:b])) for a, b in zip(edges, edges[1:])]
+            if len(direct):
+                out.append((blocks + int(key.sum()) % blocks, True, _pack(direct)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.bool_(), pa.binary()))], ["block", "direct", "payload"])
+
+    return bodies.mapInArrow(run, "block bigint, direct boolean, payload binary")
 
 
 FOUND = "doc bigint, key bigint, lo bigint, size int, anchor bigint, open boolean"
 
 
-def _judged(dealt: DataFrame, kind: Kind) -> DataFrame:
-    """FOUND rows: repeated clusters, and (open) those that may hold single repeated windows."""
+def _judged(dealt: DataFrame) -> DataFrame:
+    """FOUND rows: settled runs, and open clusters."""
     def run(group):
-        done = group.column("settled").to_numpy(zero_copy_only=False)
+        direct = group.column("direct").to_numpy()
         payload = group.column("payload").to_pylist()
-        settled = [_unpack(x) for x, d in zip(payload, done) if d]
-        rows = [_unpack(x) for x, d in zip(payload, done) if not d]
-        rows = np.concatenate(rows) if rows else np.zeros(0, CLUSTER)
-        rows = rows[np.lexsort((rows["lo"], rows["key"], rows["doc"], rows["whole"], rows["anchor"]))]
-        rows = rows[_runs(*(rows[c] for c in ("anchor", "whole", "doc", "key", "lo")))]  # repeated rows are one
-        again = later(kind, _runs(rows["anchor"], rows["whole"]), rows["doc"], rows["key"], rows["lo"])
-        rest = rows[~again]
-        wanted = np.zeros(len(rest), bool)
-        for side in ("left", "right"):
-            o = np.lexsort((rest["whole"], rest[side], rest["anchor"]))
-            r = rest[o]
-            new = _runs(r["anchor"], r[side])
-            other = r["whole"] != _first(new, r["whole"])
-            number = np.cumsum(new) - 1
-            mixed = np.zeros(number[-1] + 1 if len(number) else 0, bool)
-            mixed[number[other]] = True
-            wanted[o] |= mixed[number]
-        rest = rest[wanted]
-        out = np.concatenate([rows[again], *settled, rest])
-        return pa.table({"doc": out["doc"], "key": out["key"], "lo": out["lo"], "size": out["size"], "anchor": out["anchor"].view(np.int64),
-                         "open": np.arange(len(out)) >= len(out) - len(rest)})
+        out = _unpack([x for x, d in zip(payload, direct) if d], RUN)
+        rows = _unpack([x for x, d in zip(payload, direct) if not d], CLUSTER)
+        rows = rows[np.argsort(rows["anchor"], kind="stable")]
+        first = np.flatnonzero(_changes(rows["anchor"]))
+        rows = rows[np.repeat(times := np.diff(np.append(first, len(rows))), times) > 1]  # who is alone has no partner
+        rows = rows[np.lexsort((rows["lo"], rows["key"], rows["doc"], rows["anchor"]))]
+        same = _changes(*(rows[c] for c in ("anchor", "doc", "key", "lo")))
+        number = np.cumsum(_changes(rows["anchor"])) - 1
+        wanted = np.bincount(number, rows["crowd"])[number] > 0 if len(rows) else np.zeros(0, bool)
+        rows, wanted = rows[same], wanted[same]  # repeated rows are one
+        for side in ("whole", "left", "right"):
+            order = np.lexsort((rows[side], rows["anchor"]))
+            first = np.flatnonzero(_changes(rows["anchor"][order], rows[side][order]))
+            times = np.diff(np.append(first, len(order)))
+            wanted[order] |= np.repeat(times, times) > 1
+        rows = rows[wanted]
+        get = lambda c: np.concatenate([out[c], rows[c]])
+        return pa.table({"doc": get("doc"), "key": get("key"), "lo": get("lo"), "size": get("size"), "anchor": get("anchor").view(np.int64),
+                         "open": np.concatenate([out["open"] > 0, np.ones(len(rows), bool)])})
 
     return dealt.groupBy("block").applyInArrow(run, FOUND)
 
 
-def _fragments(bodies: DataFrame, open_: DataFrame, kind: Kind, blocks: int) -> DataFrame:
-    """(block, doc, key, lo, size, values): the symbols of the open clusters."""
+def _binary(kind: Kind, values: np.ndarray, begin: np.ndarray, length: np.ndarray) -> pa.Array:
+    """The symbols of stretches, one binary value each."""
+    at = np.concatenate([[0], np.cumsum(length)]) * kind.width
+    data = np.ascontiguousarray(kind.store(values[_ranges(begin, length)]))
+    return pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
+
+
+FRAGMENT = "block bigint, doc bigint, key bigint, lo bigint, size int, values binary"
+
+
+def _fragments(bodies: DataFrame, open_: DataFrame, kind: Kind, decide: Decide, blocks: int) -> DataFrame:
+    """FRAGMENT rows: the symbols of the open clusters (doc, key, lo, size, block, cut) by block.
+
+    Where ``cut`` is set, the method works on the slice first, and each window that is left goes to the block of its
+    contents; what is settled so has no symbols.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = col.Powers()
         for batch in col.slices(batches, "body", SLICE_BYTES):
+            batch = _sorted(batch)
+            doc, key = (batch.column(k).to_numpy() for k in (0, 1))
             values, at = kind.symbols(batch.column(2), powers)
-            rows = []
-            docs, keys = (batch.column(k).to_pylist() for k in (0, 1))
-            for i, places in enumerate(batch.column(3).to_pylist()):
-                for x in places:
-                    begin = at[i] + x["lo"]
-                    rows.append(((x["anchor"] % (1 << 63)) % blocks, docs[i], keys[i], x["lo"], x["size"], kind.store(values[begin:begin + x["size"] + kind.window - 1])))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
-                                                 ["block", "doc", "key", "lo", "size", "values"])
-
-    lists = staged(open_.groupBy("doc", "key").agg(F.collect_list(F.struct("lo", "size", "anchor")).alias("places")), "open-places")
+            lists = batch.column(3)
+            text = np.repeat(np.arange(len(doc)), lists.value_lengths().to_numpy())
+            places = lists.flatten()
+            begin, size, block, cut = (places.field(c).to_numpy(zero_copy_only=False) for c in ("lo", "size", "block", "cut"))
+            begin = begin + at[text]
+            order = np.argsort(begin, kind="stable")
+            text, begin, size, block, cut = (x[order].astype(np.int64) for x in (text, begin, size, block, cut))
+            out = [(block[(plain := cut == 0)], text[plain], begin[plain], size[plain])]
+            if cut.any():
+                again = np.flatnonzero(cut)
+                done = _in_parts(kind, decide, doc, values, text[again], begin[again], size[again])
+                of, first, n = runs(done, at)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), blocks + int(key.sum()) % blocks)), pa.array(doc[of]), pa.array(key[of]), pa.array(first - at[of]),
+                                                  pa.array(n.astype(np.int32)), pa.nulls(len(n), pa.binary())], ["block", "doc", "key", "lo", "size", "values"])
+                single = np.setdiff1d(_ranges(begin[again], size[again]), done)
+                content = col.stretch(col.prefix(values, powers), single, single + kind.window, powers)
+                out.append((blocks + (content % np.uint64(blocks)).astype(np.int64), np.searchsorted(at, single, "right") - 1, single, np.ones(len(single), np.int64)))
+            for block, text, begin, size in out:
+                length = size + kind.window - 1
+                edges = np.append(np.flatnonzero(_changes(np.cumsum(length) // (1 << 20))), len(length)).tolist()
+                for a, b in zip(edges, edges[1:]):
+                    of = text[a:b]
+                    yield pa.RecordBatch.from_arrays([pa.array(block[a:b]), pa.array(doc[of]), pa.array(key[of]), pa.array(begin[a:b] - at[of]), pa.array(size[a:b].astype(np.int32)),
+                                                      _binary(kind, values, begin[a:b], length[a:b])], ["block", "doc", "key", "lo", "size", "values"])
+
+    lists = staged(open_.groupBy("doc", "key").agg(F.collect_set(F.struct("lo", "size", "block", "cut")).alias("places")), "open-places")
     some = small(lists.select("doc", "key"))
-    return bodies.join(some, ["doc", "key"], "left_semi").dropDuplicates(["doc", "key"]).join(lists, ["doc", "key"]).select("doc", "key", "body", "places").mapInArrow(
-        run, "block bigint, doc bigint, key bigint, lo bigint, size int, values binary")
+    return bodies.join(some, ["doc", "key"], "left_semi").dropDuplicates(["doc", "key"]).join(lists, ["doc", "key"]).select("doc", "key", "body", "places").mapInArrow(run, FRAGMENT)
 
 
-def _one_by_one(fragments: DataFrame, kind: Kind, read: Callable[[bytes], np.ndarray]) -> DataFrame:
-    """(doc, key, lo, size) of the repeated windows of crowded blocks.
-
-    Each window is a row with its hash; the earliest place of each is found with partial results before
-    the shuffle and joined back, so however many fragments share an anchor, none of it meets in one task.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = col.Powers()
-        for batch in col.slices(batches, "values", SLICE_BYTES // 8):
-            doc, key, lo = (batch.column(k).to_numpy() for k in (0, 1, 2))
-            parts = [read(x) for x in batch.column(3).to_pylist()]
-            at = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
-            start = col.windows(at, kind.window)
-            sums = col.prefix(np.concatenate(parts), powers)
-            of = np.searchsorted(at, start, "right") - 1
-            content = col.stretch(sums, start, start + kind.window, powers).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[of], key[of], lo[of] + start - at[of], content)], ["doc", "key", "lo", "content"])
-
-    rows = staged(fragments.select("doc", "key", "lo", "values").mapInArrow(run, "doc bigint, key bigint, lo bigint, content bigint"), "single-windows")
-    place = ["doc", "key", "lo"] if kind.same_document else ["doc"]
-    first = rows.groupBy("content").agg(F.min(F.struct(*place)).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    first = staged(first, "first-windows")
-    return rows.join(first, "content").where(F.struct(*place) > F.col("first")).select("doc", "key", "lo", F.lit(1).alias("size"))
-
-
-def spans(docs: DataFrame, kind: Kind, decide: Callable[[pa.Table], pa.Table], doc_id: str = "doc_id", text: str = "text", block_clusters: int = BLOCK_CLUSTERS,
-          block_fragments: int = BLOCK_FRAGMENTS) -> DataFrame:
-    """(doc, key, lo, size) of all runs of repeated windows; ``decide`` gives those of a block's fragments."""
+def _decided(fragments: DataFrame, kind: Kind, decide: Decide) -> DataFrame:
+    """(doc, key, lo, size) of the runs of repeated windows, by block; those without symbols are settled already."""
+    def run(group):
+        bare = pc.is_null(group.column("values"))
+        given, rows = group.filter(bare), group.filter(pc.invert(bare))
+        doc, key, lo = (rows.column(c).to_numpy() for c in ("doc", "key", "lo"))
+        order = np.lexsort((lo, key, doc))
+        doc, key, lo = doc[order], key[order], lo[order]
+        data, at = col.flat(rows.column("values").combine_chunks().take(pa.array(order)))
+        at = at // kind.width
+        of, begin, n = runs(decide(doc, at, kind.read(data)), at) if len(order) else (order, order, order)
+        get = lambda c, v: pa.chunked_array([*given.column(c).chunks, pa.array(v, given.schema.field(c).type)])
+        return pa.table({"doc": get("doc", doc[of]), "key": get("key", key[of]), "lo": get("lo", lo[of] + begin - at[of]), "size": get("size", n.astype(np.int32))})
+
+    return fragments.groupBy("block").applyInArrow(run, "doc bigint, key bigint, lo bigint, size int")
+
+
+def spans(docs: DataFrame, kind: Kind, decide: Decide, doc_id: str = "doc_id", text: str = "text", block_clusters: int = BLOCK_CLUSTERS, crowded: int = CROWDED) -> DataFrame:
+    """(doc, key, lo, size) of all runs of repeated windows."""
     bodies = thin_batches(_bodies(docs, doc_id, text))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks = max(1, round(total * kind.per_byte * 2 / (kind.window - kind.gram + 2) / block_clusters))
-    found = staged(_judged(_dealt(bodies, kind, blocks), kind), "clusters")
-    open_ = found.where("open").select("doc", "key", "lo", "size", "anchor")
-    fragments = staged(_fragments(bodies, open_, kind, blocks), "fragments")
-    sizes = fragments.groupBy("block").count()
-    crowded = staged(sizes.where(F.col("count") > block_fragments).select("block"), "crowded")
-    whole = found.where("not open").select("doc", "key", "lo", "size")
-    some = crowded.isEmpty()
-    usual = fragments if some else fragments.join(small(crowded), "block", "left_anti")
-    out = whole.unionByName(usual.groupBy("block").applyInArrow(decide, "doc bigint, key bigint, lo bigint, size int"))
-    return out if some else out.unionByName(_one_by_one(fragments.join(small(crowded), "block", "left_semi"), kind, kind.read))
-
-
-def with_spans(docs: DataFrame, runs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    found = staged(_judged(_dealt(bodies, kind, decide, blocks)), "clusters")
+    settled = found.where("not open").select("doc", "key", "lo", "size")
+    open_ = found.where("open")
+    blocks = max(1, round(open_.count() / min(BLOCK_FRAGMENTS, max(1, crowded))))
+    open_ = open_.withColumn("block", F.pmod("anchor", F.lit(blocks)))
+    full = staged(open_.groupBy("block").count().where(F.col("count") > crowded).select("block", F.lit(True).alias("full")), "crowded")
+    open_ = open_.join(small(full), "block", "left").withColumn("cut", F.coalesce("full", F.lit(False)))
+    return settled.unionByName(_decided(_fragments(bodies, open_, kind, decide, blocks), kind, decide))
+
+
+def with_spans(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` (columns named by position) with ``_spans``: the (lo, size) of each row, null if there are none."""
-    lists = runs.groupBy("doc", "key").agg(F.collect_list(F.struct("lo", "size")).alias("_spans")).withColumnsRenamed({"doc": "_run_doc", "key": "_run_key"})
+    lists = found.groupBy("doc", "key").agg(F.collect_set(F.struct("lo", "size")).alias("_spans")).withColumnsRenamed({"doc": "_run_doc", "key": "_run_key"})
     keyed = docs.withColumn("_doc", F.coalesce(F.col(doc_id).cast("bigint"), F.lit(LAST))).withColumn(
         "_key", F.xxhash64(F.col(doc_id).cast("bigint"), F.coalesce(F.col(text), F.lit(""))))
     return keyed.join(lists, (F.col("_doc") == F.col("_run_doc")) & (F.col("_key") == F.col("_run_key")), "left").drop("_run_doc", "_run_key", "_doc", "_key")

@@ -1,8 +1,9 @@
-"""Word-wise substring dedup by an index of windows.
+"""Word-wise substring dedup by relative Lempel-Ziv factors.
 
-A block's reference is made of the fragments of all documents in it, indexed by the hashes of their windows. Every window of
-a fragment is looked up; those that a document with a smaller id has are repeated, and neighbouring ones are joined to a run while
-their sources follow each other too. There is no greedy factoring. Every document meets every block in which it has an anchor.
+A block's reference is made of the fragments of all documents in it: their windows are indexed by hash, and their suffixes are sorted, so that the
+longest source of a place is a neighbour in that order. Each fragment is factored greedily against the documents with smaller ids: at the next
+window that the index knows, the longest source is taken, the factor follows it as far as it goes, and the next one begins behind it. Windows inside a
+factor are repeated; those across its end are looked up again. Factors shorter than a window prove nothing and are passed over.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from trackflux.llm import columns as col
-from trackflux.llm import repeats
+from trackflux.llm import repeats, suffixes
 from trackflux.llm.frames import positioned
 
 WINDOW, GRAM = 13, 6
+#: Words of a factor at most; a longer one goes on as the next.
+FACTOR = 256
 
 
 def _words(texts: pa.Array, powers: col.Powers) -> tuple[np.ndarray, np.ndarray]:
@@ -27,39 +30,57 @@ def _words(texts: pa.Array, powers: col.Powers) -> tuple[np.ndarray, np.ndarray]
     return col.stretch(col.prefix(col.byte_values(data), powers), start, end, powers), word_at
 
 
-WORDS = repeats.Kind(WINDOW, GRAM, _words, 1 / 6, same_document=False, store=np.ndarray.tobytes,
-                     read=lambda b: np.frombuffer(b, np.uint64))
+WORDS = repeats.Kind(WINDOW, GRAM, _words, 1 / 6, width=8, store=lambda v: v, read=lambda b: b.view(np.uint64))
 
 
-def factors(doc: np.ndarray, at: np.ndarray, values: np.ndarray, window: int, powers: col.Powers) -> tuple[np.ndarray, np.ndarray]:
-    """Repeated runs of fragments sorted by document: first window and number of windows of each, as places among ``values``."""
-    start = col.windows(at, window)
+def factors(doc: np.ndarray, at: np.ndarray, values: np.ndarray, window: int = WINDOW, most: int = FACTOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy factors of fragments sorted by document: where they begin, their lengths (``window`` to ``most``), and all places that the index knows.
+
+    A place is known if its window starts in a document with a smaller id.
+    """
+    start, powers, number = col.windows(at, window), col.Powers(), np.cumsum(repeats._changes(doc))[col.owner(at)]
     content = col.stretch(col.prefix(values, powers), start, start + window, powers)
-    mine = doc[np.searchsorted(at, start, "right") - 1]
     order = np.argsort(content, kind="stable")  # within equal contents by document
-    new = np.ones(len(order), bool)
-    new[1:] = content[order][1:] != content[order][:-1]
-    source = np.empty(len(order), np.int64)  # the index: content -> its first place
-    source[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-    hit = np.flatnonzero(mine[source] < mine)
-    # a run goes on while the next window follows in the text and in the source
-    fresh = np.ones(len(hit), bool)
-    fresh[1:] = (start[hit][1:] != start[hit][:-1] + 1) | (start[source[hit]][1:] != start[source[hit]][:-1] + 1)
-    first = np.flatnonzero(fresh)
-    return start[hit[first]], np.diff(np.append(first, len(hit)))
-
-
-def parse(group):
-    """Repeated runs of windows in a block's fragments."""
-    powers = col.Powers()
-    doc, key, lo = (group.column(c).to_numpy() for c in ("doc", "key", "lo"))
-    order = np.lexsort((lo, key, doc))
-    parts = group.column("values").to_pylist()
-    values = np.frombuffer(b"".join(parts[i] for i in order), np.uint64)
-    at = np.concatenate([[0], np.cumsum([len(parts[i]) // 8 for i in order])]).astype(np.int64)
-    begin, n = factors(doc[order], at, values, WINDOW, powers)
-    of = np.searchsorted(at, begin, "right") - 1
-    return pa.table({"doc": doc[order][of], "key": key[order][of], "lo": lo[order][of] + begin - at[of], "size": n.astype(np.int32)})
+    new = repeats._changes(content[order])
+    least = np.empty(len(order), np.int64)
+    least[order] = number[start[order[np.flatnonzero(new)]]][np.cumsum(new) - 1] if len(order) else 0
+    known = start[least < number[start]]
+    if not len(known):
+        return known, known, known
+    _, ids = np.unique(values, return_inverse=True)
+    most = min(most, int(np.diff(at).max()))
+    lengths, ranks = suffixes.prefix_ranks(ids, at, most, first=1)
+    end = np.repeat(at[1:], np.diff(at))
+    order = start[np.argsort(ranks[-1][start], kind="stable")]
+    near = np.full((2, len(values)), -1, np.int64)
+    for side, other in zip(near, suffixes.smaller(number[order])):
+        side[order] = np.where(other >= 0, order[other], -1)
+    of, first = np.unique(np.searchsorted(at, known, "right") - 1, return_index=True)
+    cursor, stop, found = known[first], at[of + 1], []
+    while len(cursor):
+        length = np.zeros(len(cursor), np.int64)
+        for side in near:
+            have = side[cursor] >= 0
+            length[have] = np.maximum(length[have], suffixes.common(cursor[have], side[cursor[have]], lengths, ranks, ids, end, most))
+        found.append((cursor, length))
+        again = np.searchsorted(known, cursor + length)
+        cursor = known[np.minimum(again, len(known) - 1)]
+        go = (again < len(known)) & (cursor < stop)
+        cursor, stop = cursor[go], stop[go]
+    begin, length = (np.concatenate(x) for x in zip(*found))
+    return begin, length, known
+
+
+def parse(doc: np.ndarray, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The places of repeated windows: those inside factors, and those across their ends that the index knows."""
+    begin, length, known = factors(doc, at, values)
+    edge = np.zeros(len(values) + 1, np.int32)
+    np.add.at(edge, begin, 1)
+    np.add.at(edge, begin + length - WINDOW + 1, -1)
+    hit = np.cumsum(edge[:-1]) > 0
+    across = (begin + length)[:, None] - np.arange(1, WINDOW)
+    hit[np.intersect1d(across, known)] = True
+    return np.flatnonzero(hit)
 
 
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -26,20 +26,19 @@ def _symbols(texts: pa.Array, powers: col.Powers) -> tuple[np.ndarray, np.ndarra
     return col.byte_values(data), at
 
 
-BYTES = repeats.Kind(WINDOW, GRAM, _symbols, 1.0, same_document=True, 
-                     store=lambda v: (v - np.uint64(1)).astype(np.uint8).tobytes(), read=lambda b: col.byte_values(np.frombuffer(b, np.uint8)))
+BYTES = repeats.Kind(WINDOW, GRAM, _symbols, 1.0, width=1, store=lambda v: (v - np.uint64(1)).astype(np.uint8), read=col.byte_values)
 
 
-def prefix_ranks(values: np.ndarray, at: np.ndarray, upto: int) -> tuple[list[int], list[np.ndarray]]:
-    """Lengths h and, for each, the rank of every place by the h symbols that follow it inside its fragment."""
+def prefix_ranks(values: np.ndarray, at: np.ndarray, upto: int, first: int = 7) -> tuple[list[int], list[np.ndarray]]:
+    """Lengths h from ``first`` and, for each, the rank of every place by the h symbols that follow it inside its fragment."""
     n = len(values)
     end = np.repeat(at[1:], np.diff(at))
     place = np.arange(n)
     rank = np.zeros(n, np.int64)
-    for k in range(7):  # seven symbols of at most 257 values fit into 63 bits
+    for k in range(first):  # seven symbols of at most 257 values fit into 63 bits, and one of any
         nxt = np.minimum(place + k, n - 1)
         rank = rank * 257 + np.where(place + k < end, values[nxt].astype(np.int64) + 1, 0)
-    lengths, ranks, h = [], [], 7
+    lengths, ranks, h = [], [], first
     while True:
         order = np.argsort(rank, kind="stable")
         new = np.ones(n, bool)
@@ -81,7 +80,7 @@ def smaller(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         up = np.arange(len(x)) - 1
         todo = np.flatnonzero(up >= 0)
         while len(todo):
-            todo = todo[x[up[todo]] > x[todo]]
+            todo = todo[x[up[todo]] >= x[todo]]
             up[todo] = up[up[todo]]
             todo = todo[up[todo] >= 0]
         return up
@@ -102,22 +101,10 @@ def longest_previous(values: np.ndarray, at: np.ndarray, starts: np.ndarray, upt
     return out[starts]
 
 
-def sift(group):
-    """Repeated runs of windows in a block's fragments."""
-    doc, key, lo, size = (group.column(c).to_numpy() for c in ("doc", "key", "lo", "size"))
-    order = np.lexsort((lo, key, doc))
-    parts = group.column("values").to_pylist()
-    values = np.frombuffer(b"".join(parts[i] for i in order), np.uint8).astype(np.int64)
-    at = np.concatenate([[0], np.cumsum([len(parts[i]) for i in order])]).astype(np.int64)
+def sift(doc: np.ndarray, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The places of the windows of a block's fragments that also occur earlier."""
     starts = col.windows(at, WINDOW)
-    hit = starts[longest_previous(values, at, starts) >= WINDOW]
-    of = np.searchsorted(at, hit, "right") - 1
-    fresh = np.ones(len(hit), bool)
-    fresh[1:] = (hit[1:] != hit[:-1] + 1) | (of[1:] != of[:-1])
-    first = np.flatnonzero(fresh)
-    of = of[first]
-    return pa.table({"doc": doc[order][of], "key": key[order][of], "lo": lo[order][of] + hit[first] - at[of],
-                     "size": np.diff(np.append(first, len(hit))).astype(np.int32)})
+    return starts[longest_previous(values.astype(np.int64) - 1, at, starts) >= WINDOW]
 
 
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
