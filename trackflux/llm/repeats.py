@@ -7,7 +7,8 @@ place. What is here brings together all that could be equal, in pieces of bounde
   each window is not, and stands for the slice from then on.
 * In each window the grams of ``gram`` symbols are ranked by a hash; the least one is the window's anchor. Neighbouring windows with one
   anchor form a cluster (about one per ``(window - gram) / 2`` symbols). Equal windows have equal anchors, so clusters that are not settled are
-  dealt by anchor, as hashes. Those that agree with another one as a whole, or in more than half of what lies around the anchor, are open.
+  dealt by anchor, as hashes. One that is equal, as a whole, to an earlier one of another slice is a source's copy and settled by its hash; those
+  that differ, but agree in more than half of what lies around the anchor, are open.
 * Of open clusters the symbols are sent to the block of their anchor, and the method decides there.
 
 No anchor may crowd a task. Of each anchor a task sends at most ``ANCHOR_ROWS`` clusters, one more that says so, and takes all others as
@@ -38,10 +39,10 @@ PART_SYMBOLS = 1 << 19
 #: Clusters that a task sends to the block of one anchor. They are counted in a table by hash: an anchor that shares its
 #: place there may be taken for a crowded one, which costs symbols sent and changes no result.
 ANCHOR_ROWS = 16
-COUNTERS = 1 << 24
+COUNTERS, TOLD = 1 << 24, 1 << 16
 LAST = (1 << 63) - 1  # a null id comes after all others
 
-CLUSTER = np.dtype([("anchor", "<u8"), ("whole", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("lo", "<i8"), ("size", "<i4"), ("left", "<u2"), ("right", "<u2"), ("crowd", "<u1")])
+CLUSTER = np.dtype([("anchor", "<u8"), ("whole", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("lo", "<i4"), ("size", "<u1"), ("left", "<u2"), ("right", "<u2"), ("crowd", "<u1")])
 RUN = np.dtype([("doc", "<i8"), ("key", "<i8"), ("lo", "<i8"), ("size", "<i4"), ("anchor", "<u8"), ("open", "<u1")])
 
 #: Of fragments sorted by (document, key, place): the documents, where each fragment's symbols begin, and all symbols. Gives
@@ -60,6 +61,7 @@ class Kind:
     width: int  # bytes in which a symbol travels
     store: Callable[[np.ndarray], np.ndarray]  # how symbols travel
     read: Callable[[np.ndarray], np.ndarray]  # and how their bytes are read again
+    same_document: bool  # an earlier place in the same document counts
 
 
 def clusters(values: np.ndarray, at: np.ndarray, kind: Kind, powers: col.Powers) -> dict[str, np.ndarray]:
@@ -109,6 +111,11 @@ def _changes(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def _first(new: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The first value of each run, for all its items."""
+    return values[np.flatnonzero(new)][np.cumsum(new) - 1] if len(new) else values
+
+
 def _ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     """All places of stretches of ``n`` places from ``begin``, one stretch after the other."""
     return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
@@ -166,7 +173,7 @@ def _sorted(batch: pa.RecordBatch) -> pa.RecordBatch:
 def _dealt(bodies: DataFrame, kind: Kind, decide: Decide, blocks: int) -> DataFrame:
     """(block, direct, payload): clusters by block of their anchor; runs that are settled, or open without asking, by slice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, counters = col.Powers(), np.zeros(COUNTERS, np.uint8)
+        powers, counters, told = col.Powers(), np.zeros(COUNTERS, np.uint8), np.zeros(TOLD, np.uint64)
         for batch in col.slices(batches, "body", SLICE_BYTES):
             batch = _sorted(batch)
             doc, key = (batch.column(k).to_numpy() for k in (0, 1))
@@ -201,9 +208,14 @@ def _dealt(bodies: DataFrame, kind: Kind, decide: Decide, blocks: int) -> DataFr
             times = np.diff(np.append(first, len(slot)))
             number = counters[slot] + np.arange(len(slot)) - np.repeat(first, times)
             counters[slot[first]] = np.minimum(counters[slot[first]] + times, 255)
-            rows["crowd"] = number == ANCHOR_ROWS
-            beyond = rows[number > ANCHOR_ROWS]
-            rows = rows[number <= ANCHOR_ROWS]
+            beyond, rows = rows[number >= ANCHOR_ROWS], rows[number < ANCHOR_ROWS]
+            anchor, at_first = np.unique(beyond["anchor"], return_index=True)
+            slot = (anchor >> np.uint64(40)) % np.uint64(TOLD)
+            new = told[slot] != anchor
+            told[slot[new]] = anchor[new]
+            witness = beyond[at_first[new]]
+            witness["crowd"] = 1
+            rows = np.concatenate([rows, witness])
             more = np.zeros(len(beyond), RUN)
             for name in ("doc", "key", "lo", "size", "anchor"):
                 more[name] = beyond[name]
@@ -226,8 +238,8 @@ def _dealt(bodies: DataFrame, kind: Kind, decide: Decide, blocks: int) -> DataFr
 FOUND = "doc bigint, key bigint, lo bigint, size int, anchor bigint, open boolean"
 
 
-def _judged(dealt: DataFrame) -> DataFrame:
-    """FOUND rows: settled runs, and open clusters."""
+def _judged(dealt: DataFrame, kind: Kind) -> DataFrame:
+    """FOUND rows: settled runs and clusters, and open clusters."""
     def run(group):
         direct = group.column("direct").to_numpy()
         payload = group.column("payload").to_pylist()
@@ -239,17 +251,25 @@ def _judged(dealt: DataFrame) -> DataFrame:
         rows = rows[np.lexsort((rows["lo"], rows["key"], rows["doc"], rows["anchor"]))]
         same = _changes(*(rows[c] for c in ("anchor", "doc", "key", "lo")))
         number = np.cumsum(_changes(rows["anchor"])) - 1
-        wanted = np.bincount(number, rows["crowd"])[number] > 0 if len(rows) else np.zeros(0, bool)
-        rows, wanted = rows[same], wanted[same]  # repeated rows are one
-        for side in ("whole", "left", "right"):
-            order = np.lexsort((rows[side], rows["anchor"]))
-            first = np.flatnonzero(_changes(rows["anchor"][order], rows[side][order]))
-            times = np.diff(np.append(first, len(order)))
-            wanted[order] |= np.repeat(times, times) > 1
-        rows = rows[wanted]
+        rows["crowd"] = np.bincount(number, rows["crowd"])[number] > 0 if len(rows) else 0
+        rows = rows[same]  # repeated rows are one
+        rows = rows[np.argsort(rows["whole"], kind="stable")]
+        rows = rows[np.argsort(rows["anchor"], kind="stable")]  # by anchor, whole and place
+        new = _changes(rows["anchor"], rows["whole"])
+        again = ~new if kind.same_document else rows["doc"] > _first(new, rows["doc"])
+        rest = rows[~again]
+        wanted = rest["crowd"] > 0
+        for side in ("left", "right"):
+            order = np.lexsort((rest["whole"], rest[side], rest["anchor"]))
+            r = rest[order]
+            new = _changes(r["anchor"], r[side])
+            number = np.cumsum(new) - 1
+            wanted[order] |= np.bincount(number, r["whole"] != _first(new, r["whole"]))[number] > 0 if len(r) else False
+        settled, rest = rows[again], rest[wanted]
+        rows = np.concatenate([settled, rest])
         get = lambda c: np.concatenate([out[c], rows[c]])
         return pa.table({"doc": get("doc"), "key": get("key"), "lo": get("lo"), "size": get("size"), "anchor": get("anchor").view(np.int64),
-                         "open": np.concatenate([out["open"] > 0, np.ones(len(rows), bool)])})
+                         "open": np.concatenate([out["open"] > 0, np.arange(len(rows)) >= len(settled)])})
 
     return dealt.groupBy("block").applyInArrow(run, FOUND)
 
@@ -328,7 +348,7 @@ def spans(docs: DataFrame, kind: Kind, decide: Decide, doc_id: str = "doc_id", t
     bodies = thin_batches(_bodies(docs, doc_id, text))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks = max(1, round(total * kind.per_byte * 2 / (kind.window - kind.gram + 2) / block_clusters))
-    found = staged(_judged(_dealt(bodies, kind, decide, blocks)), "clusters")
+    found = staged(_judged(_dealt(bodies, kind, decide, blocks), kind), "clusters")
     settled = found.where("not open").select("doc", "key", "lo", "size")
     open_ = found.where("open")
     blocks = max(1, round(open_.count() / min(BLOCK_FRAGMENTS, max(1, crowded))))

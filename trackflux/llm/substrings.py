@@ -30,7 +30,7 @@ def _words(texts: pa.Array, powers: col.Powers) -> tuple[np.ndarray, np.ndarray]
     return col.stretch(col.prefix(col.byte_values(data), powers), start, end, powers), word_at
 
 
-WORDS = repeats.Kind(WINDOW, GRAM, _words, 1 / 6, width=8, store=lambda v: v, read=lambda b: b.view(np.uint64))
+WORDS = repeats.Kind(WINDOW, GRAM, _words, 1 / 6, width=8, store=lambda v: v, read=lambda b: b.view(np.uint64), same_document=False)
 
 
 def factors(doc: np.ndarray, at: np.ndarray, values: np.ndarray, window: int = WINDOW, most: int = FACTOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ def _symbols(texts: pa.Array, powers: col.Powers) -> tuple[np.ndarray, np.ndarra
     return col.byte_values(data), at
 
 
-BYTES = repeats.Kind(WINDOW, GRAM, _symbols, 1.0, width=1, store=lambda v: (v - np.uint64(1)).astype(np.uint8), read=col.byte_values)
+BYTES = repeats.Kind(WINDOW, GRAM, _symbols, 1.0, width=1, store=lambda v: (v - np.uint64(1)).astype(np.uint8), read=col.byte_values, same_document=True)
 
 
 def prefix_ranks(values: np.ndarray, at: np.ndarray, upto: int, first: int = 7) -> tuple[list[int], list[np.ndarray]]:
