@@ -42,3 +42,27 @@ def test_quantiles_send_panes_to_windows(frames):
 def test_names_without_a_statistic_are_an_error(name):
     with pytest.raises(ValueError):
         win.read_name(name)
+
+
+@pytest.mark.parametrize("W,stride", [(50, 10), (10, 2)])
+def test_rows_are_shuffled_once(frames, W, stride):
+    plan = win.windowize(frames, None, W, stride)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("W,stride", [(10, 2), (7, 3), (3, 5)])
+def test_short_runs_give_the_same_windows(frames, monkeypatch, W, stride):
+    by = [*KEYS, "window_idx"]
+    want = win.windowize(frames, NAMES, W, stride).orderBy(*by).toPandas()
+    monkeypatch.setattr(win, "RUN_ROWS", 1)
+    monkeypatch.setattr(win, "LIST_ROWS", 1)
+    got = win.windowize(frames, NAMES, W, stride).select(*want.columns).orderBy(*by).toPandas()
+    assert len(got) == len(want) and (got[[*by, "start_frame"]] == want[[*by, "start_frame"]]).all().all()
+    np.testing.assert_allclose(got[NAMES].to_numpy(float), want[NAMES].to_numpy(float), rtol=1e-9, atol=1e-9)
+
+
+def test_a_first_row_that_comes_twice_gives_its_window_twice(spark):
+    rows = [(1, 1, t, 10 + t, float(t)) for t in (0, 0, 1, 1)] + [(1, 2, t, 10 + t, float(t)) for t in range(4)] + [(None, 3, t, 10 + t, 0.0) for t in range(4)]
+    df = spark.createDataFrame(rows, "recording_id bigint, vehicle_id bigint, t bigint, frame bigint, vx double")
+    got = sorted(tuple(r) for r in win.windowize(df, ["vx_last"], 4, 2).collect())
+    assert got == [(1, 1, 0, 10, 1.0), (1, 1, 0, 10, 1.0), (1, 2, 0, 10, 3.0)]
