@@ -243,3 +243,35 @@ def test_product_step_lowers_loss():
     e = lambda k: {"mean": rng.normal(size=(k, D)), "var": np.ones((k, D)), "bern": np.full((k, B), 0.3)}
     _, _, history = em.update_product(e(2), e(4), st, lr=0.02)
     assert history[-1] < history[0]
+
+
+def test_pair_sums_are_those_of_single_steps():
+    rng = np.random.default_rng(3)
+    n = np.array([5, 2, 4])
+    lb = rng.normal(scale=4, size=(3, 5, P.K))
+    lb[2, 2] = [0.0, *[-2000.0] * (P.K - 1)]
+    for kernel in (P.kernel("add"), np.where(np.eye(P.K) > 0, 0.0, 1 / (P.K - 1))):
+        k = R.Kernel(P.start("add"), kernel)
+
+        class b:
+            entry = exit = np.zeros((3, P.K))
+            start = last = np.array([True, False, True])
+            bad = np.array([False, False, False])
+
+        w = rng.random((3, 5))
+        gamma, _, xi = R.pair_sums(k, lb, n, b, w)
+        _, post, _ = k.forward(lb, n, b.entry, b.start)
+        beta, want = k.backward(lb, n, b.exit, b.last), np.zeros((P.K, P.K))
+        for i in range(3):
+            for t in range(int(b.start[i]), n[i]):
+                s = (post[i, t - 1] if t else b.entry[i])[:, None] + k.logM + (lb[i, t] + beta[i, t])[None]
+                s = np.exp(s - s.max())
+                want += w[i, t] * s / s.sum()
+        assert np.allclose(xi, want, rtol=1e-10, atol=1e-12) and np.allclose(gamma[0].sum(1), 1)
+
+
+def test_packed_bytes_give_the_statistics_of_arrays(spark):
+    packed = em.packed_rows(observed(spark), P, 30)
+    assert dict(R.as_bytes(packed).dtypes)["x"] == "binary"
+    a, b = (em.read_stats(em.e_step_packed(x, P, 30), P) for x in (packed, R.as_bytes(packed)))
+    assert all(np.allclose(a.values[k], b.values[k]) for k in a.values) and em.loglik_packed(R.as_bytes(packed), P, 30)[1] == 48
