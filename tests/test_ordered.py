@@ -150,3 +150,16 @@ def test_split_sizes_and_disjoint(spark):
     assert sampling.split_overlap(split).isEmpty()
     with pytest.raises(ValueError):
         sampling.split_assign(keys, 0.8, 0.3, 1)
+
+
+def test_answers_are_shuffled_before_they_become_columns(spark):
+    from trackflux.operators import context
+
+    rows = [(1, 7, v, float(v), 1.0, 2.0, 0.5, 1, 1, v + 1, None) for v in (1, 2)] + [(1, 7, 3, 3.0, 1.0, 2.0, 0.5, 1, 1, 0, 1)]
+    df = spark.createDataFrame(rows, "recording_id bigint, frame bigint, vehicle_id bigint, x_center double, y_center double, vx double, vy double, "
+                                     "lane_id int, dir_sign int, preceding_id bigint, following_id bigint")
+    out = context.neighbor_context(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan[plan.index("Aggregate"):]
+    got = {r.vehicle_id: (r.front_exists, r.front_dx, r.rear_exists, r.rear_dx) for r in out.collect()}
+    assert got == {1: (1, 1.0, 0, None), 2: (1, 1.0, 0, None), 3: (0, None, 1, -2.0)}
