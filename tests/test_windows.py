@@ -66,3 +66,13 @@ def test_a_first_row_that_comes_twice_gives_its_window_twice(spark):
     df = spark.createDataFrame(rows, "recording_id bigint, vehicle_id bigint, t bigint, frame bigint, vx double")
     got = sorted(tuple(r) for r in win.windowize(df, ["vx_last"], 4, 2).collect())
     assert got == [(1, 1, 0, 10, 1.0), (1, 1, 0, 10, 1.0), (1, 2, 0, 10, 3.0)]
+
+
+@pytest.mark.parametrize("vehicles", [20, 60])
+def test_tasks_hold_a_bounded_number_of_rows(spark, monkeypatch, vehicles):
+    monkeypatch.setattr(win, "TASK_ROWS", 64)
+    rows = [(1, v, t, t, float(v + t)) for v in range(vehicles) for t in range(30)]
+    df = spark.createDataFrame(rows, "recording_id bigint, vehicle_id bigint, t bigint, frame bigint, vx double")
+    got = win.windowize(df, ["vx_last", "vx_p95"], 10, 2)
+    assert got.rdd.getNumPartitions() == -(-len(rows) // (4 * 64 // 5))
+    assert sorted((r.vehicle_id, r.window_idx, r.vx_last) for r in got.collect()) == [(v, w, float(v + 2 * w + 9)) for v in range(vehicles) for w in range(11)]
