@@ -10,6 +10,7 @@ from ..functions.numeric import rounded
 from ..latent import emission, evaluation as ev, recursion
 from ..operators import labels as lab, selection as sel
 from ..plans import frames as plan, model
+from ..functions.ordering import spread
 from ..functions.storage import scratch_path
 from ..schema import ACTION_NAMES, CONTINUOUS_FEATURES, FEATURE_GROUPS, KEYS, SEMANTIC_FEATURES, STYLE_NAMES, WINDOW_FEATURES
 from ..sources import events_view as view
@@ -393,7 +394,8 @@ def xpl_record(spark, d):
     features = model.observations(spark, d).select(*KT, F.col("start_frame").alias("frame"), *WINDOW_FEATURES, *_SCALED)
     parts = ("prior", "emission", "posterior", "forecast")
     permille = lambda c: F.array_join(F.transform(c, lambda v: F.round(v * 1000).cast("bigint").cast("string")), ", ")
-    return df.join(features, KT).select(
+    n = features.count()
+    return spread(df, KT, n).join(spread(features, KT, n), KT).select(
         *KT, "frame", *[F.array_join(f"{c}_names", ", ").alias(f"{c}_names") for c in parts], *[permille(F.col(f"{c}_probs")).alias(f"{c}_permille") for c in parts],
         *[rounded(F.col(c), 4).alias(c) for c in [*WINDOW_FEATURES, *_SCALED]])
 

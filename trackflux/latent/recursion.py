@@ -27,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.ordering import spread
 from ..schema import KEYS
 
 BLOCK = 256
@@ -190,11 +191,11 @@ def chunks(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield pdf.iloc[lo : lo + CHUNK]
 
 
-def pack(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Rows (keys, t, and an array ``logb`` or ``x``) to one row per block with a flat array."""
+def pack(rows: DataFrame, block: int = BLOCK, count: int | None = None) -> DataFrame:
+    """Rows (keys, t, and an array ``logb`` or ``x``) to one row per block with a flat array. Partitions follow the ``count`` of rows, if known."""
     col = "logb" if "logb" in rows.columns else "x"
-    blk = F.floor(F.col("t") / block).cast("bigint")
-    packed = rows.groupBy(*KEYS, blk.alias("blk")).agg(F.array_sort(F.collect_list(F.struct("t", col))).alias("_r"))
+    cut = spread(rows.withColumn("blk", F.floor(F.col("t") / block).cast("bigint")), [*KEYS, "blk"], count)
+    packed = cut.groupBy(*KEYS, "blk").agg(F.array_sort(F.collect_list(F.struct("t", col))).alias("_r"))
     return packed.select(*KEYS, "blk", F.size("_r").alias("n"), F.flatten(F.col(f"_r.{col}")).alias(col))
 
 
@@ -272,7 +273,13 @@ def _walk(mats: DataFrame, kernel: Kernel, n_blocks: int, fan: int) -> DataFrame
 
 
 def longest_sequence(rows: DataFrame) -> int:
-    return int(rows.agg(F.max("t")).first()[0] or 0) + 1
+    return sequence_sizes(rows)[0]
+
+
+def sequence_sizes(rows: DataFrame) -> tuple[int, int]:
+    """Length of the longest sequence, and rows of all."""
+    top, n = rows.agg(F.max("t"), F.count(F.lit(1))).first()
+    return int(top or 0) + 1, n
 
 
 def run_blocks(rows: DataFrame, kernel: Kernel, fn: Callable, schema: str, longest: int | None = None,
@@ -283,9 +290,10 @@ def run_blocks(rows: DataFrame, kernel: Kernel, fn: Callable, schema: str, longe
     that ``emit`` turns into log-likelihoods inside the task. Blocks of bad
     trajectories arrive with ``borders.bad`` set and zeros for values.
     """
+    count = None
     if longest is None:
-        longest = longest_sequence(rows)
-    return run_packed(pack(rows, block), kernel, fn, schema, longest, block, fan, emit)
+        longest, count = sequence_sizes(rows)
+    return run_packed(pack(rows, block, count), kernel, fn, schema, longest, block, fan, emit)
 
 
 def run_packed(packed: DataFrame, kernel: Kernel, fn: Callable, schema: str, longest: int, block: int = BLOCK, fan: int = BLOCK,
@@ -407,10 +415,11 @@ def best_path(rows: DataFrame, start: np.ndarray, kernel: np.ndarray, longest: i
               block: int = BLOCK, fan: int = BLOCK, emit: Emit | None = None) -> DataFrame:
     """Most likely state sequence of each trajectory, one path by back-pointers also where several are equally good."""
     k = Kernel(start, kernel, best=True)
+    count = None
     if longest is None:
-        longest = longest_sequence(rows)
+        longest, count = sequence_sizes(rows)
     schema = f"{_KEY_SCHEMA}, t bigint, z int"
-    packed = pack(rows, block)
+    packed = pack(rows, block, count)
     if longest <= block:
         def whole(part, logb, n, b):
             back, best = _back_pointers(k, logb, n, b)
