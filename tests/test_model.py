@@ -275,3 +275,9 @@ def test_packed_bytes_give_the_statistics_of_arrays(spark):
     assert dict(R.as_bytes(packed).dtypes)["x"] == "binary"
     a, b = (em.read_stats(em.e_step_packed(x, P, 30), P) for x in (packed, R.as_bytes(packed)))
     assert all(np.allclose(a.values[k], b.values[k]) for k in a.values) and em.loglik_packed(R.as_bytes(packed), P, 30)[1] == 48
+
+
+def test_blocks_lie_in_partitions_that_follow_the_row_count(rows):
+    many, few = R.pack(rows, 8, 1_000_000), R.pack(rows, 8)
+    assert many.rdd.getNumPartitions() == 16
+    assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
