@@ -267,3 +267,24 @@ def test_intervals_hold_and_tell_apart():
 def test_products_beyond_floating_point():
     a = np.array([[(1 << 26) - 1, (1 << 26) - 1, 1]], np.int64)
     assert negatives.products(a, a)[0, 0] == 2 * ((1 << 26) - 1) ** 2 + 1
+
+
+def test_no_meeting_of_blocks_is_broadcast(spark, monkeypatch):
+    """Anchors are repeated for every block of rows; the planner, which sees them before, would collect the repeats in the driver."""
+    joins, real = {}, negatives.staged
+
+    def staged(df, name, **more):
+        joins[name] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, name, **more)
+
+    monkeypatch.setattr(negatives, "staged", staged)
+    df = spark.createDataFrame(vectors(), "vec_id bigint, embedding array<double>, label int")
+    negatives.mine(df, F.col("vec_id") % 100 == 0, block_rows=30, block_anchors=2)
+    assert all("SortMergeJoin" in joins[n] and "Broadcast" not in joins[n] for n in ("near", "hard"))
+
+
+def test_blocks_travel_in_the_smallest_whole_numbers():
+    for x, t in (([0, -127], np.int8), ([-128], np.int16), ([32767, -5], np.int16), ([1 << 26], np.int32), ([-(1 << 40)], np.int64), ([], np.int8)):
+        a = np.array(x, np.int64)
+        b = negatives._narrow(a)
+        assert b.dtype == t and (negatives._long(b) == a).all()

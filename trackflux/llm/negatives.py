@@ -11,7 +11,9 @@ Rows whose interval cannot reach the rows that are wanted are left out; what sur
 an estimate, so results are exact.
 
 Rows and anchors are packed into blocks. Every block of anchors meets every block of rows once, in a join on the row block's
-number; each meeting gives the best of its rows for each of its anchors, and the best of these are ranked.
+number; each meeting gives the best of its rows for each of its anchors, and the best of these are ranked. The join shuffles and sorts both
+sides, whatever their sizes look like: the planner measures the anchors before they are repeated for each block of rows, and a broadcast of what
+looks small would bring every repeat to the driver.
 """
 
 from __future__ import annotations
@@ -172,6 +174,16 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the smallest type that holds them, as blocks travel; ``_long`` widens them again."""
+    most = max(int(x.max(initial=0)), -int(x.min(initial=0)))
+    return x.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if most <= np.iinfo(t).max))
+
+
+def _long(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.int64)
+
+
 def _blocks(rows: DataFrame, size: int, pack: Callable[[pa.Table], tuple], name: str) -> tuple[DataFrame, int]:
     """(block, payload) and the number of blocks, of about ``size`` rows each; ids are different, so their hashes deal them out evenly."""
     count = max(1, -(-rows.count() // size))
@@ -196,7 +208,7 @@ def _meet(anchors: DataFrame, blocks: DataFrame, count: int, search: Callable, s
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names)
 
     dealt = anchors.select(F.col("payload").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("block"))
-    pairs = dealt.join(blocks, "block").select("own", "payload")
+    pairs = dealt.join(blocks.hint("merge"), "block").select("own", "payload")
     return staged(pairs.mapInArrow(run, schema), name, batch_rows=1)
 
 
@@ -217,20 +229,20 @@ def mine(rows: DataFrame, is_anchor: Column, vec_id: str = "vec_id", vector: str
 
     def pack_rows(t: pa.Table) -> tuple:
         v = _matrix(t.column("v"), width)
-        return t.column("id").to_numpy(), t.column("label").to_numpy(), v, *encode(v @ turn.T, levels)
+        return t.column("id").to_numpy(), t.column("label").to_numpy(), _narrow(v), *encode(v @ turn.T, levels)
 
     def pack_anchors(t: pa.Table) -> tuple:
         lists = [_matrix(t.column(c), positives) for c in ("ids", "scores") if c in t.schema.names]
         number = [np.array([len(x) for x in t.column("ids").to_numpy()])] if lists else []
-        return t.column("id").to_numpy(), t.column("label").to_numpy(), _matrix(t.column("v"), width), *lists, *number
+        return t.column("id").to_numpy(), t.column("label").to_numpy(), _narrow(_matrix(t.column("v"), width)), *lists, *number
 
     def first(own, block):
-        return near(*block[:3], *own, turn, positives, block[3:])
+        return near(*block[:2], _long(block[2]), *own[:2], _long(own[2]), turn, positives, block[3:])
 
     def second(own, block):
         ids, labels, v, pid, score, number = own
         bounds = [(pid[:, j], score[:, j], number > j) for j in range(positives)]
-        return hard(*block[:3], ids, labels, v, turn, negatives, block[3:], bounds, low, high)
+        return hard(*block[:2], _long(block[2]), ids, labels, _long(v), turn, negatives, block[3:], bounds, low, high)
 
     blocks, count = _blocks(usable.drop("anchor"), block_rows, pack_rows, "row-blocks")
     anchors = staged(usable.where("anchor").drop("anchor"), "anchors")
